@@ -27,7 +27,7 @@ def canonical_name(name: Column | str) -> Column:
         F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.trim(x)),
         lambda x: x != "",
     )
-    keyed = F.array_sort(
+    keyed = F.sort_array(
         F.array_distinct(F.transform(tags, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), x.alias("t"))))
     )
     joined = F.array_join(F.transform(keyed, lambda x: x["t"]), ";")
