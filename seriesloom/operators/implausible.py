@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .responses import DAY, canonical_name, place, present
 
 #: (part of the name, lowest, highest possible value); the first that occurs in the name holds.
@@ -282,6 +283,7 @@ def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots:
             if out:
                 yield pd.concat(out)
 
+    ship(chunks.sparkSession)
     return chunks.mapInPandas(run, schema)
 
 

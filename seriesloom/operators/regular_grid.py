@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .responses import present
 
 #: Times above this are milliseconds: as seconds they would lie after the year 5000.
@@ -209,6 +210,7 @@ def regular_grid(
         if out:
             yield pd.concat(out)
 
+    ship(ordered.sparkSession)
     merged = ordered.mapInPandas(run, schema)
     return merged.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 

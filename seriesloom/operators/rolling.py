@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .responses import DAY, canonical_name, place, series_ids
 
 
@@ -188,6 +189,7 @@ def rolling_totals(
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names)
 
+    ship(events.sparkSession)
     ran = events.mapInPandas(slide, T.StructType(out))
     return ran.select(
         "sid", F.date_from_unix_date("day").alias("day"), (F.col("n_day") > 0).alias("active"), "n_day", *names[3:]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context.
+
+    Functions that run in Python workers refer to its modules, which need not be
+    installed there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_seriesloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    fd, name = tempfile.mkstemp(prefix="seriesloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    sc.addPyFile(name)
+    sc._seriesloom_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A test table as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
