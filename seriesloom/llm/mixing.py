@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, ship
 from .tokens import DEFAULT_VOCABULARY, count_tokens
 
 _EPS = 1e-9
@@ -139,6 +139,7 @@ def _level(rows: DataFrame, seed: int, root: bool) -> DataFrame:
             held["open"], held["node"] = True, node
             yield held[_COLS]
 
+    ship(rows.sparkSession)
     done = rows.withColumn("__pid", F.spark_partition_id().cast("long")).mapInPandas(run, _KINDS)
     if not root:
         return done

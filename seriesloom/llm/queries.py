@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import mixing, survivor, tokens
+from . import mixing, percentiles, reading_level, survivor, tokens
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,10 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(read(spark, d, "server_responses"), read(spark, d, "servers"))
 
 
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.series_percentiles(read(spark, d, "fetch_responses"), read(spark, d, "series"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(read(spark, d, "documents"))
 
@@ -42,11 +46,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report_shares(mixing.mix_sources(read(spark, d, "documents"), targets), targets)
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.reading_levels(read(spark, d, "documents"), read(spark, d, "reading_passages"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.level_found(p8_levels(spark, d))
+
+
 def queries() -> dict:
     return {
         "p4_found": p4_found, "p4_currency": p4_currency, "p4_records": p4_records,
+        "p5_percentiles": p5_percentiles,
         "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_levels": p8_levels,
     }
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of this vocabulary's pre-tokens (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,6 +181,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
@@ -194,6 +197,7 @@ def decode_ids(rows: DataFrame, key: str = "doc_id", ids: str = "ids", vocabular
             texts = [None if x is None else encoder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
+    ship(given.sparkSession)
     return given.mapInArrow(run, f"`{key}` {kind}, text string")
 
 
@@ -209,4 +213,5 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             n = pa.array([encoder.count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, name])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, f"{kinds}, `{name}` long")
