@@ -16,10 +16,15 @@ from .setops import concat
 BARE = ("sum", "total", "avg", "average", "avg_zero", "max", "min", "last", "current", "first", "range", "rangeOf", "median", "multiply", "diff", "count", "stddev")
 
 
+def rest_of(xs: Column) -> Column:
+    """All but the first element."""
+    return F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
+
+
 def common_tags(tags: Column) -> Column:
     """The tags that all maps of a group have in common, as an aggregate."""
     entries = F.collect_list(F.map_entries(F.coalesce(tags, empty_map())))
-    shared = F.aggregate(F.slice(entries, 2, 2**31 - 1), F.coalesce(entries[0], F.array().cast("array<struct<key:string,value:string>>")), lambda acc, x: F.array_intersect(acc, x))
+    shared = F.aggregate(rest_of(entries), F.coalesce(entries[0], F.array().cast("array<struct<key:string,value:string>>")), lambda acc, x: F.array_intersect(acc, x))
     return F.map_from_entries(shared)
 
 
@@ -154,7 +159,7 @@ def pow_series(ctx, a: Args) -> SeriesFrame:
 
     def how(v: Column, order: Column) -> Column:
         listed = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), v.alias("v")))), lambda x: x["v"])
-        out = F.aggregate(F.slice(listed, 2, 2**31 - 1), listed[0], lambda acc, x: F.pow(acc, x))
+        out = F.aggregate(rest_of(listed), listed[0], lambda acc, x: F.pow(acc, x))
         return F.when((F.count(v) == F.count(F.lit(1))) & (F.abs(out) != float("inf")), out)
 
     return grouped(a.all_series(), F.lit(0), how, F.lit(f"powSeries({_arg_text(a)})"))

@@ -270,8 +270,6 @@ def _combine() -> None:
     add("fn_percentileOfSeries_between", f"percentileOfSeries({ALL},70,true)", folded("quantile_cont(v, 0.7)", f"'percentileOfSeries({ALL},70)'"))
     two = "case when count(v) = count(*) and isfinite(pow(max(v) filter (gr = 'g0'), max(v) filter (gr = 'g1'))) then pow(max(v) filter (gr = 'g0'), max(v) filter (gr = 'g1')) end"
     add("fn_powSeries", "powSeries(scale(shop.click.g0,0.01),scale(shop.click.g1,0.01))", folded(two, "'powSeries(scale(shop.click.g0,0.01),scale(shop.click.g1,0.01))'", where="v is null or true", ctes="").replace("from pts where v is null or true", "from (select ts, gr, v * 0.01 as v from pts where et = 'click' and gr <> 'g2')"))
-    ints = "ks as (select distinct (v / 400)::int as k from pts where v is not null)"
-    del ints
     add("fn_countValues", f"countValues(round(scale({ALL},0.005)))", f"""with {_PTS}, q as (select ts, (round_even(v * 0.005, 0))::bigint as k from pts where v is not null), ks as (select distinct k from q), tt as (select distinct ts from pts), ct as (select k, ts, count(*) as c from q group by all)
 select ks.k::varchar as name, tt.ts, round(coalesce(c, 0), 6) + 0.0 as value from ks cross join tt left join ct on ct.k = ks.k and ct.ts = tt.ts""")
     add("fn_weightedAverage", "weightedAverage(shop.click.*,shop.view.*,2)", f"""with {_PTS}, a as (select gr, ts, v from pts where et = 'click'), b as (select gr, ts, v from pts where et = 'view')
@@ -384,8 +382,8 @@ def _shifts() -> None:
     base = f"with {points(*LATE)}, past as ({copies}), md as (select name as mname, ts as mts, median(v) as m from past group by all), bl as (select name, ts, v, m from pts left join md on mname = name and mts = ts), ok as (select name from bl group by name having avg(m) >= 0)"
     add("fn_baseline", f"baseline({ALL},'1d',1,4)", f"{base} select {called('baseline')} as name, ts, round(m, 6) + 0.0 as value from bl where name in (select name from ok)", LATE)
     add("fn_baselineAberration", f"baselineAberration({ALL},'1d',1,4)", f"{base} select {called('baselineAberration')} as name, ts, round(case when m <> 0 then v / m end, 6) + 0.0 as value from bl where name in (select name from ok)", LATE)
-    add("fn_timeShiftByMetric", "timeShiftByMetric(aliasSub(shop.view.*,'shop.view.g([0-9]).*','app.\\1_0'),aliasSub(shop.click.*,'shop.click.g([0-9]).*','mark.\\1_0'),1)", f"""with {_PTS}, mk as (select right(gr, 1)::int as major, max(ts) as at from pts where et = 'click' and v is not null group by all), tp as (select arg_max(at, major) as top from mk)
-select 'timeShiftByMetric(app.' || right(gr, 1) || '_0)' as name, ts + top - at as ts, round(v, 6) + 0.0 as value from pts join mk on major = right(gr, 1)::int, tp where et = 'view'""")
+    add("fn_timeShiftByMetric", "timeShiftByMetric(aliasSub(shop.view.*,'shop.view.g([0-9]).*','app.\\1_0'),aliasSub(shop.click.*,'shop.click.g([0-9]).*','mark.\\1_0'),1)", f"""with {_PTS}, mk as (select right(gr, 1)::int as major, max(ts) as seen from pts where et = 'click' and v is not null group by all), tp as (select arg_max(seen, major) as top from mk)
+select 'timeShiftByMetric(app.' || right(gr, 1) || '_0)' as name, ts + top - seen as ts, round(v, 6) + 0.0 as value from pts join mk on major = right(gr, 1)::int, tp where et = 'view'""")
 
 
 # -- names ------------------------------------------------------------------------

@@ -16,9 +16,12 @@ def _rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Totals and averages to ten digits: sums of doubles depend on their order."""
-    rounded = {c: F.format_string("%.9e", F.col(c)).cast("double") for p in (7, 30) for c in (f"total_{p}", f"avg_{p}")}
-    rounded = {c: F.when(F.col(c).isNotNull(), x) for c, x in rounded.items()}
+    """Totals to three decimals (very large ones to whole numbers or nine digits), averages of those: sums of doubles depend on their order."""
+    rounded = {}
+    for p in (7, 30):
+        t = F.col(f"total_{p}")
+        rounded[f"total_{p}"] = F.when(F.abs(t) < 1e12, F.round(t, 3)).when(F.abs(t) < 1e16, F.round(t, 0)).otherwise(F.format_string("%.8e", t).cast("double"))
+        rounded[f"avg_{p}"] = F.when(F.col(f"n_{p}") > 0, rounded[f"total_{p}"] / F.col(f"n_{p}"))
     return _rolling(spark, d).withColumns(rounded)
 
 
@@ -82,7 +85,7 @@ _P1_ROLLING = f"""with {_PLACED},
 wide as (select d.sid, d.day, coalesce(max(a.n) filter (a.day = d.day), 0)::bigint as n_day, {_period(7)}, {_period(30)}
   from days d left join daily a on a.sid = d.sid and a.day between d.day - 29 and d.day group by 1, 2)
 select sid, date '1970-01-01' + day::int as day, n_day > 0 as active, n_day,
-  printf('%.9e', total_7)::double as total_7, printf('%.9e', avg_7)::double as avg_7, min_7, max_7, n_7, printf('%.9e', total_30)::double as total_30, printf('%.9e', avg_30)::double as avg_30, min_30, max_30, n_30 from wide"""
+  case when abs(total_7) < 1e12 then round(total_7, 3) when abs(total_7) < 1e16 then round(total_7, 0) else printf('%.8e', total_7)::double end as total_7, case when n_7 > 0 then (case when abs(total_7) < 1e12 then round(total_7, 3) when abs(total_7) < 1e16 then round(total_7, 0) else printf('%.8e', total_7)::double end) / n_7 end as avg_7, min_7, max_7, n_7, case when abs(total_30) < 1e12 then round(total_30, 3) when abs(total_30) < 1e16 then round(total_30, 0) else printf('%.8e', total_30)::double end as total_30, case when n_30 > 0 then (case when abs(total_30) < 1e12 then round(total_30, 3) when abs(total_30) < 1e16 then round(total_30, 0) else printf('%.8e', total_30)::double end) / n_30 end as avg_30, min_30, max_30, n_30 from wide"""
 
 _TIMED = """
 clean as (
