@@ -144,11 +144,10 @@ def _level(rows: DataFrame, seed: int, root: bool) -> DataFrame:
     if not root:
         return done
 
-    @F.udf("double")
-    def toss(doc_id: int, p: float) -> float:
-        return 1.0 if _uniform(int(doc_id), 0, seed + 1) < p else 0.0
-
-    return done.withColumn("p", F.when(F.col("open"), toss("doc_id", "p")).otherwise(F.col("p"))).withColumn("open", F.lit(False))
+    # what is left at the root is decided by a number that depends only on the id and the seed
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**32)).cast("double") / float(2**32)
+    tossed = F.when(chance < F.col("p"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return done.withColumn("p", F.when(F.col("open"), tossed).otherwise(F.col("p"))).withColumn("open", F.lit(False))
 
 
 def sized_records(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
