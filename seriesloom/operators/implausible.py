@@ -2,35 +2,36 @@
 
 The plan, in stages:
 
-1. Responses are placed in time and cut into chunks of `chunk_slots` slots per
-   series, each with `halo_slots` slots of its neighbours on both sides. A series
-   with a third of all rows is spread over its chunks; one exchange on (series,
-   chunk) makes slots distinct, and a chunk's slots, bounded in number, become
-   one row of arrays.
-2. Each chunk is judged on its own: an undecimated wavelet transform of its
-   values, of which the medians of the recurring daily course are taken out,
-   gives detail coefficients; those beyond a robust multiple of their usual size
-   are candidates. A candidate is a spike if it leaves the level on both of its
-   sides in the same direction, so that lasting shifts and counter resets are
-   none. Runs without detail are stuck if such a run is too long for the series'
-   own habit of repeating values. Bounds by kind of measure give the impossible.
+1. Responses are cut by day, values staying in arrays: nothing is exploded. Days
+   that were delivered again are dropped, by partial aggregation before the
+   exchange, which spreads a series with a third of all rows over its days.
+2. Days meet in chunks of `chunk_slots` slots per series, each with `halo_slots`
+   slots of its neighbours on both sides, so that a task holds one chunk, bounded
+   whatever the series. Each chunk is judged on its own: an undecimated wavelet
+   transform of its values, of which the medians of the recurring daily course
+   are taken out, gives detail coefficients; those beyond a robust multiple of
+   their usual size are candidates. A candidate is a spike if it leaves the level
+   on both of its sides in the same direction, so that lasting shifts and counter
+   resets are none. Runs without detail are stuck if such a run is too long for
+   the series' own habit of repeating values. Bounds by kind of measure give the
+   impossible.
 3. The flagged slots, few, are grouped by series and day and meet the deliveries
-   again, cut likewise by day, so that a value delivered in several rows is
-   flagged in each without the values being sent again.
+   again, of which one byte a value (present or not) is sent, so that a value
+   delivered in several rows is flagged in each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship
-from .responses import DAY, canonical_name, place, present
+from .responses import DAY, canonical_name, present
 
 #: (part of the name, lowest, highest possible value); the first that occurs in the name holds.
 BOUNDS: tuple[tuple[str, float, float], ...] = (
@@ -61,15 +62,8 @@ def _window_median(y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     w = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, y, pad)), k)
     n = len(y)
 
-    def med(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.sort(x, axis=1)  # absent values go last
-        c = k - np.isnan(s).sum(axis=1)
-        rows = np.arange(len(s))
-        lo, hi = np.maximum((c - 1) // 2, 0), np.minimum(c // 2, k - 1)
-        return (s[rows, lo] + s[rows, hi]) / 2, c
-
-    left, cl = med(w[:n])
-    right, cr = med(w[k + 1 : k + 1 + n])
+    left, cl = _median_rows(w[:n])
+    right, cr = _median_rows(w[k + 1 : k + 1 + n])
     return left, right, cl, cr
 
 
@@ -95,6 +89,23 @@ def wavelet_details(y: np.ndarray, levels: int = 2) -> list[np.ndarray]:
     return details
 
 
+def _median_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the present values of each row, and how many there are; NaN where none is."""
+    s = np.sort(x, axis=1)  # absent values go last
+    c = x.shape[1] - np.isnan(s).sum(axis=1)
+    rows = np.arange(len(s))
+    return (s[rows, np.maximum((c - 1) // 2, 0)] + s[rows, np.minimum(c // 2, x.shape[1] - 1)]) / 2, c
+
+
+def _daily_course(e: np.ndarray, first: int, per_day: int, least_days: int = 5) -> np.ndarray:
+    """The median deviation at each time of day; 0 where fewer than `least_days` days have one."""
+    days = -(-(first + len(e)) // per_day)
+    grid = np.full(days * per_day, np.nan)
+    grid[first : first + len(e)] = e
+    med, c = _median_rows(np.ascontiguousarray(grid.reshape(days, per_day).T))
+    return np.where((c >= least_days) & ~np.isnan(med), med, 0.0)
+
+
 def _deviation(y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """How far each value lies outside what is between the levels on its two sides; and whether both sides are known."""
     left, right, cl, cr = _window_median(y, k)
@@ -142,11 +153,10 @@ def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float
         # what recurs at the same time of day is no excursion
         e, both = _deviation(y, k)
         if per_day >= 2:
-            at = slot % per_day
-            prof = pd.Series(e).groupby(at).agg(["median", "count"])
-            usual = prof["median"].where(prof["count"] >= 5, 0.0).reindex(range(per_day), fill_value=0.0).fillna(0.0).to_numpy()
-            y = y - usual[at]
-            e, both = _deviation(y, k)
+            usual = _daily_course(e, int(slot[0]) % per_day, per_day)
+            if usual.any():
+                y = y - usual[slot % per_day]
+                e, both = _deviation(y, k)
         v = y[seen]
         views.append([y, e, both, np.diff(v)])
     scales = [_scale(e, both, d) for _, e, both, d in views]
@@ -244,51 +254,99 @@ def judge(name: str, step: int, slot: np.ndarray, v: np.ndarray, threshold: floa
     }
 
 
+def _by_day(responses: DataFrame, keep: list[str]) -> DataFrame:
+    """Each response once per day it has values for: `keep, name, step, day, slot0, part`.
+
+    `part` are the values of that day before the response's stop, the first of
+    them in slot `slot0`.
+    """
+    usable = F.col("name").isNotNull() & (F.col("step") > 0) & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size("vals") > 0)
+    n = F.least(F.size("vals").cast("long"), F.ceil((F.col("stop") - F.col("start")) / F.col("step")))
+    rows = responses.select(*keep, canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(usable).withColumn("n", n.cast("long")).where("n > 0")
+    # times off the step belong to the slot they lie in
+    first = F.floor((F.col("start") - F.pmod("start", "step")) / DAY)
+    last = F.floor((F.col("start") - F.pmod("start", "step") + (F.col("n") - 1) * F.col("step")) / DAY)
+    days = rows.select(*keep, "name", "step", (F.floor(F.col("start") / F.col("step"))).cast("long").alias("s0"), "n", "vals", F.explode(F.sequence(first, last)).alias("day"))
+    i0 = F.greatest(F.ceil(F.col("day") * DAY / F.col("step")).cast("long") - F.col("s0"), F.lit(0))
+    i1 = F.least(F.ceil((F.col("day") + 1) * DAY / F.col("step")).cast("long") - F.col("s0"), F.col("n"))
+    return (
+        days.withColumn("i0", i0).withColumn("i1", i1).where("i1 > i0")
+        .select(*keep, "name", "step", F.col("day").cast("int").alias("day"), (F.col("s0") + F.col("i0")).alias("slot0"), F.slice("vals", (F.col("i0") + 1).cast("int"), (F.col("i1") - F.col("i0")).cast("int")).alias("part"))
+    )
+
+
 def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots: int = 32768, halo_slots: int = 1024) -> DataFrame:
     """`name, step, slot_ts, reason`: the implausible slots of each series.
 
     A series is a regular name with the step of its responses. Deliveries of one
     slot that disagree count with their largest value. A chunk's own values are
-    the measure of what is normal, `chunk_slots` slots (months) at a time.
+    the measure of what is normal, `chunk_slots` slots (months) at a time, in whole
+    days from the series' first.
     """
-    rows = responses.select(canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(F.col("name").isNotNull() & (F.col("step") > 0))
-    begin = rows.groupBy("name", "step").agg(F.floor(F.min("start") / F.col("step")).cast("long").alias("origin"))
-    values = place(rows.withColumn("by", F.col("step")).join(begin, ["name", "step"]).select("name", "start", "stop", "step", "vals", "by", "origin"), ["name", "by", "origin"])
-    slot = F.floor(F.col("ts") / F.col("by")).cast("long")
-    rel = F.col("slot") - F.col("origin")
-    home = F.floor(rel / F.lit(chunk_slots)).cast("int")
-    before = F.floor((rel - F.lit(halo_slots)) / F.lit(chunk_slots)).cast("int")
-    after = F.floor((rel + F.lit(halo_slots)) / F.lit(chunk_slots)).cast("int")
-    cut = values.withColumn("slot", slot).select(
-        "name", "by", "origin", "slot", "v", F.explode(F.array_distinct(F.filter(F.array(before, home, after), lambda c: c >= 0))).alias("chunk")
-    )
-    spread = cut.repartition("name", "by", "chunk")
-    once = spread.groupBy("name", "by", "origin", "chunk", "slot").agg(F.max("v").alias("v"))
-    chunks = once.groupBy("name", "by", "origin", "chunk").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("p")).select(
-        "name", "by", "origin", "chunk", F.col("p.slot").alias("slots"), F.col("p.v").alias("vs")
-    )
-    schema = T.StructType(
-        [T.StructField("name", T.StringType()), T.StructField("step", T.LongType()), T.StructField("slot_ts", T.LongType()), T.StructField("reason", T.StringType())]
+    parts = _by_day(responses, []).distinct()
+    begin = responses.select(canonical_name("name").alias("name"), "step", "start").where(F.col("name").isNotNull() & (F.col("step") > 0)).groupBy("name", "step").agg(F.floor(F.min("start") / DAY).cast("int").alias("origin"))
+    met = parts.join(begin, ["name", "step"])
+    days = F.greatest(F.floor(F.lit(chunk_slots) * F.col("step") / DAY), F.lit(1)).cast("int")
+    halo = F.least(F.greatest(F.ceil(F.lit(halo_slots) * F.col("step") / DAY), F.lit(1)), F.col("days")).cast("int")
+    rel = F.col("day") - F.col("origin")
+    spots = [F.floor((rel + d) / F.col("days")).cast("int") for d in (-F.col("halo"), F.lit(0), F.col("halo"))]
+    cut = met.withColumn("days", days).withColumn("halo", halo).select(
+        "name", "step", "origin", "days", "slot0", "part", F.explode(F.array_distinct(F.filter(F.array(*spots), lambda c: c >= 0))).alias("chunk")
     )
+    chunks = cut.repartition("name", "step", "chunk").sortWithinPartitions("name", "step", "chunk")
+    schema = "name string, step long, slot_ts long, reason string"
+    names = ["name", "step", "slot_ts", "reason"]
+    ship(chunks.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def close(key: tuple, parts: list[tuple[int, np.ndarray]]) -> list[pd.DataFrame]:
+        name, step, origin, days, chunk = key
+        first = min(s for s, _ in parts)
+        x = np.full(max(s + len(v) for s, v in parts) - first, np.nan)
+        for s, v in parts:
+            at = slice(s - first, s - first + len(v))
+            x[at] = np.fmax(x[at], v)
+        seen = np.flatnonzero(~np.isnan(x))
+        if not len(seen):
+            return []
+        lo = -(-(origin + chunk * days) * DAY // step)
+        hi = -(-(origin + (chunk + 1) * days) * DAY // step)
+        out = []
+        for reason, found in judge(name, step, seen + first, x[seen], threshold).items():
+            found = found[(found >= lo) & (found < hi)]
+            if len(found):
+                out.append(pd.DataFrame({"name": name, "step": step, "slot_ts": found * step, "reason": reason}))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        parts: list[tuple[int, np.ndarray]] = []
+
+        def made(out: list[pd.DataFrame]) -> pa.RecordBatch:
+            df = pd.concat(out) if out else pd.DataFrame({"name": [], "step": [], "slot_ts": [], "reason": []})
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(df[c].tolist(), k) for c, k in zip(names, kinds)], names=names)
+
+        for batch in batches:
             out: list[pd.DataFrame] = []
-            for name, step, origin, chunk, slots, vs in zip(pdf["name"], pdf["by"], pdf["origin"], pdf["chunk"], pdf["slots"], pdf["vs"]):
-                lo, hi = origin + chunk * chunk_slots, origin + (chunk + 1) * chunk_slots
-                for reason, found in judge(name, int(step), np.asarray(slots), np.asarray(vs, float), threshold).items():
-                    found = found[(found >= lo) & (found < hi)]
-                    if len(found):
-                        out.append(pd.DataFrame({"name": name, "step": step, "slot_ts": found * step, "reason": reason}))
-            if out:
-                yield pd.concat(out)
-
-    ship(chunks.sparkSession)
-    return chunks.mapInPandas(run, schema)
+            cols = [batch.column(c).to_pylist() for c in ("name", "step", "origin", "days", "chunk", "slot0")]
+            lists = batch.column("part")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
+            ends = np.concatenate(([0], np.cumsum([len(v) if v is not None else 0 for v in lists])))
+            for i, row in enumerate(zip(*cols)):
+                if row[:5] != key:
+                    if key is not None:
+                        out += close(key, parts)
+                    key, parts = row[:5], []
+                parts.append((row[5], flat[ends[i] : ends[i + 1]]))
+            yield made(out)
+        if key is not None:
+            yield made(close(key, parts))
+
+    return chunks.select("name", "step", "origin", "days", "chunk", "slot0", "part").mapInArrow(run, schema)
 
 
 def implausible_values(responses: DataFrame, threshold: float = 3.2) -> DataFrame:
-    """`fetch_id long, ts long, v double, reasons array<string>`: each implausible value of each delivery.
+    """`fetch_id long, ts long, reasons array<string>`: each implausible value of each delivery.
 
     Spikes, stuck readings and impossible values of `vals`, judged against the
     series' own behaviour; see implausible_slots(). Responses without a name, a
@@ -296,26 +354,18 @@ def implausible_values(responses: DataFrame, threshold: float = 3.2) -> DataFram
     flagged. A fetch_id that occurs twice is flagged once per value.
     """
     flagged = implausible_slots(responses, threshold)
-    by_day = flagged.groupBy("name", "step", F.floor(F.col("slot_ts") / DAY).cast("int").alias("day"), "slot_ts").agg(F.sort_array(F.collect_set("reason")).alias("reasons")).groupBy("name", "step", "day").agg(
-        F.collect_list(F.struct("slot_ts", "reasons")).alias("hits")
-    )
-    rows = responses.select("fetch_id", canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(
-        F.col("name").isNotNull() & (F.col("step") > 0) & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size("vals") > 0)
-    )
-    end = F.least(F.col("stop"), F.col("start") + F.size("vals") * F.col("step"))
-    # only the keys meet the flagged days; values are looked up in the row's own array
-    first = F.floor((F.col("start") - F.pmod(F.col("start"), F.col("step"))) / DAY).cast("int")
-    last = F.floor((end - 1) / DAY).cast("int")
-    days = rows.where(end > F.col("start")).select("*", F.explode(F.sequence(first, last)).alias("day"))
-    hits = days.join(by_day, ["name", "step", "day"]).select("fetch_id", "start", "stop", "step", "vals", F.explode("hits").alias("hit"))
-    place_of = F.floor((F.col("hit.slot_ts") - F.col("start") + F.pmod(F.col("start"), F.col("step"))) / F.col("step")).cast("int")
-    at = hits.withColumn("i", place_of).where((F.col("i") >= 0) & (F.col("i") < F.size("vals")))
-    return (
-        at.select("fetch_id", (F.col("start") + F.col("i") * F.col("step")).alias("ts"), "stop", F.element_at("vals", F.col("i") + 1).alias("v"), "hit.reasons")
-        .where((F.col("ts") < F.col("stop")) & present(F.col("v")))
-        .select("fetch_id", "ts", "v", "reasons")
-        .dropDuplicates(["fetch_id", "ts"])
+    day = F.floor(F.col("slot_ts") / DAY).cast("int").alias("day")
+    by_day = (
+        flagged.groupBy("name", "step", day, (F.col("slot_ts") / F.col("step")).cast("long").alias("slot"))
+        .agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+        .groupBy("name", "step", "day")
+        .agg(F.collect_list(F.struct("slot", "reasons")).alias("hits"))
     )
+    sent = _by_day(responses.select("fetch_id", "name", "start", "stop", "step", "vals", F.pmod("start", "step").alias("off")), ["fetch_id", "off"])
+    there = sent.withColumn("here", F.transform("part", lambda v: F.coalesce(present(v), F.lit(False)))).drop("part")
+    at = there.join(by_day, ["name", "step", "day"]).select("fetch_id", "off", "step", "slot0", "here", F.explode("hits").alias("hit"))
+    seen = at.where(F.coalesce(F.get("here", (F.col("hit.slot") - F.col("slot0")).cast("int")), F.lit(False)))
+    return seen.select("fetch_id", (F.col("hit.slot") * F.col("step") + F.col("off")).alias("ts"), "hit.reasons").dropDuplicates(["fetch_id", "ts"])
 
 
 def implausible_found(values: DataFrame) -> DataFrame:
