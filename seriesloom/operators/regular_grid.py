@@ -7,9 +7,8 @@ The plan, in stages:
    (source, block) serves both the removal of repeated readings and the sums per
    period.
 2. Each block's first and last reading is carried to its neighbours. Blocks are
-   grouped again by `block_periods`, so that no window ever runs over a whole
-   source's blocks: the carry is a tree of two levels over a list that is
-   smaller by that factor.
+   listed `block_periods` at a time, so that no window ever runs over a whole
+   source's blocks: the carry is a tree of two levels, each smaller by that factor.
 3. Sorted partitions stream into an as-of merge: a grid of periods against the
    block's readings, two binary searches giving each period its neighbours on
    both sides, then time-weighted linear interpolation.
@@ -69,27 +68,30 @@ def per_period(readings: DataFrame, targets: DataFrame, block_periods: int) -> D
     )
 
 
-def _carry(edges: DataFrame, fan: int) -> DataFrame:
-    """Adds to each block the last reading before it and the first after it, over two levels."""
-    upper = edges.withColumn("over", F.floor(F.col("block") / F.lit(fan)).cast("long"))
-    tops = upper.groupBy("target_id", "over").agg(
-        F.max_by(F.struct("block", "t1", "v1"), "block").alias("last"), F.min_by(F.struct("block", "t0", "v0"), "block").alias("first")
-    )
-    w1 = Window.partitionBy("target_id").orderBy("over")
-    tops = tops.select("target_id", "over", F.lag("last").over(w1).alias("far_last"), F.lead("first").over(w1).alias("far_first"))
-    w0 = Window.partitionBy("target_id", "over").orderBy("block")
-    near = upper.select(
-        "*",
-        F.lag(F.struct("block", "t1", "v1")).over(w0).alias("near_last"),
-        F.lead(F.struct("block", "t0", "v0")).over(w0).alias("near_first"),
-    )
-    both = near.join(tops, ["target_id", "over"])
-    return both.select(
-        "target_id", "step", "block",
-        F.coalesce("near_last", "far_last").alias("before"),
-        F.coalesce("near_first", "far_first").alias("after"),
-        "t0", "v0", "t1", "v1",
-    )
+def _frames(edges: DataFrame, fan: int) -> DataFrame:
+    """`target_id, step, block, t0, v0, t1, v1` of every block of the grid: the last reading before it and the first after it.
+
+    Blocks are listed `fan` at a time; only the ends of these lists, smaller again
+    by that factor, meet in a window over the source. Blocks without a reading
+    follow the block before them.
+    """
+    one = F.struct("block", "t0", "v0", "t1", "v1")
+    lists = edges.groupBy("target_id", "step", F.floor(F.col("block") / F.lit(fan)).cast("long").alias("over")).agg(F.sort_array(F.collect_list(one)).alias("bs"))
+    w = Window.partitionBy("target_id").orderBy("over")
+    linked = lists.select("target_id", "step", "bs", F.lag(F.element_at("bs", -1)).over(w).alias("far_last"), F.lead(F.col("bs")[0]).over(w).alias("far_first"))
+    spot = linked.select("target_id", "step", "bs", "far_last", "far_first", F.posexplode("bs").alias("i", "b"))
+    near = spot.select(
+        "target_id", "step", "b",
+        F.when(F.col("i") > 0, F.get("bs", F.col("i") - 1)).otherwise(F.col("far_last")).alias("before"),
+        F.coalesce(F.get("bs", F.col("i") + 1), F.col("far_first")).alias("after"),
+    )
+
+    def frame(block: Column, left: str) -> Column:
+        return F.struct(block.alias("block"), F.col(f"{left}.t1").alias("t0"), F.col(f"{left}.v1").alias("v0"), F.col("after.t0").alias("t1"), F.col("after.v0").alias("v1"))
+
+    gap = F.when(F.col("after.block") > F.col("b.block") + 1, F.sequence(F.col("b.block") + 1, F.col("after.block") - 1)).otherwise(F.array().cast("array<bigint>"))
+    every = F.concat(F.array(frame(F.col("b.block"), "before")), F.transform(gap, lambda k: frame(k, "b")))
+    return near.select("target_id", "step", F.explode(every).alias("f")).select("target_id", "step", "f.*")
 
 
 def regular_grid(
@@ -120,23 +122,9 @@ def regular_grid(
         F.min("t0").alias("t0"), F.min_by("v0", "t0").alias("v0"),
         F.max("t1").alias("t1"), F.max_by("v1", "t1").alias("v1"),
     )
-    carried = _carry(edges, block_periods)
-    # A block's grid runs to its own last period, or to its end where a later reading exists;
-    # the blocks without a reading in between are listed by the block before them.
-    cols = ("target_id", "step", "block", "slot", "v", "n", "t0", "v0", "t1", "v1")
-    frame = carried.select(
-        "target_id", "step", "block", F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"),
-        F.col("before.t1").alias("t0"), F.col("before.v1").alias("v0"), F.col("after.t0").alias("t1"), F.col("after.v0").alias("v1"),
-    )
-    empty = (
-        carried.where(F.col("after.block") > F.col("block") + 1)
-        .select("target_id", "step", F.explode(F.sequence(F.col("block") + 1, F.col("after.block") - 1)).alias("block"), "t1", "v1", "after")
-        .select(
-            "target_id", "step", "block", F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"),
-            F.col("t1").alias("t0"), F.col("v1").alias("v0"), F.col("after.t0").alias("t1"), F.col("after.v0").alias("v1"),
-        )
-    )
-    rows = periods.select(*cols).unionByName(frame).unionByName(empty)
+    # each block is opened by its frame (slot -1), then come its periods
+    frame = _frames(edges, block_periods).select("*", F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"))
+    rows = periods.select("target_id", "step", "block", "slot", "v", "n", "t0", "v0", "t1", "v1").unionByName(frame)
     ordered = rows.repartition("target_id", "block").sortWithinPartitions("target_id", "block", "slot")
     limit_s, limit_n = (float(max_gap_s) if max_gap_s is not None else None), int(max_gap_periods)
     schema = T.StructType(
