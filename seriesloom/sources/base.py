@@ -54,10 +54,11 @@ class TableSource:
     def scan(self, pattern: str, start: int, stop: int) -> SeriesFrame:
         lo, hi = -(-start // self.step) * self.step, -(-stop // self.step) * self.step
         path = F.split("name", ";")[0]
-        hit = self._slots(lo, hi).where(matches(pattern, F.col("name"), path, tags_of(F.col("name"))))
+        hit = self._slots(lo, hi).where(matches(pattern, F.col("name"), path, tags_of(F.col("name")))).withColumn("sid", F.xxhash64("name"))
         agg = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}[self.how]
-        slots = hit.groupBy("name", "ts").agg(agg("v").cast("double").alias("v")).withColumn("sid", F.xxhash64("name"))
-        dims = slots.groupBy("sid").agg(F.min("name").alias("name"))
+        # keyed by sid, so that the grid meets the slots in the exchange of this aggregate
+        slots = hit.groupBy("sid", "ts").agg(agg("v").cast("double").alias("v"))
+        dims = hit.groupBy("sid").agg(F.min("name").alias("name"))
         series = renumber(
             dims.select(
                 "sid", F.lit(0).alias("ord"), "name", F.lit(pattern).alias("path_expr"), tags_of(F.col("name")).alias("tags"),
