@@ -2,12 +2,11 @@
 
 The plan, in stages:
 
-1. responses -> (sid, ts, v), placed in time by built-in expressions; the
-   catalogue gives the sid before anything is shuffled, so that an exchange
-   moves three numbers a value and no names.
+1. The catalogue gives each response its sid, and the response is cut by day, its
+   values staying in arrays, so that an exchange moves eight bytes a value.
 2. One exchange on (sid, day). A series that holds a third of all rows is spread
-   over its days; slots are made distinct and the day's totals built inside that
-   same partitioning, with no further exchange.
+   over its days; days delivered again drop out, slots are made distinct and the
+   day's totals built inside that same partitioning, with no further exchange.
 3. Days are small next to values. They meet the calendar (each day of each
    series) in one exchange on (sid, block of days), each block with the longest
    period before it as a lead-in, so that no task needs a whole entity.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .responses import DAY, canonical_name, place, series_ids
+from .responses import DAY, by_day_parts, canonical_name, present, series_ids
 
 
 class TwoStackQueue:
@@ -93,16 +92,12 @@ def daily_activity(responses: DataFrame, series: DataFrame) -> DataFrame:
     agree in these data; where they do not, the largest value is taken, so that
     the result depends on no order.
     """
-    rows = responses.select(canonical_name("name").alias("__name"), "start", "stop", "step", "vals", F.col("step").alias("__by")).where(F.col("__name").isNotNull())
+    rows = responses.select(canonical_name("name").alias("__name"), "start", "stop", "step", "vals").where(F.col("__name").isNotNull())
     known = rows.join(series_ids(series), "__name").drop("__name")
-    values = place(known, ["sid", "__by"]).select(
-        "sid",
-        F.floor(F.col("ts") / F.lit(DAY)).cast("int").alias("day"),
-        (F.col("ts") - F.pmod(F.col("ts"), F.col("__by"))).alias("slot"),
-        "v",
-    )
-    spread = values.repartition("sid", "day")
-    slots = spread.groupBy("sid", "day", "slot").agg(F.max("v").alias("v"))
+    # a day delivered again as it was drops out within the exchange's own tasks
+    parts = by_day_parts(known, ["sid"]).repartition("sid", "day").dropDuplicates(["sid", "day", "step", "slot0", "part"])
+    values = parts.select("sid", "day", "step", "slot0", F.posexplode("part").alias("i", "v")).where(present(F.col("v")))
+    slots = values.groupBy("sid", "day", ((F.col("slot0") + F.col("i")) * F.col("step")).alias("slot")).agg(F.max("v").alias("v"))
     return slots.groupBy("sid", "day").agg(
         F.sum("v").alias("total"), F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
