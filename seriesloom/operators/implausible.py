@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .responses import DAY, canonical_name, present
+from .responses import DAY, by_day_parts, canonical_name, present
 
 #: (part of the name, lowest, highest possible value); the first that occurs in the name holds.
 BOUNDS: tuple[tuple[str, float, float], ...] = (
@@ -56,15 +56,29 @@ def bounds_of(name: str, bounds: tuple[tuple[str, float, float], ...] = BOUNDS)
     return -1.7e308, 1.7e308
 
 
-def _window_median(y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Medians of the k places before and after each place, and how many of them are present."""
-    pad = np.full(k, np.nan)
-    w = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, y, pad)), k)
-    n = len(y)
+def _median_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the present values of each row, and how many there are; NaN where none is."""
+    s = np.sort(x, axis=1)  # absent values go last
+    c = x.shape[1] - np.isnan(s).sum(axis=1)
+    rows = np.arange(len(s))
+    return (s[rows, np.maximum((c - 1) // 2, 0)] + s[rows, np.minimum(c // 2, x.shape[1] - 1)]) / 2, c
+
 
-    left, cl = _median_rows(w[:n])
-    right, cr = _median_rows(w[k + 1 : k + 1 + n])
-    return left, right, cl, cr
+def _sides(y: np.ndarray, k: int, gaps: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each gap the levels on both sides of each place, and whether both are known.
+
+    A level is the median of k places, the nearest of them `gap` places away; it
+    is known if two of them are present.
+    """
+    m = max(gaps) - 1
+    pad = np.full(k + m, np.nan)
+    w = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, y, pad)), k)
+    med, c = _median_rows(w)
+    n, out = len(y), []
+    for g in gaps:
+        before, after = slice(m - g + 1, m - g + 1 + n), slice(k + m + g, k + m + g + n)
+        out.append((med[before], med[after], (c[before] >= 2) & (c[after] >= 2)))
+    return out
 
 
 def wavelet_details(y: np.ndarray, levels: int = 2) -> list[np.ndarray]:
@@ -89,14 +103,6 @@ def wavelet_details(y: np.ndarray, levels: int = 2) -> list[np.ndarray]:
     return details
 
 
-def _median_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The median of the present values of each row, and how many there are; NaN where none is."""
-    s = np.sort(x, axis=1)  # absent values go last
-    c = x.shape[1] - np.isnan(s).sum(axis=1)
-    rows = np.arange(len(s))
-    return (s[rows, np.maximum((c - 1) // 2, 0)] + s[rows, np.minimum(c // 2, x.shape[1] - 1)]) / 2, c
-
-
 def _daily_course(e: np.ndarray, first: int, per_day: int, least_days: int = 5) -> np.ndarray:
     """The median deviation at each time of day; 0 where fewer than `least_days` days have one."""
     days = -(-(first + len(e)) // per_day)
@@ -106,100 +112,100 @@ def _daily_course(e: np.ndarray, first: int, per_day: int, least_days: int = 5)
     return np.where((c >= least_days) & ~np.isnan(med), med, 0.0)
 
 
-def _deviation(y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far each value lies outside what is between the levels on its two sides; and whether both sides are known."""
-    left, right, cl, cr = _window_median(y, k)
-    both = (cl >= 2) & (cr >= 2)
+def _outside(y: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How far each value lies outside what is between the levels on its two sides; NaN where that is not known."""
     lo, hi = np.fmin(left, right), np.fmax(left, right)
     e = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
-    e[np.isnan(y)] = np.nan
-    return e, both
+    e[~known | np.isnan(y)] = np.nan
+    return e
 
 
-def _scale(e: np.ndarray, ok: np.ndarray, steps: np.ndarray) -> float:
-    f = np.abs(e[ok & ~np.isnan(e)])
+def _scale(e: np.ndarray, steps: np.ndarray, gap: int) -> float:
+    """The usual size of deviations; slopes count as usual."""
+    f = np.abs(e[~np.isnan(e)])
     if len(f) == 0:
         return 1e-12
-    q95, q98 = np.quantile(f, (0.95, 0.98))  # a tenth of a percent of spikes does not move these
+    q95, q98 = np.quantile(f, (0.95, 0.98))  # spikes are rarer than this
     typical = np.median(np.abs(steps)) if len(steps) else 0.0
-    return float(max(q95, 0.6 * q98, 1.5 * typical, 1e-12))
+    return float(max(q95, 0.6 * q98, 0.7 * (gap + 1.5) * typical, 1e-12))
 
 
-def _burst_factor(e: np.ndarray, ok: np.ndarray) -> float:
+def _burst_factor(e: np.ndarray) -> float:
     """More is asked of a ratio where large ratios with a long tail are the series' habit."""
-    f = np.abs(e[ok & ~np.isnan(e)])
+    f = np.abs(e[~np.isnan(e)])
     if len(f) == 0:
         return 1.0
     q90, q95, q99 = np.quantile(f, (0.9, 0.95, 0.99))
     return 1.4 if q95 > 0.5 and q99 > 2.0 * q90 else 1.0
 
 
+GAPS = (1, 3)
+
+
 def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float = 3.2, k: int = 4) -> np.ndarray:
     """Marks the brief excursions of a regular series with absent places (NaN).
 
     A value must be far off both as a difference and as a ratio: bursts that are
     usual for a series are usual as ratios, and noise near zero as differences.
+    The levels on its sides are taken next to it and, for wide excursions, three
+    places away.
     """
     n = len(x)
     seen = ~np.isnan(x)
     if seen.sum() < 8:
         return np.zeros(n, bool)
     size = np.abs(x[seen])
-    unit = np.quantile(size[size > 0], 0.25) if (size > 0).any() else 1.0
     level = float(np.median(size))
+    # of series that are often 0, small numbers are no ratio of anything
+    unit = np.quantile(size[size > 0], 0.75 if (size == 0).mean() > 0.02 else 0.0625) if (size > 0).any() else 1.0
     views = []
     for ratio in (False, True):
-        y = np.sign(x) * np.log1p(np.abs(x) / unit * 4) if ratio else x
-        # what recurs at the same time of day is no excursion
-        e, both = _deviation(y, k)
-        if per_day >= 2:
-            usual = _daily_course(e, int(slot[0]) % per_day, per_day)
+        y = np.sign(x) * np.log1p(np.abs(x) / unit) if ratio else x
+        es = [_outside(y, *side) for side in _sides(y, k, GAPS)]
+        if per_day >= 2:  # what recurs at the same time of day is no excursion
+            usual = _daily_course(es[0], int(slot[0]) % per_day, per_day)
             if usual.any():
                 y = y - usual[slot % per_day]
-                e, both = _deviation(y, k)
-        v = y[seen]
-        views.append([y, e, both, np.diff(v)])
-    scales = [_scale(e, both, d) for _, e, both, d in views]
-    limits = [threshold, threshold * _burst_factor(views[1][1], views[1][2])]
-    scales_up = [max(s, 1e-3 if i else 0.0005 * level) for i, s in enumerate(scales)]
+                es = [_outside(y, *side) for side in _sides(y, k, GAPS)]
+        steps = np.diff(y[seen])
+        least = 1e-4 if ratio else 1e-4 * level
+        limit = threshold * (_burst_factor(es[0]) if ratio else 1.0)
+        views.append((y, [max(_scale(e, steps, g), least) * limit for e, g in zip(es, GAPS)]))
     # candidates: details beyond a robust multiple of their usual size
     cand = np.zeros(n, bool)
-    for (y, *_), s in zip(views, scales):
+    for y, limits in views:
         for w in wavelet_details(y):
             a = np.abs(w[~np.isnan(w)])
             mad = 1.4826 * np.median(a) if len(a) else 0.0
-            cand |= np.abs(np.nan_to_num(w)) > max(2.0 * mad, 0.25 * s)
+            cand |= np.abs(np.nan_to_num(w)) > max(2.0 * mad, 0.08 * limits[0])
     for shift in (-1, 1):  # a wide excursion has its detail at its edges
         cand |= np.roll(cand, shift)
-    flag = np.zeros(n, bool)
+    flag, best = np.zeros(n, bool), np.zeros(n)
     for _ in range(3):
-        scores = []
-        for (y, *_rest), s, limit in zip(views, scales_up, limits):
+        parts = []
+        for y, limits in views:
             z = np.where(flag, np.nan, y)
-            left, right, cl, cr = _window_median(z, k)
-            known = (cl >= 2) & (cr >= 2)
-            lo, hi = np.fmin(left, right), np.fmax(left, right)
-            e = np.where(y > hi, y - hi, np.where(y < lo, lo - y, 0.0)) / (s * limit)
-            e[~known | np.isnan(y)] = 0.0
-            scores.append(e)
-        score = np.fmin(*scores)
+            e = [np.abs(np.nan_to_num(_outside(y, *side))) / lim for side, lim in zip(_sides(z, k, GAPS), limits)]
+            parts.append(e)
+        score = np.max([np.minimum(p, q) for p, q in zip(*parts)], axis=0)
         near = np.zeros(n, bool)
         for d in (1, 2):
             near[d:] |= flag[:-d]
             near[:-d] |= flag[d:]
-        new = cand & (score > 1.0) & (~flag if not flag.any() else near & ~flag)
+        # beside a value that is far off, less is asked
+        new = (near & (score > 0.7) if flag.any() else cand & (score > 1.0)) & ~flag
         if not new.any():
             break
+        best[new] = score[new]
         flag |= new
-    # an excursion is brief: four or more values in a row are a state of their own
+    # an excursion is brief: of more than four values in a row only those stay that are far beyond the others
     idx = np.flatnonzero(flag)
     if len(idx):
         order = np.cumsum(seen) - 1
-        pos = order[idx]
-        cut = np.flatnonzero(np.diff(pos) > 1) + 1
-        for part in np.split(idx, cut):
+        for part in np.split(idx, np.flatnonzero(np.diff(order[idx]) > 1) + 1):
             if len(part) > 4:
-                flag[part] = False
+                strong = best[part] > 0.4 * best[part].max()
+                flag[part] = strong if strong.sum() <= 4 else False
     return flag
 
 
@@ -254,25 +260,8 @@ def judge(name: str, step: int, slot: np.ndarray, v: np.ndarray, threshold: floa
     }
 
 
-def _by_day(responses: DataFrame, keep: list[str]) -> DataFrame:
-    """Each response once per day it has values for: `keep, name, step, day, slot0, part`.
-
-    `part` are the values of that day before the response's stop, the first of
-    them in slot `slot0`.
-    """
-    usable = F.col("name").isNotNull() & (F.col("step") > 0) & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size("vals") > 0)
-    n = F.least(F.size("vals").cast("long"), F.ceil((F.col("stop") - F.col("start")) / F.col("step")))
-    rows = responses.select(*keep, canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(usable).withColumn("n", n.cast("long")).where("n > 0")
-    # times off the step belong to the slot they lie in
-    first = F.floor((F.col("start") - F.pmod("start", "step")) / DAY)
-    last = F.floor((F.col("start") - F.pmod("start", "step") + (F.col("n") - 1) * F.col("step")) / DAY)
-    days = rows.select(*keep, "name", "step", (F.floor(F.col("start") / F.col("step"))).cast("long").alias("s0"), "n", "vals", F.explode(F.sequence(first, last)).alias("day"))
-    i0 = F.greatest(F.ceil(F.col("day") * DAY / F.col("step")).cast("long") - F.col("s0"), F.lit(0))
-    i1 = F.least(F.ceil((F.col("day") + 1) * DAY / F.col("step")).cast("long") - F.col("s0"), F.col("n"))
-    return (
-        days.withColumn("i0", i0).withColumn("i1", i1).where("i1 > i0")
-        .select(*keep, "name", "step", F.col("day").cast("int").alias("day"), (F.col("s0") + F.col("i0")).alias("slot0"), F.slice("vals", (F.col("i0") + 1).cast("int"), (F.col("i1") - F.col("i0")).cast("int")).alias("part"))
-    )
+def _named(responses: DataFrame, *more) -> DataFrame:
+    return responses.select(*more, canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(F.col("name").isNotNull())
 
 
 def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots: int = 32768, halo_slots: int = 1024) -> DataFrame:
@@ -283,7 +272,7 @@ def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots:
     the measure of what is normal, `chunk_slots` slots (months) at a time, in whole
     days from the series' first.
     """
-    parts = _by_day(responses, []).distinct()
+    parts = by_day_parts(_named(responses), ["name"]).distinct()
     begin = responses.select(canonical_name("name").alias("name"), "step", "start").where(F.col("name").isNotNull() & (F.col("step") > 0)).groupBy("name", "step").agg(F.floor(F.min("start") / DAY).cast("int").alias("origin"))
     met = parts.join(begin, ["name", "step"])
     days = F.greatest(F.floor(F.lit(chunk_slots) * F.col("step") / DAY), F.lit(1)).cast("int")
@@ -361,7 +350,7 @@ def implausible_values(responses: DataFrame, threshold: float = 3.2) -> DataFram
         .groupBy("name", "step", "day")
         .agg(F.collect_list(F.struct("slot", "reasons")).alias("hits"))
     )
-    sent = _by_day(responses.select("fetch_id", "name", "start", "stop", "step", "vals", F.pmod("start", "step").alias("off")), ["fetch_id", "off"])
+    sent = by_day_parts(_named(responses, "fetch_id", F.pmod("start", "step").alias("off")), ["fetch_id", "off", "name"])
     there = sent.withColumn("here", F.transform("part", lambda v: F.coalesce(present(v), F.lit(False)))).drop("part")
     at = there.join(by_day, ["name", "step", "day"]).select("fetch_id", "off", "step", "slot0", "here", F.explode("hits").alias("hit"))
     seen = at.where(F.coalesce(F.get("here", (F.col("hit.slot") - F.col("slot0")).cast("int")), F.lit(False)))
