@@ -105,13 +105,12 @@ class UnionSource:
         self.sources = sources
 
     def scan(self, pattern: str, start: int, stop: int) -> SeriesFrame:
-        parts = [s.scan(pattern, start, stop) for s in self.sources]
-        series = reduce(DataFrame.unionByName, [p.series.withColumn("ord", F.col("ord") + F.lit(10_000_000 * i)) for i, p in enumerate(parts)])
-        steps = {p.step for p in parts}
-        return SeriesFrame(renumber(series, F.col("ord")), reduce(DataFrame.unionByName, [p.points for p in parts]), steps.pop() if len(steps) == 1 else None)
+        from ..functions.setops import concat
+
+        return concat([s.scan(pattern, start, stop) for s in self.sources])
 
     def catalogue(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [s.catalogue() for s in self.sources]).distinct()
+        return reduce(DataFrame.unionByName, [s.catalogue() for s in self.sources]).dropDuplicates(["name"])
 
 
 __all__ = ["TAG_QUERY", "MemorySource", "SeriesSource", "TableSource", "UnionSource", "dense"]

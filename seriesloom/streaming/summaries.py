@@ -18,14 +18,15 @@ def _value(how: str, v: str) -> Column:
     return _SIMPLE[how](v).cast("double")
 
 
-def summarize_stream(stream: DataFrame, interval: str, how: str = "sum", name: str = "name", time: str = "ts", v: str = "v", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+def summarize_stream(stream: DataFrame, interval: str, how: str = "sum", name: str = "name", time: str = "ts", v: str = "v", late: str | None = "10 minutes", slide: str | None = None) -> DataFrame:
     """`name, ts, value` per bucket of a stream (or a static table), tumbling or sliding.
 
     Values may come `late` by as much; what is later is left out, and state older
-    than that is dropped.
+    than that is dropped. None keeps the lateness that the stream has already, as
+    after distinct_readings().
     """
     window = F.window(time, interval, slide) if slide else F.window(time, interval)
-    rows = stream.withWatermark(time, late).where(F.col(v).isNotNull() & ~F.isnan(v))
+    rows = (stream.withWatermark(time, late) if late else stream).where(F.col(v).isNotNull() & ~F.isnan(v))
     return rows.groupBy(name, window.alias("w")).agg(_value(how, v).alias("value")).select(F.col(name).alias("name"), F.unix_timestamp("w.start").alias("ts"), "value")
 
 
