@@ -43,18 +43,44 @@ def common(frame: SeriesFrame) -> SeriesFrame:
     return to_step(frame, lcm_step(frame))
 
 
-def max_points(frame: SeriesFrame, most: int) -> SeriesFrame:
-    """At most `most` points per series: blocks of neighbours merged by each series' consolidation function."""
+#: The steps a source is asked for, in seconds (fixed values).
+STEPS = (20, 30, 60, 120, 300, 600, 900, 1200, 1800, 3600, 7200, 10800, 21600, 43200, 86400)
+
+
+def choose_step(start: int, stop: int, most: int, least: int, keep_least_within: int = 0) -> int:
+    """A step for a range that gives `most` points at most, from the usual ones; never below `least`.
+
+    Ranges shorter than `keep_least_within` seconds keep the least step; very long
+    ones get a day.
+    """
+    span = stop - start
+    want = max(least, -(-span // most))
+    if span < keep_least_within or want <= least:
+        return least
+    return next((s for s in STEPS if want <= s), STEPS[-1])
+
+
+def max_points(frame: SeriesFrame, most: int, nudge: bool = False, stamp_last: bool = False) -> SeriesFrame:
+    """At most `most` points per series: blocks of neighbours merged by each series' consolidation function.
+
+    With `nudge` leading points are left out so that blocks begin one step after
+    multiples of their size, whatever the range; series of two blocks or less keep
+    them. With `stamp_last` a block has the time of its last point.
+    """
     span = frame.series.agg(F.min("start").alias("a"), F.max("stop").alias("b")).first()
     if most <= 0 or span is None or span["a"] is None:
         return frame
     whole = int(span["b"]) - int(span["a"])
     p = F.floor(F.lit(whole) / F.col("step"))
     vpp = F.when(p > most, F.ceil(p / F.lit(most))).otherwise(F.lit(1)).cast("long")
-    meta = frame.series.select("sid", "start", "step", "cons_func", vpp.alias("vpp"))
-    got = frame.points.join(meta, "sid")
-    size = F.col("vpp") * F.col("step")
-    slot = (F.col("start") + F.floor((F.col("ts") - F.col("start")) / size).cast("long") * size).alias("slot")
-    points = got.select("sid", slot, "ts", "v", "cons_func").groupBy("sid", "slot").agg(consolidate(F.col("v"), F.col("ts"), F.col("cons_func")).alias("v"))
-    series = frame.series.withColumn("step", F.col("step") * vpp)
-    return SeriesFrame(series, points.withColumnRenamed("slot", "ts").select("sid", "ts", "v"), None)
+    dims = frame.series.select("sid", "start", "stop", "step", "cons_func", vpp.alias("vpp")).withColumn("size", F.col("vpp") * F.col("step"))
+    left = F.pmod(F.col("size") - F.pmod(F.col("start") - F.col("step"), F.col("size")), F.col("size"))
+    long_enough = (F.col("stop") - F.col("start")) / F.col("step") > 2 * F.col("vpp")
+    skip = F.when(F.lit(nudge) & long_enough, F.floor(left / F.col("step")) * F.col("step")).otherwise(0).cast("long")
+    dims = dims.withColumn("begin", F.col("start") + skip).drop("start", "stop")
+    got = frame.points.join(dims, "sid").where(F.col("ts") >= F.col("begin"))
+    slot = (F.col("begin") + F.floor((F.col("ts") - F.col("begin")) / F.col("size")).cast("long") * F.col("size")).alias("slot")
+    merged = got.select("sid", slot, "ts", "v", "cons_func").groupBy("sid", "slot").agg(consolidate(F.col("v"), F.col("ts"), F.col("cons_func")).alias("v"), F.max("ts").alias("last"))
+    points = merged.select("sid", (F.col("last") if stamp_last else F.col("slot")).alias("ts"), "v")
+    series = frame.series.join(dims.select("sid", "begin", "size"), "sid").withColumns({"start": F.col("begin"), "step": F.col("size")}).drop("begin", "size")
+    return SeriesFrame(series, points, None)

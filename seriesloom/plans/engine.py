@@ -102,10 +102,10 @@ class Engine:
             raise EvalError("the range is empty")
         return Context(self, a, b, now).eval(target)
 
-    def render(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, max_data_points: int = 0) -> DataFrame:
-        """`ord, name, ts, value` of all targets, lists one after the other, merged for display where asked."""
+    def render(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, max_data_points: int = 0, **display) -> DataFrame:
+        """`ord, name, ts, value` of all targets, lists one after the other, merged for display where asked (see max_points())."""
         frame = self.many(targets, start, until, now)
-        return (align.max_points(frame, max_data_points) if max_data_points else frame).result()
+        return (align.max_points(frame, max_data_points, **display) if max_data_points else frame).result()
 
     def many(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None) -> SeriesFrame:
         from ..functions.setops import concat

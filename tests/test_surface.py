@@ -105,6 +105,18 @@ def test_display_consolidation(spark):
     got = align.max_points(f, 3).result().orderBy("ord", "ts").collect()
     assert [(r["name"], r["ts"], r["value"]) for r in got] == [("m", 0, 3.0), ("m", 30, 4.0), ("m", 60, 7.0), ("n", 0, 2.0), ("n", 30, 5.0), ("n", 60, 7.0)]
     assert align.max_points(f, 100).result().count() == 14
+    late = frame_of(spark, [S("m", [1, 2, 3, 4, 5], 3, 4, cons_func="sum")])
+    blocks = lambda **k: [(r["ts"], r["value"]) for r in align.max_points(late, 3, **k).result().orderBy("ts").collect()]
+    assert blocks() == [(4, 3.0), (10, 7.0), (16, 5.0)]
+    assert blocks(stamp_last=True) == [(7, 3.0), (13, 7.0), (16, 5.0)]
+    # blocks of six seconds begin at 3, 9, 15: the first point is left out
+    assert blocks(nudge=True) == [(7, 5.0), (13, 9.0)]
+
+
+@pytest.mark.parametrize("span, most, least, step", [(600, 1000, 10, 10), (3600, 100, 10, 60), (86400, 1000, 15, 120), (10**9, 100, 15, 86400), (30, 1, 15, 30)])
+def test_steps_of_a_range(span, most, least, step):
+    assert align.choose_step(0, span, most, least) == step
+    assert align.choose_step(0, span, most, least, span + 1) == least
 
 
 def test_common_step_uses_each_series_own_function(spark):
