@@ -170,23 +170,23 @@ def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float
         steps = np.diff(y[seen])
         least = 1e-4 if ratio else 1e-4 * level
         limit = threshold * (_burst_factor(es[0]) if ratio else 1.0)
-        views.append((y, [max(_scale(e, steps, g), least) * limit for e, g in zip(es, GAPS)]))
+        views.append((y, [max(_scale(e, steps, g), least) * limit for e, g in zip(es, GAPS)], es))
     # candidates: details beyond a robust multiple of their usual size
     cand = np.zeros(n, bool)
-    for y, limits in views:
+    for y, limits, _ in views:
         for w in wavelet_details(y):
             a = np.abs(w[~np.isnan(w)])
             mad = 1.4826 * np.median(a) if len(a) else 0.0
-            cand |= np.abs(np.nan_to_num(w)) > max(2.0 * mad, 0.08 * limits[0])
+            cand |= np.abs(np.where(np.isnan(w), 0.0, w)) > max(2.0 * mad, 0.08 * limits[0])
     for shift in (-1, 1):  # a wide excursion has its detail at its edges
         cand |= np.roll(cand, shift)
     flag, best = np.zeros(n, bool), np.zeros(n)
     for _ in range(3):
         parts = []
-        for y, limits in views:
-            z = np.where(flag, np.nan, y)
-            e = [np.abs(np.nan_to_num(_outside(y, *side))) / lim for side, lim in zip(_sides(z, k, GAPS), limits)]
-            parts.append(e)
+        for y, limits, es in views:
+            if flag.any():  # levels without what was found so far
+                es = [_outside(y, *side) for side in _sides(np.where(flag, np.nan, y), k, GAPS)]
+            parts.append([np.abs(np.where(np.isnan(e), 0.0, e)) / lim for e, lim in zip(es, limits)])
         score = np.max([np.minimum(p, q) for p, q in zip(*parts)], axis=0)
         near = np.zeros(n, bool)
         for d in (1, 2):
@@ -228,11 +228,11 @@ def find_stuck(x: np.ndarray, least: int = 5, expected: float = 1e-3, habit: flo
     length = ends - begins + 1
     values = v[begins]
     runs, repeats = len(length), len(v) - len(length)
-    by_value = pd.DataFrame({"v": values, "l": length}).groupby("v")["l"].agg(["count", "sum"])
     for r in np.flatnonzero((length >= least) & (length <= habit * len(v))):
         own = length[r] - 1
         p = (repeats - own + 0.5) / (repeats - own + runs + 1)
-        c, s = by_value.loc[values[r]]
+        alike = length[values == values[r]]
+        c, s = len(alike), alike.sum()
         same = (s - c) - own
         p_same = (same + 0.5) / (same + c + 1) if c >= 5 else 0.0
         if runs * max(p, p_same) ** own < expected:
