@@ -36,7 +36,7 @@ def rows(v: Column) -> Column:
 
 
 def product(v: Column) -> Column:
-    """The product of present values, from signs and logarithms where built-ins have none that skips absent ones."""
+    """The product of present values."""
     return F.product(v)
 
 
