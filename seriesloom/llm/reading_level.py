@@ -13,11 +13,13 @@ The plan, in stages:
 
 1. One pass over the texts counts, per language, words and sentences (as 64-bit
    hashes; counts are added up per batch before the exchange). No row holds text.
-2. Sentences in at least `common_share` of all documents are common; there can be
-   no more of them than sentences per document / share, a few thousand, whatever
-   the corpus. Ranks come from the counts of counts. The `head` most frequent
-   words per language go to the workers, a bounded table.
-3. A second pass gives each document its features. Where the head does not cover
+2. Sentences in at least `common_share` of all documents may be common; there can
+   be no more of them than sentences per document / share, a few thousand,
+   whatever the corpus. A second pass gives each document's outline of them, and
+   those that are in as many distinct pages, mirrored copies counted once, are
+   common. Ranks come from the counts of counts. The `head` most frequent words
+   per language go to the workers, a bounded table.
+3. A third pass gives each document its features. Where the head does not cover
    a share, the document's words meet the whole vocabulary in a join (an exact
    way for the rest; few or no rows).
 4. Scores and level by expressions over the features.
@@ -147,6 +149,58 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "kind string, lang string, h long, n long").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
 
 
+def outlines(docs: DataFrame, frequent: frozenset[int], text: str = "text", least_words: int = 20, own_share: float = 1 / 3) -> DataFrame:
+    """`own long, hs array<long>`: what is around the frequent sentences of each document that has any.
+
+    `hs` are its frequent sentences, longest first. `own` is its longest other
+    sentence if those hold `least_words` words and `own_share` of all; it is null
+    in copies, whose sentences are frequent but for slight changes, and in pages
+    of nothing but notices or errors. Alike rows are given once a batch.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            seen: set[tuple] = set()
+            for t in batch.column(0).to_pylist():
+                size = {mask(s): s.count(" ") + 1 for s in sentences(t)}
+                hs = [h for h in size if h in frequent]
+                if hs:
+                    rare = [(n, h) for h, n in size.items() if h not in frequent]
+                    words = sum(n for n, _ in rare)
+                    whole = words >= max(least_words, own_share * sum(size.values()))
+                    seen.add((max(rare)[1] if whole else None, tuple(sorted(hs, key=lambda h: (-size[h], h)))))
+            cols = list(zip(*seen)) if seen else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], names=["own", "hs"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "own long, hs array<long>")
+
+
+def common_sentences(outline: DataFrame, limit: int, rounds: int = 8) -> frozenset[int]:
+    """The sentences that are in at least `limit` distinct pages of outlines().
+
+    Pages are told apart by one sentence beside the one in question: `own`, or
+    where that is null the longest frequent one not yet known to be common. So
+    the copies of a page, also slightly changed or in other surroundings, count
+    as one or few. Rounds end when no more is found; each asks for few rows.
+    """
+    common: frozenset[int] = frozenset()
+    rest = checkpoint(outline.dropDuplicates(["own", "hs"]))
+    for _ in range(rounds):
+        known = F.split(F.lit(",".join(map(str, sorted(common)))), ",").cast("array<long>")  # one literal, however many
+        left = rest.select("own", F.array_except("hs", known).alias("hs")) if common else rest
+        pairs = left.select("own", F.slice("hs", 1, 2).alias("two"), F.explode("hs").alias("h"))
+        beside = F.coalesce("own", F.when(F.get("two", F.lit(0)) != F.col("h"), F.get("two", F.lit(0))).otherwise(F.get("two", F.lit(1))), F.lit(0))
+        pages = pairs.select("h", beside.alias("page")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        new = {r["h"] for r in pages.where(F.col("n") >= limit).select("h").collect()}
+        if not new:
+            break
+        common |= new
+    return common
+
+
 def word_ranks(counts: DataFrame) -> DataFrame:
     """`lang, h, rank`: the size of the smallest frequency-ranked vocabulary that has the word; ties enter together."""
     words = counts.where("kind = 'w'").select("lang", "h", "n")
@@ -222,7 +276,7 @@ class Calibration:
 
 
 def _scores(df: DataFrame, params: dict[str, list]) -> DataFrame:
-    """Adds `level`: the best Gaussian of the document's language over the array `x`."""
+    """Adds `level`: the best Gaussian of the document's language over the array `x`; null where that is."""
     spark = df.sparkSession
     flat = [(lang, [(name, mu, rows, const) for name, mu, rows, const in ps]) for lang, ps in params.items()]
     kinds = "lang string, g array<struct<name:string,mu:array<double>,u:array<array<double>>,c:double>>"
@@ -234,7 +288,7 @@ def _scores(df: DataFrame, params: dict[str, list]) -> DataFrame:
         return F.struct((g["c"] - F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / 2).alias("s"), g["name"].alias("name"))
 
     best = F.array_max(F.transform("g", score))
-    return df.join(table, "lang", "left").withColumn("level", best["name"]).drop("g")
+    return df.join(table, "lang", "left").withColumn("level", F.when(F.col("x").isNotNull(), best["name"])).drop("g")
 
 
 def reading_levels(
@@ -254,8 +308,9 @@ def reading_levels(
     that name. The level is null, as are the ranks, where the own content has
     fewer than `least_words` words of prose: error pages, listings, code and
     character samples, null, empty and blank texts. A sentence is common, and no
-    own content, if it is in `common_share` of all documents and in at least
-    `common_least`. The calibration takes the first `fit_rows` passages by id;
+    own content, if it is in as many distinct pages as are `common_share` of all
+    documents, and in at least `common_least`; the copies of a page count once,
+    however many there are. The calibration takes the first `fit_rows` passages by id;
     languages without three passages of a level have no such level. Repeated
     keys are documents of their own; other columns are not read.
     """
@@ -263,7 +318,8 @@ def reading_levels(
     n_docs = docs.count()
     limit = max(common_least, math.ceil(common_share * n_docs))
     # at most sentences per document / common_share rows
-    common = frozenset(r["h"] for r in counts.where(F.col("kind") == "s").where(F.col("n") >= limit).select("h").collect())
+    frequent = frozenset(r["h"] for r in counts.where(F.col("kind") == "s").where(F.col("n") >= limit).select("h").collect())
+    common = common_sentences(outlines(docs, frequent, text, least_words), limit) if frequent else frequent
     ranks = word_ranks(counts)
     sizes = {r["lang"]: int(r["k"]) for r in counts.where("kind = 'w'").groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
     # at most `head` rows per language, as ties count with their highest rank

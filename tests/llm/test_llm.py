@@ -304,6 +304,23 @@ def test_levels_of_a_small_corpus(spark):
     assert whole == short
 
 
+def test_a_page_mirrored_over_a_third_of_the_rows_keeps_its_level(spark):
+    docs, want = corpus()
+    lines = prose("advanced", 500).split(". ")
+    for i in range(60):
+        # whole, slightly changed, and in other surroundings
+        text = ". ".join(lines if i % 3 else [*lines[: i % 5], f"The {suffix(i, 70)} of the copy is {suffix(i, 71)} here", *lines[i % 5 + 1 :]])
+        docs.append((1000 + i, "s", text if i % 2 else f"Home | News\nThis site keeps cookies on your device number {i}. OK\n\n{text}"))
+        want[1000 + i] = "advanced"
+    passages = [(3 * i + k, "en", lv, prose(lv, 50 + i, 4)) for i in range(12) for k, lv in enumerate(reading_level.LEVELS)]
+    levels = reading_level.reading_levels(spark.createDataFrame(docs, DOCS), spark.createDataFrame(passages, PASSAGES))
+    words = {r["doc_id"]: r["n_words"] for r in levels.collect()}
+    assert len({words[k] for k in want if k >= 1000 and k % 3 != 1}) == 1  # all of the page, without notices
+    got = {r["doc_id"]: r["level"] for r in reading_level.level_found(levels).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == "advanced" for k in want if k >= 1000)
+
+
 def test_coverage_rank_against_a_plain_version():
     rng = random.Random(5)
     for _ in range(200):
