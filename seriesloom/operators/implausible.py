@@ -64,20 +64,33 @@ def _median_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s[rows, np.maximum((c - 1) // 2, 0)] + s[rows, np.minimum(c // 2, x.shape[1] - 1)]) / 2, c
 
 
-def _sides(y: np.ndarray, k: int, gaps: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each gap the levels on both sides of each place, and whether both are known.
-
-    A level is the median of k places, the nearest of them `gap` places away; it
-    is known if two of them are present.
+def _sides(y: np.ndarray, k: int, gaps: tuple[int, ...], use: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each gap the levels on both sides of each of the present values `y`.
+
+    A level is the median of the k nearest values that count (`use`), the nearest
+    of them `gap` values away, or of those there are. Where a side ends before
+    that, the level next to the value is its level; where the side has no value at
+    all, as at a series' ends, the range of what is next to the value and its level
+    on the other side is taken for both.
     """
-    m = max(gaps) - 1
+    n, m = len(y), max(gaps) - 1
+    kept = y if use is None else y[use]
     pad = np.full(k + m, np.nan)
-    w = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, y, pad)), k)
-    med, c = _median_rows(w)
-    n, out = len(y), []
+    med, c = _median_rows(np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, kept, pad)), k))
+    # of each value, how many that count come before it, and where those after it begin
+    before = np.arange(n) if use is None else np.cumsum(use) - use
+    after = before + (1 if use is None else use)
+    near, out = None, []
     for g in gaps:
-        before, after = slice(m - g + 1, m - g + 1 + n), slice(k + m + g, k + m + g + n)
-        out.append((med[before], med[after], (c[before] >= 2) & (c[after] >= 2)))
+        i, j = before + m - g + 1, after + k + m + g - 1
+        left, right = np.where(c[i] > 0, med[i], np.nan), np.where(c[j] > 0, med[j], np.nan)
+        if near is None:
+            near = left, right
+        left, right = (np.where(np.isnan(x), by, x) for x, by in zip((left, right), near))
+        if len(kept):
+            none, last = np.isnan(left), np.isnan(right)
+            left, right = np.where(none, kept[np.minimum(after, len(kept) - 1)], left), np.where(last, kept[np.maximum(before - 1, 0)], right)
+        out.append((left, right))
     return out
 
 
@@ -103,20 +116,37 @@ def wavelet_details(y: np.ndarray, levels: int = 2) -> list[np.ndarray]:
     return details
 
 
-def _daily_course(e: np.ndarray, first: int, per_day: int, least_days: int = 5) -> np.ndarray:
+def _daily_course(e: np.ndarray, slot: np.ndarray, per_day: int, least_days: int = 5) -> np.ndarray:
     """The median deviation at each time of day; 0 where fewer than `least_days` days have one."""
-    days = -(-(first + len(e)) // per_day)
+    days = int(slot[-1]) // per_day + 1
     grid = np.full(days * per_day, np.nan)
-    grid[first : first + len(e)] = e
+    grid[slot] = e
     med, c = _median_rows(np.ascontiguousarray(grid.reshape(days, per_day).T))
     return np.where((c >= least_days) & ~np.isnan(med), med, 0.0)
 
 
-def _outside(y: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """How far each value lies outside what is between the levels on its two sides; NaN where that is not known."""
+def _far(slot: np.ndarray, k: int, gap: int) -> np.ndarray:
+    """Whether the level of a side is taken, in part, from beyond a gap, or the side ends before."""
+    m = gap + k - 1
+    after, before = np.full((2, len(slot)), 2 * m + 1)
+    after[:-m] = before[m:] = slot[m:] - slot[:-m]
+    return np.maximum(after, before) > 2 * m
+
+
+def _outside(y: np.ndarray, slot: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """How far each value lies outside what is between the levels on its two sides; NaN where there is none.
+
+    Beyond a gap a shifted level has had time to move on, so there a value counts
+    only if it is about as far from both sides. The first and the last value may
+    be off by as many usual steps as there are absent places next to them.
+    """
     lo, hi = np.fmin(left, right), np.fmax(left, right)
     e = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
-    e[~known | np.isnan(y)] = np.nan
+    e[far & (2 * np.abs(e) < np.fmax(np.abs(y - lo), np.abs(y - hi)))] = 0.0
+    typical = np.median(np.abs(np.diff(y)))
+    for i, d in ((0, slot[1] - slot[0]), (-1, slot[-1] - slot[-2])):
+        e[i] = np.sign(e[i]) * max(abs(e[i]) - typical * (d - 1), 0.0)
+    e[np.isnan(lo)] = np.nan
     return e
 
 
@@ -148,26 +178,34 @@ def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float
     A value must be far off both as a difference and as a ratio: bursts that are
     usual for a series are usual as ratios, and noise near zero as differences.
     The levels on its sides are taken next to it and, for wide excursions, three
-    places away.
+    values away. Absent places are skipped, so that a value beside a gap is judged
+    by the values beyond it, and the first and the last one by the side they have.
     """
-    n = len(x)
+    out = np.zeros(len(x), bool)
     seen = ~np.isnan(x)
-    if seen.sum() < 8:
-        return np.zeros(n, bool)
-    size = np.abs(x[seen])
+    if seen.sum() >= 8:
+        out[seen] = _spikes(x[seen], slot[seen], per_day, threshold, k)
+    return out
+
+
+def _spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float, k: int) -> np.ndarray:
+    """find_spikes() of the present values."""
+    n = len(x)
+    far = [_far(slot, k, g) for g in GAPS]
+    size = np.abs(x)
     level = float(np.median(size))
     # of series that are often 0, small numbers are no ratio of anything
     unit = np.quantile(size[size > 0], 0.75 if (size == 0).mean() > 0.02 else 0.0625) if (size > 0).any() else 1.0
     views = []
     for ratio in (False, True):
         y = np.sign(x) * np.log1p(np.abs(x) / unit) if ratio else x
-        es = [_outside(y, *side) for side in _sides(y, k, GAPS)]
+        es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS), far)]
         if per_day >= 2:  # what recurs at the same time of day is no excursion
-            usual = _daily_course(es[0], int(slot[0]) % per_day, per_day)
+            usual = _daily_course(es[0], slot - slot[0] // per_day * per_day, per_day)
             if usual.any():
                 y = y - usual[slot % per_day]
-                es = [_outside(y, *side) for side in _sides(y, k, GAPS)]
-        steps = np.diff(y[seen])
+                es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS), far)]
+        steps = np.diff(y)
         least = 1e-4 if ratio else 1e-4 * level
         limit = threshold * (_burst_factor(es[0]) if ratio else 1.0)
         views.append((y, [max(_scale(e, steps, g), least) * limit for e, g in zip(es, GAPS)], es))
@@ -185,7 +223,7 @@ def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float
         parts = []
         for y, limits, es in views:
             if flag.any():  # levels without what was found so far
-                es = [_outside(y, *side) for side in _sides(np.where(flag, np.nan, y), k, GAPS)]
+                es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS, ~flag), far)]
             parts.append([np.abs(np.where(np.isnan(e), 0.0, e)) / lim for e, lim in zip(es, limits)])
         score = np.max([np.minimum(p, q) for p, q in zip(*parts)], axis=0)
         near = np.zeros(n, bool)
@@ -201,11 +239,20 @@ def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float
     # an excursion is brief: of more than four values in a row only those stay that are far beyond the others
     idx = np.flatnonzero(flag)
     if len(idx):
-        order = np.cumsum(seen) - 1
-        for part in np.split(idx, np.flatnonzero(np.diff(order[idx]) > 1) + 1):
+        for part in np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1):
             if len(part) > 4:
                 strong = best[part] > 0.4 * best[part].max()
                 flag[part] = strong if strong.sum() <= 4 else False
+    # beside a gap it must be about as far from what is on its two sides: else it is a shift that moved on meanwhile
+    idx = np.flatnonzero(flag)
+    for part in np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1) if len(idx) else ():
+        a, b = int(part[0]), int(part[-1]) + 1
+        around = slot[max(a - k, 0) : b + k]
+        if a and b < n and around[-1] - around[0] > 2 * (len(around) - 1):
+            left, right = x[max(a - k, 0) : a], x[b : b + k]
+            off = sorted(abs(np.median(x[part]) - np.median(v)) for v in (left, right))
+            if off[0] < 0.6 * off[1]:
+                flag[part] = False
     return flag
 
 

@@ -168,6 +168,25 @@ def test_spikes_stuck_and_impossible_values_are_found(spark):
     assert got[1200] == {"impossible"} and got[500] == {"spike"} and got[1000] == {"stuck"}
 
 
+def test_spikes_beside_gaps_and_at_the_ends_are_found(spark):
+    rng = np.random.default_rng(9)
+    n = 48 * 30
+    x = day_course(n, 48, rng)
+    x[500:596] = np.nan
+    x[601:700] = np.nan
+    for k in (0, 499, 600, 700, 900, n - 1):
+        x[k] += 60
+    x[[899, 901, 902]] = np.nan
+    want = {0, 499, 600, 700, 900, n - 1}
+    assert flagged(spark, "a.b.room.temp_celsius", x) == {k: {"spike"} for k in want}
+    # levels that differ across a gap, and a shift shortly before the end, are no spikes
+    y = day_course(n, 48, rng)
+    y[500:900] = np.nan
+    y[900:] += 40
+    y[n - 2 :] += 40
+    assert flagged(spark, "a.b.room.temp_celsius", y) == {}
+
+
 def test_usual_behaviour_is_not_flagged(spark):
     rng = np.random.default_rng(6)
     n, per = 48 * 30, 48
