@@ -150,7 +150,7 @@ em as (select a.name as ename, a.ts as ets, max(e0) * pow({1 - k!r}, a.n) + sum(
 select {called("exponentialMovingAverage", "10")} as name, ts, round(round(m, 6), 6) + 0.0 as value from pts left join em on ename = name and ets = ts where i >= 10"""
     add("fn_exponentialMovingAverage", f"exponentialMovingAverage({ALL},10)", ema, LATE)
     for fn in ("holtWintersForecast", "holtWintersConfidenceBands", "holtWintersConfidenceArea", "holtWintersAberration"):
-        add(f"fn_{fn}", f"{fn}(shop.click.*)", None, LATE)
+        add(f"fn_{fn}", f"{fn}({ALL})", None, LATE)
 
 
 # -- frames -----------------------------------------------------------------------

@@ -43,15 +43,17 @@ def orders_share(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("name", r"orders\.([^.]+)", 1).alias("name"), "ts", digits())
 
 
-#: Months of the response tables.
-R0, R1 = 1709251200, 1711929600
-
-
 def responses_sum(spark: SparkSession, d: str) -> DataFrame:
-    """Series with several steps, brought to their common step and added up by measure."""
+    """All stored series, with several steps, brought to their common step and merged by role and measure.
+
+    The range is that of the table's rows, one small question to the driver.
+    """
+    from ..session import read
     from ..sources import tables
 
-    out = _engine(spark, tables.fetched(spark, d)).render("groupByNode(*.*.*.cpu.*,1,'max')", R0, R1, now=R1)
+    lo, hi = read(spark, d, "fetch_responses").where("step > 0 and stop > start").agg(F.min("start"), F.max("stop")).first()
+    lo, hi = (lo // 3600 * 3600, hi) if lo is not None else (0, 3600)
+    out = _engine(spark, tables.fetched(spark, d)).render("groupByNodes(*.*.*.*.*,'max',1,3,4)", lo, hi, now=hi)
     return out.select("name", "ts", digits())
 
 

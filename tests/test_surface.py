@@ -175,3 +175,23 @@ def test_queries_against_their_sql(spark, tables):
         cols = [d[0] for d in con.execute(sql[name]).description]
         want = sorted(tuple(str(dict(zip(cols, r))[c]) for c in sorted(cols)) for r in con.execute(sql[name]).fetchall())
         assert got == want, name
+
+
+def test_stored_responses_are_read_whole(spark, tables):
+    from pyspark.sql import functions as F
+    from seriesloom.queries import catalogue
+    from seriesloom.session import read
+
+    out = catalogue.queries()["source_responses"](spark, tables).where("value is not null").agg(F.min("ts"), F.max("ts"), F.collect_set("name")).first()
+    series = read(spark, tables, "series")
+    lo, hi = series.agg(F.min("start"), F.max("stop")).first()
+    assert out[0] < lo + 86400 and out[1] >= hi - 7 * 86400
+    nodes = F.split(F.split("name", ";")[0], r"\.")
+    assert set(out[2]) == {r[0] for r in series.select(F.concat_ws(".", nodes[1], nodes[3], nodes[4])).distinct().collect()}
+
+
+def test_holt_winters_queries_take_every_event_type(spark, tables):
+    from seriesloom.queries import catalogue
+
+    names = {r["name"] for r in catalogue.queries()["fn_holtWintersForecast"](spark, tables).select("name").distinct().collect()}
+    assert {n.split("shop.")[1].split(".")[0] for n in names} == {r[0] for r in spark.read.parquet(f"{tables}/events.parquet").select("event_type").distinct().collect()}
