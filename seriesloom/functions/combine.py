@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..lang.parser import Node, call
 from ..model import NULL, SeriesFrame, V, empty_map, inner_metric, node_key, nodes_of, renumber
 from . import aggs, align
-from .registry import REGISTRY, Args, EvalError, register
+from .registry import REGISTRY, Args, EvalError, few, register
 from .setops import concat
 
 BARE = ("sum", "total", "avg", "average", "avg_zero", "max", "min", "last", "current", "first", "range", "rangeOf", "median", "multiply", "diff", "count", "stddev")
@@ -114,10 +114,10 @@ def _callback(ctx, f: SeriesFrame, key: Column, func: str, name: Column) -> Seri
         return grouped(f, key, _fold(bare), name).tag("aggregatedBy", bare)
     if func not in REGISTRY:
         raise EvalError(f"unknown function {func}")
-    # keys are as many as groups of series: small next to points
+    # each group becomes an expression of its own, so there may be so many at most
     keyed = f.series.withColumn("key", key)
     frames = []
-    for row in keyed.groupBy("key").agg(F.min("ord").alias("ord")).orderBy("ord").collect():
+    for row in few(keyed.groupBy("key").agg(F.min("ord").alias("ord")).orderBy("ord"), f"groups for {func}"):
         part = f.keep(keyed.where(F.col("key") == row["key"]))
         node = call(func, (Node("name", row["key"], row["key"]),))
         out = ctx.bind(**{row["key"]: part}).eval(node)
@@ -201,7 +201,8 @@ def weighted_average(ctx, a: Args) -> SeriesFrame:
     value = F.try_divide(F.sum(F.col("a") * F.col("w")), F.sum("w"))
     sums = both.groupBy("ts").agg(value.alias("v"))
     one = grouped(avg, F.lit(0), _fold("sum"), F.lit(f"weightedAverage({_arg_text(a)})"))
-    return one.with_points(sums.join(one.series.select("sid", F.lit(1).alias("k")), F.lit(1) == F.col("k")).select("sid", "ts", "v"))
+    # the one series of the result is the group of key 0
+    return one.with_points(sums.select(F.xxhash64(F.lit(0)).alias("sid"), "ts", "v"))
 
 
 def _divide(num: DataFrame, den: DataFrame, on: list[str]) -> DataFrame:
@@ -382,8 +383,11 @@ def reduce_series(ctx, a: Args) -> SeriesFrame:
     if not matchers:
         raise EvalError("reduceSeries needs matchers")
     path = nodes_of(F.col("name"))
-    at = F.transform(path, lambda x, i: F.when(i == node, F.lit(f"reduce.{func}")).otherwise(x))
-    dims = f.series.where(F.size(path) > node).withColumn("key", F.array_join(at, ".")).withColumn("member", F.try_element_at(path, F.lit(node + 1)))
+    if few(f.series.where(F.size(path) < (node + 1 if node >= 0 else -node)).limit(1), "names"):
+        raise EvalError(f"reduceSeries: a name has no node {node}")
+    place_of = F.lit(node) if node >= 0 else F.size(path) + node
+    at = F.transform(path, lambda x, i: F.when(i == place_of, F.lit(f"reduce.{func}")).otherwise(x))
+    dims = f.series.withColumn("key", F.array_join(at, ".")).withColumn("member", F.try_element_at(path, F.lit(node + 1 if node >= 0 else node)))
     place = reduce(lambda acc, im: acc.when(F.col("member") == im[1], im[0]), list(enumerate(matchers, 1))[1:], F.when(F.col("member") == matchers[0], 1))
     picked = dims.withColumn("ord2", place.cast("int")).where(F.col("ord2").isNotNull())
     full = picked.groupBy("key").agg(F.count_distinct("ord2").alias("c")).where(F.col("c") == len(matchers)).select("key")
@@ -397,8 +401,10 @@ def reduce_series(ctx, a: Args) -> SeriesFrame:
         how = lambda v, _: tables[func](F.max(F.when(F.col("m") == 1, v)), F.max(F.when(F.col("m") == 2, v)))
     elif bare in aggs.FOLDS:
         how = lambda v, _: aggs.fold(bare, v, F.col("m"))
+    elif func in REGISTRY:
+        return _reduce_by(ctx, f, picked, func, len(matchers))
     else:
-        raise EvalError(f"reduceSeries: {func} is not supported")
+        raise EvalError(f"unknown function {func}")
     sid = F.xxhash64("key")
     series = renumber(
         picked.groupBy("key").agg(F.min("g").alias("ord"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("step").alias("step"), F.min_by("cons_func", "ord2").alias("cons_func"), F.min_by("xff", "ord2").alias("xff"), common_tags(F.col("tags")).alias("tags"))
@@ -410,6 +416,18 @@ def reduce_series(ctx, a: Args) -> SeriesFrame:
     return SeriesFrame(series, points, f.step)
 
 
+def _reduce_by(ctx, f: SeriesFrame, picked: DataFrame, func: str, size: int) -> SeriesFrame:
+    """Any other function over the members of each group, as an expression per group."""
+    frames = []
+    for row in few(picked.groupBy("key").agg(F.min("g").alias("g")).orderBy("g"), f"groups for {func}"):
+        names = [f"{row['key']}#{m}" for m in range(1, size + 1)]
+        group = picked.where(F.col("key") == row["key"])
+        parts = {n: _plain(f.keep(group.where(F.col("ord2") == m)).with_series(group.where(F.col("ord2") == m).withColumn("ord", F.lit(1)))) for m, n in enumerate(names, 1)}
+        out = ctx.bind(**parts).eval(call(func, tuple(Node("name", n, n) for n in names)))
+        frames.append(out.rename(F.lit(row["key"])))
+    return concat(frames) if frames else ctx.empty()
+
+
 @register("mapSeries", "map", group="Combine", args="seriesList, *mapNodes")
 def map_series(ctx, a: Args) -> SeriesFrame:
     """The list with the members of each node key side by side, keys in order of first appearance."""

@@ -22,18 +22,26 @@ from .registry import Args, EvalError, fmt, register
 from .setops import concat
 
 
+def per_series(f: SeriesFrame, fn: Callable[[np.ndarray], np.ndarray], extra: int = 0, together: bool = False) -> DataFrame:
+    """`sid, ts, v` of a function of each series' values (NaN: absent); `extra` slots are added at the end.
 
-def per_series(f: SeriesFrame, fn: Callable[[np.ndarray], np.ndarray], extra: int = 0) -> DataFrame:
-    """`sid, ts, v` of a function of each series' values (NaN: absent); `extra` slots are added at the end."""
+    With `together` the function gets the series of a batch that have one length
+    as the rows of a matrix, and gives as many rows.
+    """
     rows = f.points.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("ts", "v"))).alias("p")).select("sid", F.col("p.ts").alias("ts"), F.col("p.v").alias("vs"))
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sid, ts, vs in zip(pdf["sid"], pdf["ts"], pdf["vs"]):
-                x = np.array([np.nan if v is None else v for v in vs], float)
-                got = fn(x)
+            xs = [np.array([np.nan if v is None else v for v in vs], float) for vs in pdf["vs"]]
+            done: dict[int, np.ndarray] = {}
+            if together:
+                for size in {len(x) for x in xs}:
+                    at = [i for i, x in enumerate(xs) if len(x) == size]
+                    done |= dict(zip(at, fn(np.stack([xs[i] for i in at]))))
+            for i, (sid, ts) in enumerate(zip(pdf["sid"], pdf["ts"])):
+                got = done[i] if together else fn(xs[i])
                 t = np.asarray(ts, np.int64)
                 if extra and len(t):
                     step = t[1] - t[0] if len(t) > 1 else 1
@@ -72,38 +80,38 @@ def ema_values(x: np.ndarray, n: int, k: float) -> np.ndarray:
 
 
 def holt_winters(x: np.ndarray, step: int, season: int, alpha: float = 0.1, beta: float = 0.0035, gamma: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions and deviations of additive triple smoothing; an absent value begins anew."""
-    length = max(2, season // step)
-    intercepts, slopes, seasonals = [], [], []
-    predictions, deviations = np.full(len(x), np.nan), np.zeros(len(x))
-    ahead = np.nan
-
-    def at(values: list[float], i: int) -> float:
-        return values[i] if 0 <= i < len(values) else 0.0
-
-    for i, v in enumerate(x):
-        if v != v:
-            intercepts.append(np.nan)
-            slopes.append(0.0)
-            seasonals.append(0.0)
-            predictions[i], ahead = ahead, np.nan
-            continue
-        if i == 0:
-            level, slope, prediction = v, 0.0, v
-        else:
-            level, slope = intercepts[-1], slopes[-1]
-            level = v if level != level else level
-            prediction = ahead
-        s, s_next, d = at(seasonals, i - length), at(seasonals, i + 1 - length), (deviations[i - length] if i >= length else 0.0)
-        new = alpha * (v - s) + (1 - alpha) * (level + slope)
-        tilt = beta * (new - level) + (1 - beta) * slope
-        intercepts.append(new)
-        slopes.append(tilt)
-        seasonals.append(gamma * (v - new) + (1 - gamma) * s)
-        predictions[i] = prediction
-        deviations[i] = gamma * abs(v - (0.0 if prediction != prediction else prediction)) + (1 - gamma) * d
-        ahead = new + tilt + s_next
-    return predictions, deviations
+    """Predictions and deviations of additive triple smoothing, with the usual deviation of each slot of the season.
+
+    `x` holds one series or, as rows, several of one length, which move through
+    time together. Per series there are a level, a trend and, for each slot of the
+    season, an effect and a usual deviation:
+
+        level     <- alpha (y - effect) + (1 - alpha) (level + trend)
+        trend     <- beta (level - level before) + (1 - beta) trend
+        effect    <- gamma (y - level) + (1 - gamma) effect
+        deviation <- gamma |y - prediction| + (1 - gamma) deviation
+
+    The first value predicts itself. An absent value has no level: the value after
+    it is taken for the level, without a trend, and is predicted by nothing
+    (which counts as 0); the slot's effect and deviation are 0 again.
+    """
+    rows = np.atleast_2d(x)
+    n_series, n = rows.shape
+    slots = max(2, season // step)
+    effect, usual = np.zeros((slots, n_series)), np.zeros((slots, n_series))
+    predictions, deviations = np.empty((n, n_series)), np.zeros((n, n_series))
+    level, trend = rows[:, 0].copy() if n else np.zeros(n_series), np.zeros(n_series)
+    ahead = level.copy()
+    for i, y in enumerate(rows.T):
+        slot, seen = i % slots, ~np.isnan(y)
+        predictions[i] = ahead
+        before = np.where(np.isnan(level), y, level)
+        level = alpha * (y - effect[slot]) + (1 - alpha) * (before + trend)
+        trend = np.where(seen, beta * (level - before) + (1 - beta) * trend, 0.0)
+        usual[slot] = deviations[i] = np.where(seen, gamma * np.abs(y - np.nan_to_num(ahead)) + (1 - gamma) * usual[slot], 0.0)
+        effect[slot] = np.where(seen, gamma * (y - level) + (1 - gamma) * effect[slot], 0.0)
+        ahead = level + trend + effect[(i + 1) % slots]
+    return (predictions.T, deviations.T) if np.ndim(x) == 2 else (predictions[:, 0], deviations[:, 0])
 
 
 @register("ewma", "exponentialWeightedMovingAverage", group="Calculate", args="seriesList, alpha")
@@ -135,7 +143,7 @@ def hw_forecast(ctx, a: Args) -> SeriesFrame:
     boot, season = _hw_args(ctx, a, 1)
     f = align.common(a.series(0, ctx.start - boot, ctx.stop))
     step = f.common_step()
-    return trim(ctx, f.with_points(per_series(f, lambda x: holt_winters(x, step, season)[0]))).call(a.fn)
+    return trim(ctx, f.with_points(per_series(f, lambda x: holt_winters(x, step, season)[0], together=True))).call(a.fn)
 
 
 def _bands(ctx, a: Args) -> tuple[SeriesFrame, SeriesFrame]:
@@ -151,7 +159,7 @@ def _bands(ctx, a: Args) -> tuple[SeriesFrame, SeriesFrame]:
 
         return fn
 
-    return tuple(trim(ctx, f.with_points(per_series(f, band(s)))) for s in (-1, 1))
+    return tuple(trim(ctx, f.with_points(per_series(f, band(s), together=True))) for s in (-1, 1))
 
 
 @register("holtWintersConfidenceBands", group="Calculate", args="seriesList, delta=3, bootstrapInterval='7d', seasonality='1d'")

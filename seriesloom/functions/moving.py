@@ -1,23 +1,25 @@
 """Frames over the points of a series.
 
 A window of n points looks back: the argument is read from n steps earlier and
-the points before the range are dropped again. Sums, averages and counts over
-long windows come from running totals, so that a point costs the same whatever
-the window is; the rest are framed aggregates.
+the points before the range are dropped again. Long windows of associative
+aggregates are put together from two parts, so that a point costs the same
+whatever the window is; the rest are framed aggregates. Nothing is ever
+subtracted: what leaves a window leaves no trace, be it infinite or very large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang import times
-from ..model import SeriesFrame, V, by_series, past
+from ..model import SeriesFrame, V, absent_nan, by_series, past
 from . import align
 from .registry import Args, EvalError, register
 
-#: Windows of more points than this take sums from running totals.
+#: Windows of more points than this are put together from two parts; the results are the same.
 LONG = 256
+_PAIRED = ("sum", "total", "avg", "average", "avg_zero", "count", "min", "max", "range", "rangeOf")
 
 
 def _framed(name: str, w: Window) -> Column:
@@ -40,13 +42,39 @@ def _framed(name: str, w: Window) -> Column:
     return table[name]()
 
 
-def _running(f: SeriesFrame, n: int, name: str):
-    """Sums over n rows as differences of running totals."""
-    s = f.points.select("sid", "ts", "v", F.sum(F.coalesce(V(), F.lit(0.0))).over(past()).alias("s"), F.count("v").over(past()).alias("c"))
-    total = F.col("s") - F.coalesce(F.lag("s", n).over(by_series()), F.lit(0.0))
-    count = F.col("c") - F.coalesce(F.lag("c", n).over(by_series()), F.lit(0))
-    value = {"sum": total, "total": total, "avg": total / count, "average": total / count, "count": count.cast("double")}[name]
-    return s.select("sid", "ts", F.when(count > 0, value).alias("v"), count.alias("c"))
+def _paired(f: SeriesFrame, n: int, name: str) -> DataFrame:
+    """`sid, ts, v, c`: an aggregate of the last n points, and how many of them are present.
+
+    Points are cut into blocks of n. A window is the end of one block and the
+    beginning of the next, so two running aggregates within blocks, one forwards
+    and one backwards, give every window.
+    """
+    parts = {"sum": F.sum, "count": F.count, "low": F.min, "high": F.max, "rows": lambda _: F.count(F.lit(1))}
+    wanted = {"sum": ("sum",), "total": ("sum",), "avg": ("sum",), "average": ("sum",), "avg_zero": ("sum", "rows"), "min": ("low",), "max": ("high",)}.get(name, () if name == "count" else ("low", "high"))
+    used = ["count", *wanted]
+    placed = f.points.select("sid", "ts", "v", (F.row_number().over(by_series()) - 1).alias("i"))
+    placed = placed.withColumn("block", F.floor(F.col("i") / F.lit(n)))
+    block = Window.partitionBy("sid", "block")
+    to_here = block.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    from_here = block.orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.select("sid", "ts", "i", *(parts[k]("v").over(to_here).alias(k) for k in used), *(parts[k]("v").over(from_here).alias(f"end_{k}") for k in used))
+    # the window begins within the block before, unless it is a whole block
+    lead = F.when(F.pmod("i", F.lit(n)) != n - 1, F.lag(F.struct(*(f"end_{k}" for k in used)), n - 1).over(by_series()))
+    met = run.select("sid", "ts", *used, lead.alias("lead"))
+    merge = {"low": F.least, "high": F.greatest}
+
+    def both(k: str) -> Column:
+        other = F.col(f"lead.end_{k}")
+        if k in merge:
+            return merge[k](F.col(k), other)  # nulls are skipped
+        return F.coalesce(F.col(k) + other, F.col(k), other)
+
+    count = F.coalesce(both("count"), F.lit(0))
+    value = {
+        "sum": lambda: both("sum"), "total": lambda: both("sum"), "avg": lambda: both("sum") / count, "average": lambda: both("sum") / count, "avg_zero": lambda: both("sum") / both("rows"),
+        "count": lambda: count.cast("double"), "min": lambda: both("low"), "max": lambda: both("high"), "range": lambda: both("high") - both("low"), "rangeOf": lambda: both("high") - both("low"),
+    }[name]()
+    return met.select("sid", "ts", F.when(count > 0, value).alias("v"), count.alias("c"))
 
 
 def window_of(a: Args, i: int) -> tuple[int | None, int | None, str]:
@@ -82,16 +110,16 @@ def _moving(ctx, a: Args, func: str, xff_at: int) -> SeriesFrame:
         n = seconds // step
     if n < 1:  # the window is shorter than a step
         return trim(ctx, f.map(F.lit(None).cast("double"))).call(a.fn, shown)
-    if n > LONG and func in ("sum", "total", "avg", "average", "count"):
-        rows = _running(f, n, func)
+    if n > LONG and func in _PAIRED:
+        rows = _paired(f, n, func)
         v = F.when(F.col("c") / F.lit(n) >= xff, V()) if xff else V()
-        out = f.with_points(rows.select("sid", "ts", v.alias("v")))
+        out = f.with_points(rows.select("sid", "ts", absent_nan(v).alias("v")))
     else:
         w = past(n)
         value = F.when(F.count("v").over(w) > 0, _framed(func, w))
         if xff:
             value = F.when(F.count("v").over(w) / F.lit(n) >= xff, value)
-        out = f.with_points(f.points.select("sid", "ts", value.alias("v")))
+        out = f.with_points(f.points.select("sid", "ts", absent_nan(value).alias("v")))
     return trim(ctx, out).call(a.fn, shown)
 
 

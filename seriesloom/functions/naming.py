@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import NAME, SeriesFrame, TS, V, inner_metric, node_key, nodes_of
 from . import aggs
-from .registry import Args, EvalError, fmt, register
+from .registry import Args, EvalError, few, fmt, register
 
 
 
@@ -61,7 +61,7 @@ def alias_query(ctx, a: Args) -> SeriesFrame:
     search, replace, form = a.string(1, "search"), a.string(2, "replace"), a.string(3, "newName")
     target = F.regexp_replace(NAME(), search, _back_references(replace))
     # one query per name: as many as the list has series
-    names = [r[0] for r in f.series.select(target).distinct().collect()]
+    names = [r[0] for r in few(f.series.select(target).distinct(), "queries for aliasQuery")]
     out = None
     for name in names:
         got = ctx.eval(name)

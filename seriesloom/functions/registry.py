@@ -54,6 +54,18 @@ def rewrite(*names: str):
     return add
 
 
+#: The driver plans an expression for each of so many rows at most.
+MOST_PLANS = 1000
+
+
+def few(rows, what: str) -> list:
+    """The rows of a small DataFrame; an error where there are more than the driver may plan for."""
+    got = rows.limit(MOST_PLANS + 1).collect()
+    if len(got) > MOST_PLANS:
+        raise EvalError(f"more than {MOST_PLANS} {what}")
+    return got
+
+
 _MISSING = object()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import nodes_of
 from .naming import _back_references
-from .registry import Args, rewrite
+from .registry import Args, few, rewrite
 
 
 @rewrite("applyByNode")
@@ -20,7 +20,7 @@ def apply_by_node(ctx, a: Args) -> list[str]:
     template, name = a.string(2, "templateFunction"), a.string(3, "newName", None)
     nodes = nodes_of(F.col("name"))
     prefix = F.array_join(F.slice(nodes, 1, n + 1), ".")
-    rows = f.series.where(F.size(nodes) > n).groupBy(prefix.alias("p")).agg(F.min("ord").alias("o")).orderBy("o").collect()
+    rows = few(f.series.where(F.size(nodes) > n).groupBy(prefix.alias("p")).agg(F.min("ord").alias("o")).orderBy("o"), "prefixes for applyByNode")
     out = []
     for r in rows:
         t = template.replace("%", r["p"])
@@ -35,4 +35,4 @@ def use_series_above(ctx, a: Args) -> list[str]:
     search, replace = a.string(2, "search"), a.string(3, "replace")
     high = f.points.groupBy("sid").agg(F.max("v").alias("m")).where(F.col("m") > x)
     names = f.series.join(high, "sid").orderBy("ord").select(F.regexp_replace("name", search, _back_references(replace)))
-    return [r[0] for r in names.collect()]
+    return [r[0] for r in few(names, f"series for {a.fn}")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import SeriesFrame, TS, V, renumber
+from ..model import SeriesFrame, TS, V, natural_key, renumber
 from . import aggs
 from .moving import pair_points
 from .registry import Args, EvalError, register
@@ -50,12 +50,6 @@ def sort_by_total(ctx, a: Args) -> SeriesFrame:
     return _sort(ctx, a, "sum", True)
 
 
-def natural_key(name: Column) -> Column:
-    """A name with its runs of digits padded, so that plain order is natural order."""
-    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x)), "")
-
-
 @register("sortByName", group="Sorting", args="seriesList, natural=False, reverse=False")
 def sort_by_name(ctx, a: Args) -> SeriesFrame:
     """By name, digits as numbers if natural."""

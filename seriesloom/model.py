@@ -116,7 +116,7 @@ def past(n: int | None = None) -> Window:
 def tags_of(name: Column) -> Column:
     """The tags in a name `path;k=v;...`, with the path as tag `name`."""
     parts = F.split(name, ";")
-    pairs = F.filter(F.transform(F.slice(parts, 2, 1000), lambda x: F.split(x, "=", 2)), lambda x: F.size(x) == 2)
+    pairs = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.split(x, "=", 2)), lambda x: F.size(x) == 2)
     pairs = F.concat(F.array(F.array(F.lit("name"), parts[0])), F.filter(pairs, lambda x: x[0] != "name"))
     return F.map_from_entries(F.transform(pairs, lambda x: F.struct(x[0].alias("key"), x[1].alias("value"))))
 
@@ -142,6 +142,12 @@ def node_key(nodes: list[int | str]) -> Column:
     return F.concat_ws(".", *parts)
 
 
+def natural_key(name: Column) -> Column:
+    """A name with its runs of digits padded, so that plain order is natural order."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
 def renumber(series: DataFrame, *order: Column) -> DataFrame:
     """New positions in the list. One sort over series, not points."""
     return series.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("int"))

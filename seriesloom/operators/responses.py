@@ -66,7 +66,7 @@ def by_day_parts(df: DataFrame, keep: list[str], vals: str = "vals") -> DataFram
     value. Rows that place() leaves out are left out here.
     """
     usable = (F.col("step") > 0) & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size(vals) > 0)
-    n = F.least(F.size(vals).cast("long"), F.ceil((F.col("stop") - F.col("start")) / F.col("step")))
+    n = F.least(F.size(vals).cast("long"), F.ceil(F.try_divide(F.col("stop") - F.col("start"), F.col("step"))))
     rows = df.where(usable).withColumn("n", n.cast("long")).where("n > 0").withColumn("s0", F.floor(F.col("start") / F.col("step")).cast("long"))
     first = F.floor(F.col("s0") * F.col("step") / DAY)
     last = F.floor((F.col("s0") + F.col("n") - 1) * F.col("step") / DAY)

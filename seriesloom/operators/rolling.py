@@ -141,6 +141,7 @@ def rolling_totals(
     periods = sorted({int(p) for p in periods})
     if not periods or periods[0] < 1:
         raise ValueError("periods must be positive numbers of days")
+    queued = sorted({1, *periods})  # the day itself is a period too: it says whether there was activity
     longest = periods[-1]
     if block_days < longest:
         raise ValueError("block_days must reach the longest period")
@@ -161,25 +162,26 @@ def rolling_totals(
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: tuple | None = None
         queues: list[TwoStackQueue] = []
-        live: list[bool] = []
-        today: tuple[int, int] = (-1, 0)
         for pdf in batches:
             rows = []
             for sid, day, shown, total, n, low, high, blk in zip(*(pdf[c].tolist() for c in ("sid", "day", "shown", "total", "n", "low", "high", "block"))):
                 if at != (sid, blk):
-                    at, today = (sid, blk), (-1, 0)
-                    queues = [TwoStackQueue(_combine) for _ in periods]
+                    at = (sid, blk)
+                    queues = [TwoStackQueue(_combine) for _ in queued]
                 if not shown:
-                    today = (day, n)
                     for q in queues:
                         q.push(day, (total, n, low, high))
                     continue
                 if day // block_days != blk:  # a lead-in day is shown by its own block
                     continue
-                row = [sid, day, today[1] if today[0] == day else 0]
-                for p, q in zip(periods, queues):
+                row: list = [sid, day, 0]
+                for p, q in zip(queued, queues):
                     q.evict_before(day - p + 1)
                     t = q.total()
+                    if p == 1 and t is not None:
+                        row[2] = t[1]
+                    if p not in periods:
+                        continue
                     row += [0.0, None, None, None, 0] if t is None else [t[0], t[0] / t[1], t[2], t[3], t[1]]
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names)

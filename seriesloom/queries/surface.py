@@ -43,30 +43,45 @@ def orders_share(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("name", r"orders\.([^.]+)", 1).alias("name"), "ts", digits())
 
 
-def responses_sum(spark: SparkSession, d: str) -> DataFrame:
-    """All stored series, with several steps, brought to their common step and merged by role and measure.
+#: Calls over all stored series, whose steps differ, by the query's name.
+STORED = {
+    "source_responses": "groupByNodes(*.*.*.*.*,'max',1,3,4)",
+    "mixed_sum": "sum(*.*.*.cpu.user_pct)",
+    "mixed_groupByNode": "groupByNode(*.*.*.*.*,4,'average')",
+    "mixed_divideSeries": "divideSeries(*.*.*.cpu.user_pct,max(*.*.*.queue.depth))",
+    "mixed_asPercent": "asPercent(*.*.*.requests.count)",
+    "mixed_lists": "aggregateSeriesLists(limit(*.*.*.cpu.user_pct,3),limit(*.*.*.disk.used_pct,3),'max')",
+    "mixed_summarize": "summarize(*.*.*.requests.count,'6h','max',true)",
+    "mixed_consolidate": "consolidateBy(*.*.*.limit.max_open,'max')",
+}
 
-    The range is that of the table's rows, one small question to the driver.
-    """
-    from ..session import read
-    from ..sources import tables
 
-    lo, hi = read(spark, d, "fetch_responses").where("step > 0 and stop > start").agg(F.min("start"), F.max("stop")).first()
-    lo, hi = (lo // 3600 * 3600, hi) if lo is not None else (0, 3600)
-    out = _engine(spark, tables.fetched(spark, d)).render("groupByNodes(*.*.*.*.*,'max',1,3,4)", lo, hi, now=hi)
-    return out.select("name", "ts", digits())
+def significant(c: str = "value"):
+    """Six decimals of usual values, twelve digits of large ones."""
+    x = F.col(c)
+    return (F.when(F.abs(x) < 1e6, F.round(x, 6)).otherwise(F.format_string("%.11e", x).try_cast("double")) + F.lit(0.0)).alias(c)
+
+
+def _stored(target: str):
+    """A call over the whole time of the stored responses; the range is one small question to the driver."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        from ..session import read
+        from ..sources import tables
+
+        lo, hi = read(spark, d, "fetch_responses").where("step > 0 and stop > start").agg(F.min("start"), F.max("stop")).first()
+        lo, hi = (lo // 3600 * 3600, hi) if lo is not None else (0, 3600)
+        return _engine(spark, tables.fetched(spark, d)).render(target, lo, hi, now=hi).select("name", "ts", significant())
+
+    return query
 
 
 def replicas_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Values of each series from all servers: finest step whole, gaps of the longest answer filled from others."""
-    from ..operators.responses import canonical_name, place
+    """Values of each series from all servers: the finest step of each range whole, gaps of the longest answer filled from others."""
     from ..session import read
-    from ..sources.responses import merge_replicas
+    from ..sources.responses import answers, merge_replicas
 
-    rows = read(spark, d, "server_responses").select(canonical_name("name").alias("name"), "start", "stop", "step", "vals", F.col("step").alias("by"), F.size("vals").alias("length"))
-    values = place(rows, ["name", "by", "length"])
-    slots = values.select("name", F.col("by").alias("step"), (F.col("ts") - F.pmod("ts", "by")).alias("ts"), "v", "length")
-    return merge_replicas(slots).select("name", "ts", "step", F.col("v").alias("value"))
+    return merge_replicas(answers(read(spark, d, "server_responses"))).select("name", "ts", "step", F.col("v").alias("value"))
 
 
 def display_points(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +140,8 @@ _METAS = ("find", "find_leaf", "expand", "expand_grouped", "tag_names", "tag_val
 
 def queries() -> dict:
     return (
-        {"flagship": flagship, "source_shipments": shipments_daily, "source_orders": orders_share, "source_responses": responses_sum, "source_replicas": replicas_merged, "display_points": display_points, "lang_targets": many_targets, "stream_summarize": stream_buckets}
+        {"flagship": flagship, "source_shipments": shipments_daily, "source_orders": orders_share, "source_replicas": replicas_merged, "display_points": display_points, "lang_targets": many_targets, "stream_summarize": stream_buckets}
+        | {name: _stored(target) for name, target in STORED.items()}
         | {f"sink_{k}": _sink(k) for k in ("json", "csv", "raw")}
         | {f"meta_{k}": _meta(k) for k in _METAS}
     )
@@ -149,13 +165,51 @@ select p as name, g.ts, round(case when sum(v) over (partition by g.ts) <> 0 the
 _TRIM = "' ' || chr(9) || chr(10) || chr(13)"
 
 
-def _replicas() -> str:
+def _merged(table: str) -> str:
+    """`flat` and `merged`: the answers of a table and their values, each range at its finest step."""
     from .preparation import CANON
 
-    return f"""with flat as (select {CANON.format(n="name")} as name, step, len(vals) as l, start + (u.i - 1) * step as t, u.v from server_responses r, lateral (select unnest(range(1, len(r.vals) + 1)) as i, unnest(r.vals) as v) u
+    return f"""flat as (select {CANON.format(n="name")} as name, start // 3600 as h0, stop // 3600 as h1, step, least(len(vals), ceil((stop - start) / step))::bigint as l, start + (u.i - 1) * step as t, u.v
+  from {table} r, lateral (select unnest(range(1, len(r.vals) + 1)) as i, unnest(r.vals) as v) u
   where name is not null and step > 0 and start + (u.i - 1) * step < stop and u.v is not null and not isnan(u.v)),
-fine as (select name, min(step) as step from flat group by 1)
-select name, t - t % step as ts, step, max_by(v, (l, v)) as value from flat join fine using (name, step) group by all"""
+fine as (select name, h0, h1, min(step) as step from flat group by all),
+merged as (select name, t - t % step as ts, min(step) as step, max_by(v, (-step, l, v)) as v from flat join fine using (name, h0, h1, step) group by 1, 2)"""
+
+
+_CONS = "case cf when 'sum' then sum(v) when 'max' then max(v) when 'last' then arg_max(v, t) when 'min' then min(v) else avg(v) end"
+
+
+def _series(name: str, nodes: str) -> str:
+    """`{name}`: the stored series that a pattern of five nodes selects, on their common step: name, path, ord, xff, step, ts, v."""
+    want = " and ".join(["len(string_split(split_part(name, ';', 1), '.')) = 5", *(f"string_split(split_part(name, ';', 1), '.')[{i + 1}] = '{n}'" for i, n in enumerate(nodes.split(".")) if n != "*")])
+    globs = ", ".join(f"string_split(path, '.')[{i + 1}]" for i, n in enumerate(nodes.split(".")) if n == "*")
+    return f"""{name}_s as (select name, split_part(name, ';', 1) as path, step as own, coalesce(cons_func, 'average') as cf, coalesce(case when isnan(xff) then 0 else xff end, 0) as xff,
+  ceil(lo / step)::bigint * step as g0, ceil(hi / step)::bigint * step as g1 from series, rng where start < hi and stop > lo and {want}),
+{name}_n as (select *, row_number() over (order by {globs}, name)::int as ord, (select list_reduce(list(distinct own), lambda a, b: lcm(a, b)) from {name}_s) as step from {name}_s),
+{name}_g as (select name, ord, path, own, cf, xff, step, unnest(range(g0, g1, own)) as t from {name}_n),
+{name} as (select {name}_g.name, path, ord, xff, {name}_g.step as step, t - t % {name}_g.step as ts, case when xff = 0 or count(v) / ({name}_g.step / own) >= xff then {_CONS} end as v
+  from {name}_g left join merged on merged.name = {name}_g.name and merged.ts = t group by {name}_g.name, path, ord, own, cf, xff, {name}_g.step, t - t % {name}_g.step)"""
+
+
+def _stored_sql() -> dict[str, str]:
+    head = f"with rng as (select min(start) // 3600 * 3600 as lo, max(stop) as hi from fetch_responses where step > 0 and stop > start), {_merged('fetch_responses')}, "
+    shown = lambda e: f"(case when abs({e}) < 1e6 then round({e}, 6) else printf('%.11e', {e})::double end + 0.0) as value"
+    every, cpu, disk = _series("a", "*.*.*.*.*"), _series("a", "*.*.*.cpu.user_pct"), _series("b", "*.*.*.disk.used_pct")
+    node = "string_split(path, '.')[{}]".format
+    key = " || '.' || ".join(node(i) for i in (2, 4, 5))
+    counts = _series("a", "*.*.*.requests.count")
+    return {
+        "source_responses": f"{head}{every}, g as (select {key} as name, ts, max(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
+        "mixed_sum": f"{head}{cpu}, g as (select 'sumSeries(*.*.*.cpu.user_pct)' as name, ts, sum(v) as v from a group by ts) select name, ts, {shown('v')} from g",
+        "mixed_groupByNode": f"{head}{every}, g as (select {node(5)} as name, ts, avg(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
+        "mixed_divideSeries": f"""{head}{cpu}, {_series('b', '*.*.*.queue.depth')}, q as (select ts, max(v) as d, any_value(step) as step from b group by ts), l as (select lcm((select any_value(step) from a), (select any_value(step) from q)) as l),
+x as (select name, ts - ts % l as ts, avg(v) as v from a, l group by 1, 2), y as (select ts - ts % l as ts, avg(d) as d from q, l group by 1), z as (select 'divideSeries(' || name || ',max(*.*.*.queue.depth))' as name, ts, case when d <> 0 then v / d end as v from x left join y using (ts))
+select name, ts, {shown('v')} from z""",
+        "mixed_asPercent": f"{head}{counts}, z as (select 'asPercent(' || name || ')' as name, ts, case when sum(v) over w <> 0 then 100 * v / sum(v) over w end as v from a window w as (partition by ts)) select name, ts, {shown('v')} from z",
+        "mixed_lists": f"""{head}{cpu}, {disk}, z as (select 'maxSeries(' || a.name || ',' || b.name || ')' as name, ts, greatest(a.v, b.v) as v from a join b using (ord, ts) where ord <= 3) select name, ts, {shown('v')} from z""",
+        "mixed_summarize": f"""{head}{counts}, sm as (select name, ts - ts % 21600 as ts, case when count(v) / count(*) >= xff then max(v) end as v from a group by name, xff, ts - ts % 21600), z as (select 'summarize(' || name || ',''6h'',''max'',true)' as name, ts, v from sm) select name, ts, {shown('v')} from z""",
+        "mixed_consolidate": f"""{head}{_series('a', '*.*.*.limit.max_open')}, z as (select 'consolidateBy(' || name || ',"max")' as name, ts, v from a) select name, ts, {shown('v')} from z""",
+    }
 
 
 _DISPLAY = f"with {_PTS} select 'consolidateBy(' || name || ',\"max\")' as name, {T0} + (i // 8) * 28800 as ts, round(max(v), 6) + 0.0 as value from pts group by name, i // 8"
@@ -168,8 +222,8 @@ _CAT = f"with c as (select distinct {NAME} as name, event_type as et, 'g' || (us
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "flagship": _FLAGSHIP, "source_shipments": _SHIP, "source_orders": _ORDERS, "source_replicas": _replicas(), "display_points": _DISPLAY, "lang_targets": _MANY,
+    return _stored_sql() | {
+        "flagship": _FLAGSHIP, "source_shipments": _SHIP, "source_orders": _ORDERS, "source_replicas": f"with {_merged('server_responses')} select name, ts, step, v as value from merged", "display_points": _DISPLAY, "lang_targets": _MANY,
         "stream_summarize": "select event_type as name, epoch(date_trunc('hour', ts))::bigint as ts, round(sum(value), 6) + 0.0 as value from events group by 1, 2",
         "sink_json": _JSON, "sink_csv": _CSV, "sink_raw": _RAW,
         "meta_find": f"{_CAT} select distinct 'shop.' || et as id, et as text, 0::int as leaf, 1::int as expandable, 1::int as allow_children from c",

@@ -28,13 +28,16 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder named by spark.checkpoint.dir.
 
-    The folder is read from the session; one is made only where none is set,
-    as in tests on one machine.
+    The folder is read from the session; one is made only where none is set and
+    all runs on one machine, as in tests. On a cluster that is an error: a folder
+    of the driver is no folder of the executors.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seriesloom-"))
     return df.checkpoint(eager=True)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lang.parser import TAG_QUERY
 from ..model import POINTS_DDL, SERIES, SERIES_DDL, SeriesFrame, empty_map, frame_of, renumber, tags_of
-from .globs import matches
+from .globs import match_order, matches
 
 
 class SeriesSource(Protocol):
@@ -65,7 +65,7 @@ class TableSource:
                 F.lit(lo).cast("long").alias("start"), F.lit(hi).cast("long").alias("stop"), F.lit(self.step).cast("long").alias("step"),
                 F.lit(self.cons_func).alias("cons_func"), F.lit(self.xff).cast("double").alias("xff"), empty_map().alias("opts"),
             ),
-            F.col("name"),
+            *match_order(pattern, F.col("name")),
         )
         return SeriesFrame(series.select(*SERIES), dense(series, slots), self.step)
 
@@ -91,6 +91,8 @@ class MemorySource:
             return SeriesFrame(self.spark.createDataFrame([], SERIES_DDL), self.spark.createDataFrame([], POINTS_DDL), 1)
         frame = frame_of(self.spark, cut)
         hit = frame.series.where(matches(pattern, F.col("name"), F.split("name", ";")[0], F.col("tags"))).withColumn("path_expr", F.lit(pattern))
+        order = match_order(pattern, F.col("name"))[:-1]  # without globs, and of equal places, rows keep their order
+        hit = renumber(hit, *order, F.col("ord")) if order else hit
         return SeriesFrame(hit, frame.points.join(hit.select("sid"), "sid", "left_semi"), frame.step)
 
     def catalogue(self) -> DataFrame:

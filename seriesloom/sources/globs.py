@@ -61,3 +61,28 @@ def matches(pattern: str, name: Column, path: Column, tags: Column) -> Column:
         prefix = literal_prefix(pattern)
         return (path.startswith(prefix) & hit) if prefix else hit
     return (path == pattern) | (name == pattern)
+
+
+def match_order(pattern: str, name: Column) -> list[Column]:
+    """What puts the matches of a pattern in order: node by node from the left, of those that are globs.
+
+    A node with braces goes by the alternative it matches first, in the order
+    they are written, and then by its text.
+    """
+    out: list[Column] = []
+    if pattern.startswith(TAG_QUERY + "("):
+        return [name]
+    nodes = F.split(F.split(name, ";")[0], r"\.")
+    for i, part in enumerate(pattern.split(".")):
+        if not re.search(r"[*?\[{]", part):
+            continue
+        node = F.coalesce(F.get(nodes, F.lit(i)), F.lit(""))
+        a, b = part.find("{"), part.find("}")
+        if 0 <= a < b:
+            ways = part[a + 1 : b].split(",")
+            place = F.lit(len(ways))
+            for k in reversed(range(len(ways))):
+                place = F.when(node.rlike(f"^{glob_regex(part[:a] + ways[k] + part[b + 1:])}$"), k).otherwise(place)
+            out.append(place)
+        out.append(node)
+    return [*out, name]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import natural_key
+
 from .base import SeriesSource
 from .globs import glob_regex
 
@@ -20,12 +22,29 @@ def _level(source: SeriesSource, pattern: str) -> DataFrame:
 
 
 def find(source: SeriesSource, pattern: str) -> DataFrame:
-    """`id, text string, leaf, expandable, allow_children int`: one row per node of the tree; a path can be leaf and branch."""
+    """`id, text string, leaf, expandable, allow_children int`: one row per node of the tree; a path can be leaf and branch.
+
+    Branches come first, each kind in natural order of its paths.
+    """
     rows = _level(source, pattern)
     branch = (~F.col("leaf")).cast("int")
     return rows.select(
         F.col("path").alias("id"), F.element_at(F.split("path", r"\."), -1).alias("text"), F.col("leaf").cast("int").alias("leaf"), branch.alias("expandable"), branch.alias("allow_children")
-    )
+    ).orderBy("leaf", natural_key(F.col("id")), "id")
+
+
+def find_tree(source: SeriesSource, pattern: str) -> DataFrame:
+    """find() as rows of a tree view: `id, text, leaf, expandable, allow_children`, one per text; a branch hides the leaf of its name."""
+    rows = find(source, pattern)
+    first = F.row_number().over(Window.partitionBy("id").orderBy("leaf"))
+    return rows.withColumn("k", first).where("k = 1").drop("k").orderBy("leaf", natural_key(F.col("id")), "id")
+
+
+def complete(source: SeriesSource, pattern: str) -> DataFrame:
+    """`path, name string, is_leaf int`: find() as a completer shows it; a branch's path ends with a dot."""
+    rows = find(source, pattern)
+    shown = F.when(F.col("leaf") == 1, F.col("id")).otherwise(F.concat("id", F.lit(".")))
+    return rows.select(shown.alias("path"), F.col("text").alias("name"), F.col("leaf").alias("is_leaf"))
 
 
 def expand(source: SeriesSource, patterns: list[str], leaves_only: bool = False, group_by_query: bool = False) -> DataFrame:
@@ -37,7 +56,7 @@ def expand(source: SeriesSource, patterns: list[str], leaves_only: bool = False,
             rows = rows.where("leaf")
         parts.append(rows.select(F.lit(p).alias("query"), "path").distinct())
     every = reduce(DataFrame.unionByName, parts)
-    return every if group_by_query else every.select("path").distinct()
+    return every.orderBy("query", natural_key(F.col("path"))) if group_by_query else every.select("path").distinct().orderBy(natural_key(F.col("path")))
 
 
 def tag_names(source: SeriesSource, prefix: str = "", limit: int | None = None) -> DataFrame:

@@ -6,21 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SERIES, SeriesFrame, renumber, tags_of
-from ..operators.responses import canonical_name, place
+from ..operators.responses import canonical_name, present
 from .base import dense
-from .globs import matches
+from .globs import match_order, matches
 
 
-def merge_replicas(points: DataFrame, length: str = "length") -> DataFrame:
-    """`name, ts, v` of several answers for the same series, as `name, ts, step, v, length`.
+def answers(responses: DataFrame) -> DataFrame:
+    """`name, h0, h1, start, stop, step, n, vals` of the answers with a present value before their stop.
 
-    Of answers with different steps those with the finest are kept whole; of
-    equal steps the longest answer's value counts, and its gaps are filled from
-    shorter ones.
+    `h0` and `h1` are the requested range in full hours; what falls at or after
+    `stop` is cut off, and an answer without a value says nothing.
     """
-    finest = points.groupBy("name").agg(F.min("step").alias("step"))
-    same = points.join(finest, ["name", "step"])
-    return same.groupBy("name", "ts", "step").agg(F.max_by("v", F.struct(length, "v")).alias("v"))
+    slim = responses.select(canonical_name("name").alias("name"), "start", "stop", "step", "vals").where((F.col("step") > 0) & (F.col("stop") > F.col("start")) & F.col("name").isNotNull())
+    n = F.least(F.size("vals").cast("long"), F.ceil(F.try_divide(F.col("stop") - F.col("start"), F.col("step"))).cast("long"))
+    cut = slim.withColumn("n", n).where("n > 0").withColumn("vals", F.slice("vals", F.lit(1), F.col("n").cast("int")))
+    hour = lambda c: F.floor(F.col(c) / 3600).cast("long")
+    return cut.where(F.exists("vals", present)).select("name", hour("start").alias("h0"), hour("stop").alias("h1"), "start", "stop", "step", F.size("vals").alias("n"), "vals")
+
+
+def merge_replicas(rows: DataFrame) -> DataFrame:
+    """`name, ts, step, v` of all answers() for the same series.
+
+    Of the answers to one requested range those with the finest step are kept
+    whole. Where ranges overlap, each slot has the value of the finest step there,
+    and of equal steps that of the longest answer, so gaps of one are filled from
+    others. Steps are compared row by row, before any value is unpacked.
+    """
+    finest = rows.groupBy("name", "h0", "h1").agg(F.min("step").alias("finest"))
+    kept = rows.join(finest, ["name", "h0", "h1"]).where(F.col("step") == F.col("finest"))
+    # ranges delivered again as they were drop out before they are unpacked
+    once = kept.select("name", "start", "step", "n", "vals").distinct()
+    each = once.select("name", "start", "step", "n", F.posexplode("vals").alias("i", "v")).where(present(F.col("v")))
+    ts = F.col("start") + F.col("i") * F.col("step")
+    slots = each.select("name", "step", (ts - F.pmod(ts, F.col("step"))).alias("ts"), "v", "n")
+    return slots.groupBy("name", "ts").agg(F.max_by("v", F.struct(-F.col("step"), F.col("n"), F.col("v"))).alias("v"), F.min("step").alias("step"))
 
 
 class ResponsesSource:
@@ -31,8 +50,10 @@ class ResponsesSource:
 
     def scan(self, pattern: str, start: int, stop: int) -> SeriesFrame:
         path = F.split("name", ";")[0]
-        dims = self.dims.select("name", "cons_func", "xff", F.col("start").alias("s0"), F.col("stop").alias("s1"), "step").where(F.col("name").isNotNull() & (F.col("step") > 0))
-        dims = dims.where(matches(pattern, F.col("name"), path, tags_of(F.col("name")))).where((F.col("s0") < stop) & (F.col("s1") > start)).dropDuplicates(["name"])
+        dims = self.dims.select((F.col("sid") if "sid" in self.dims.columns else F.lit(0)).alias("id"), "name", "cons_func", "xff", F.col("start").alias("s0"), F.col("stop").alias("s1"), "step").where(F.col("name").isNotNull() & (F.col("step") > 0))
+        dims = dims.where(matches(pattern, F.col("name"), path, tags_of(F.col("name")))).where((F.col("s0") < stop) & (F.col("s1") > start))
+        # of rows with one name the one with the smallest sid is the series
+        dims = dims.groupBy("name").agg(F.min_by(F.struct("cons_func", "xff", "s0", "s1", "step"), F.struct("id", "s0", "s1", "step")).alias("d")).select("name", "d.*")
         dims = dims.withColumn("sid", F.xxhash64("name"))
         up = lambda c: (F.ceil(c / F.col("step")) * F.col("step")).cast("long")
         series = renumber(
@@ -42,13 +63,11 @@ class ResponsesSource:
                 F.coalesce("cons_func", F.lit("average")).alias("cons_func"), F.coalesce(F.nanvl("xff", F.lit(0.0)), F.lit(0.0)).alias("xff"),
                 F.from_json(F.lit("{}"), "map<string,string>").alias("opts"),
             ),
-            F.col("name"),
+            *match_order(pattern, F.col("name")),
         ).select(*SERIES)
-        rows = self.responses.where((F.col("start") < stop) & (F.col("stop") > start)).select(canonical_name("name").alias("name"), "start", "stop", "step", "vals", F.col("step").alias("by"), F.size("vals").alias("length"))
+        rows = answers(self.responses.where((F.col("start") < stop) & (F.col("stop") > start)))
         rows = rows.join(series.select("name"), "name", "left_semi")
-        values = place(rows, ["name", "by", "length"]).where((F.col("ts") >= start) & (F.col("ts") < stop))
-        slots = values.select("name", F.col("by").alias("step"), (F.col("ts") - F.pmod(F.col("ts"), F.col("by"))).alias("ts"), "v", "length")
-        merged = merge_replicas(slots).withColumn("sid", F.xxhash64("name"))
+        merged = merge_replicas(rows).where((F.col("ts") >= start) & (F.col("ts") < stop)).withColumn("sid", F.xxhash64("name"))
         return SeriesFrame(series, dense(series, merged), None)
 
     def catalogue(self) -> DataFrame:

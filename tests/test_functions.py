@@ -106,14 +106,26 @@ def test_look_back_reads_before_the_range(spark):
     check(run(spark, "movingAverage(m,'4s')", rows, 10, 12), {"movingAverage(m,'4s')": [8.5, 9.5]})
 
 
-def test_long_windows_agree_with_frames(spark, monkeypatch):
+@pytest.mark.parametrize("call", ["movingSum(m,{})", "movingAverage(m,{})", "movingMin(m,{})", "movingMax(m,{})", "movingSum(m,{},0.9)", "movingWindow(m,{},'avg_zero')", "movingWindow(m,{},'count')", "movingWindow(m,{},'range')"])
+def test_long_windows_agree_with_frames(spark, monkeypatch, call):
     from seriesloom.functions import moving
 
-    rows = [S("m", [None if i % 7 == 3 else float(i % 11) for i in range(60)], 1)]
-    want = run(spark, "movingAverage(m,20)", rows, 30, 60)
-    monkeypatch.setattr(moving, "LONG", 5)
-    got = run(spark, "movingAverage(m,20)", rows, 30, 60)
-    check(got, {k: [v for _, v in x] for k, x in want.items()})
+    # an infinite and a very large value leave no trace once the window has passed them
+    rows = [S("m", [None if i % 7 == 3 else 1e17 if i == 20 else math.inf if i == 31 else 0.1 * (i % 11) for i in range(70)], 1)]
+    for n in (1, 6, 20):
+        want = run(spark, call.format(n), rows, 30, 70)
+        with monkeypatch.context() as m:
+            m.setattr(moving, "LONG", 0)
+            got = run(spark, call.format(n), rows, 30, 70)
+        check(got, {k: [v for _, v in x] for k, x in want.items()})
+
+
+def test_what_leaves_a_window_leaves_no_trace(spark):
+    rows = [S("m", [math.inf if i == 300 else 0.1 for i in range(900)], 1), S("n", [1e17 if i == 300 else 0.1 for i in range(900)], 1)]
+    for n in (256, 257):
+        got = run(spark, f"movingSum({{m,n}},{n})", rows, 880, 900)
+        for values in got.values():
+            assert all(math.isclose(v, 0.1 * n, rel_tol=1e-9) for _, v in values)
 
 
 def test_holt_winters_known_value():
@@ -125,6 +137,58 @@ def test_holt_winters_known_value():
     assert math.isclose(p[n], 4.354532587468384, rel_tol=1e-9)
 
 
+def test_holt_winters_of_several_series_and_gaps():
+    import numpy as np
+
+    from seriesloom.functions.forecast import holt_winters
+
+    def plain(x, slots, alpha=0.1, beta=0.0035, gamma=0.1):
+        """The recurrences of the docstring, one value at a time, over dictionaries."""
+        effect, usual, level, trend, ahead, out = {}, {}, None, 0.0, None, []
+        for i, y in enumerate(x):
+            p = y if i == 0 else ahead
+            if y != y:
+                out.append((p, 0.0))
+                effect[i], usual[i], level, trend, ahead = 0.0, 0.0, None, 0.0, math.nan
+                continue
+            old = y if level is None else level
+            e, u = effect.get(i - slots, 0.0), usual.get(i - slots, 0.0)
+            level = alpha * (y - e) + (1 - alpha) * (old + trend)
+            trend = beta * (level - old) + (1 - beta) * trend
+            effect[i] = gamma * (y - level) + (1 - gamma) * e
+            usual[i] = gamma * abs(y - (0.0 if p is None or p != p else p)) + (1 - gamma) * u
+            ahead = level + trend + effect.get(i + 1 - slots, 0.0)
+            out.append((p, usual[i]))
+        return np.array(out, float).T
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(10, 3, (3, 90))
+    x[1, 0] = x[1, 40:45] = x[2, 60] = np.nan
+    p, d = holt_winters(x, 1, 24)
+    for k in range(3):
+        want = plain(x[k].tolist(), 24)
+        np.testing.assert_allclose(p[k], want[0])
+        np.testing.assert_allclose(d[k], want[1])
+        np.testing.assert_allclose(holt_winters(x[k], 1, 24)[0], want[0])
+
+
+def test_matches_are_in_the_order_of_the_pattern(spark):
+    rows = [S(n, [1]) for n in ("r.b.x", "r.a.y", "r.c.x", "r.b.y", "r.a.x")]
+    assert list(run(spark, "r.{b,a}.*", rows)) == ["r.b.x", "r.b.y", "r.a.x", "r.a.y"]
+    assert list(run(spark, "r.*.{y,x}", rows)) == ["r.a.y", "r.a.x", "r.b.y", "r.b.x", "r.c.x"]
+    assert list(run(spark, "limit(r.{c,b}.x,1)", rows)) == ["r.c.x"]
+
+
+def test_reduce_by_any_function_and_from_the_end(spark):
+    rows = [S("a.s1.v", [2]), S("a.s1.t", [8]), S("a.s2.v", [1])]
+    check(run(spark, "reduceSeries(a.*.*,'asPercent',-1,'v','t')", rows), {"a.s1.reduce.asPercent": [25]})
+    check(run(spark, "reduceSeries(a.*.*,'divideSeries',2,'t','v')", rows), {"a.s1.reduce.divideSeries": [4]})
+    check(run(spark, "reduceSeries(a.*.*,'squareRoot',2,'v')", [S("a.s1.v", [4]), S("a.s2.v", [9])]), {"a.s1.reduce.squareRoot": [2], "a.s2.reduce.squareRoot": [3]})
+    check(run(spark, "reduceSeries(a.*.*,'diffSeries',-1,'t','v')", rows), {"a.s1.reduce.diffSeries": [6]})
+    with pytest.raises(EvalError):
+        run(spark, "reduceSeries(a.*.*,'asPercent',-4,'v','t')", rows)
+
+
 def test_steps_are_brought_together(spark):
     rows = [S("m1", [1, 2, 3, 4], 1), S("m2", [10, 20], 2)]
     check(run(spark, "sum(m*)", rows), {"sumSeries(m*)": [11.5, 23.5]})

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from seriesloom.lang.parser import ParseError, parse, tag_terms
@@ -44,6 +44,7 @@ def test_no_expressions(text):
 def test_macros():
     assert parse("m(a.b,3)", {"m": "scale({0},{1})"}).text == "scale(a.b,3)"
     assert parse("m(x)", {"m": "n({args})", "n": "sum({0})"}).text == "sum(x)"
+    assert parse("m(alias(a,\"it's\"))", {"m": "scale({0},2)"}).text == "scale(alias(a,\"it's\"),2)"
     with pytest.raises(ParseError):
         parse("m(x)", {"m": "m({0})"})
     with pytest.raises(ParseError):
@@ -91,7 +92,9 @@ def test_align_start():
         align_start(NOW, "weeks")
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
+@example("\"'\"")
+@example("f(\"it's\",'a\"b')")
 @given(st.text("abf(){},'\"|=1.*- \\", max_size=25))
 def test_the_parser_ends_in_a_tree_or_an_error(text):
     try:

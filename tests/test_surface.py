@@ -13,7 +13,7 @@ from seriesloom.plans.engine import Engine, function_catalogue
 from seriesloom.sources import metadata
 from seriesloom.sources.base import MemorySource, TableSource, UnionSource
 from seriesloom.sources.globs import glob_regex, matches
-from seriesloom.sources.responses import ResponsesSource, merge_replicas
+from seriesloom.sources.responses import ResponsesSource, answers, merge_replicas
 
 
 def S(name, values, step=1, start=0, **more):
@@ -68,9 +68,17 @@ def test_union_of_sources(spark):
 
 
 def test_replicas(spark):
-    rows = [("m", 0, 1, 1.0, 2), ("m", 0, 1, 9.0, 1), ("m", 1, 1, None, 2), ("m", 1, 1, 5.0, 1), ("m", 0, 2, 7.0, 9)]
-    got = merge_replicas(spark.createDataFrame(rows, "name string, ts long, step long, v double, length int").where("v is not null"))
-    assert sorted((r["ts"], r["v"]) for r in got.collect()) == [(0, 1.0), (1, 5.0)]
+    N, D = None, 86400
+    rows = [
+        (" m", 0, 120, 60, [1.0, N]), ("m", 30, 150, 60, [9.0, 5.0]), ("m", 0, 120, 120, [7.0]),  # one range: the finest step whole, gaps filled
+        ("m", D, 2 * D, 300, [4.0, 6.0]),  # a range with coarse answers only is kept
+        ("m", 0, 7200, 120, [8.0, 8.0, 8.0]),  # a wider range at a coarser step counts where nothing finer is
+        ("n", 0, 120, 60, [N, float("nan")]), ("n", 0, 120, 120, [3.0, 4.0]),  # an answer without a value hides nothing; values after the stop do not count
+        (None, 0, 60, 60, [1.0]), ("m", 0, 60, 0, [1.0]), ("m", 0, 60, 60, None), ("m", N, 60, 60, [1.0]),
+    ]
+    df = spark.createDataFrame(rows + rows[:2], "name string, start long, stop long, step long, vals array<double>").withColumn("h0", F.lit("clash"))
+    got = sorted((r["name"], r["ts"], r["step"], r["v"]) for r in merge_replicas(answers(df)).collect())
+    assert got == [("m", 0, 60, 9.0), ("m", 60, 60, 5.0), ("m", 120, 120, 8.0), ("m", 240, 120, 8.0), ("m", D, 300, 4.0), ("m", D + 300, 300, 6.0), ("n", 0, 120, 3.0)]
 
 
 def test_stored_responses_as_series(spark):
