@@ -1,20 +1,31 @@
 """Implausible values in measurements (problem 3).
 
-The plan, in stages:
+What decides, per series:
+
+* Spikes: detail coefficients of an undecimated median wavelet (a value against
+  the medians of the 5 and of the 7 values around it), of the values as they are
+  and as ratios. Medians keep edges and slopes, so lasting shifts and counter
+  resets have no detail, and whatever lasts for three values or less is all
+  detail. What recurs at the same time of day (the median detail there) is taken
+  off. A value is a spike if, at one of the two scales, its detail is beyond
+  `threshold` times the series' usual one both as a difference and as a ratio.
+  The usual detail is the 90th percentile of all details of that scale, which a
+  few per cent of spikes cannot move.
+* Stuck readings: runs of zero detail of the Haar wavelet (neighbours that are
+  equal), too long for the series' own habit of repeating.
+* Impossible values: outside the bounds of the unit in which a series is measured.
+
+What is usual is counted over the whole series, in logarithmic classes of 1/16
+octave, so counts of parts add up. The plan, in stages:
 
 1. Responses are cut by day, values staying in arrays: nothing is exploded. Days
    that were delivered again are dropped, by partial aggregation before the
    exchange, which spreads a series with a third of all rows over its days.
 2. Days meet in chunks of `chunk_slots` slots per series, each with `halo_slots`
    slots of its neighbours on both sides, so that a task holds one chunk, bounded
-   whatever the series. Each chunk is judged on its own: an undecimated wavelet
-   transform of its values, of which the medians of the recurring daily course
-   are taken out, gives detail coefficients; those beyond a robust multiple of
-   their usual size are candidates. A candidate is a spike if it leaves the level
-   on both of its sides in the same direction, so that lasting shifts and counter
-   resets are none. Runs without detail are stuck if such a run is too long for
-   the series' own habit of repeating values. Bounds by kind of measure give the
-   impossible.
+   whatever the series. The usual sizes of a series of several chunks are counted
+   in three rounds (sizes, daily course, details and runs), each a sum over
+   chunks; a series of one chunk counts its own. Both give the same result.
 3. The flagged slots, few, are grouped by series and day and meet the deliveries
    again, of which one byte a value (present or not) is sent, so that a value
    delivered in several rows is flagged in each.
@@ -22,320 +33,340 @@ The plan, in stages:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoint, ship
 from .responses import DAY, by_day_parts, canonical_name, present
 
-#: (part of the name, lowest, highest possible value); the first that occurs in the name holds.
-BOUNDS: tuple[tuple[str, float, float], ...] = (
-    ("_pct", 0.0, 100.0),
-    ("percent", 0.0, 100.0),
-    ("celsius", -273.15, 1000.0),
-    ("_bytes", 0.0, 2.0**60),
-    ("_ms", 0.0, 2.0**53),
-    ("count", 0.0, 2.0**53),
-    ("depth", 0.0, 2.0**53),
-    ("ticks", 0.0, 2.0**53),
-    ("max_open", 0.0, 2.0**53),
-)
-
-
-def bounds_of(name: str, bounds: tuple[tuple[str, float, float], ...] = BOUNDS) -> tuple[float, float]:
-    """The range of what a name measures; unbounded (but finite) where nothing is known."""
-    path = name.split(";", 1)[0]
-    for part, low, high in bounds:
-        if part in path:
-            return low, high
-    return -1.7e308, 1.7e308
-
-
-def _median_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The median of the present values of each row, and how many there are; NaN where none is."""
-    s = np.sort(x, axis=1)  # absent values go last
-    c = x.shape[1] - np.isnan(s).sum(axis=1)
-    rows = np.arange(len(s))
-    return (s[rows, np.maximum((c - 1) // 2, 0)] + s[rows, np.minimum(c // 2, x.shape[1] - 1)]) / 2, c
-
-
-def _sides(y: np.ndarray, k: int, gaps: tuple[int, ...], use: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each gap the levels on both sides of each of the present values `y`.
-
-    A level is the median of the k nearest values that count (`use`), the nearest
-    of them `gap` values away, or of those there are. Where a side ends before
-    that, the level next to the value is its level; where the side has no value at
-    all, as at a series' ends, the range of what is next to the value and its level
-    on the other side is taken for both.
-    """
-    n, m = len(y), max(gaps) - 1
-    kept = y if use is None else y[use]
-    pad = np.full(k + m, np.nan)
-    med, c = _median_rows(np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, kept, pad)), k))
-    # of each value, how many that count come before it, and where those after it begin
-    before = np.arange(n) if use is None else np.cumsum(use) - use
-    after = before + (1 if use is None else use)
-    near, out = None, []
-    for g in gaps:
-        i, j = before + m - g + 1, after + k + m + g - 1
-        left, right = np.where(c[i] > 0, med[i], np.nan), np.where(c[j] > 0, med[j], np.nan)
-        if near is None:
-            near = left, right
-        left, right = (np.where(np.isnan(x), by, x) for x, by in zip((left, right), near))
-        if len(kept):
-            none, last = np.isnan(left), np.isnan(right)
-            left, right = np.where(none, kept[np.minimum(after, len(kept) - 1)], left), np.where(last, kept[np.maximum(before - 1, 0)], right)
-        out.append((left, right))
-    return out
-
-
-def wavelet_details(y: np.ndarray, levels: int = 2) -> list[np.ndarray]:
-    """Detail coefficients of an undecimated (shift-invariant) transform with a 1-2-1 smoothing filter.
-
-    Level j compares each smoothed value with its smoothing over neighbours 2**j
-    places away; absent places stay absent and are left out of the smoothing.
-    A straight line has no detail.
-    """
-    details, c = [], y
-    n = len(y)
-    for j in range(levels):
-        s = 2**j
-        a = np.full(n, np.nan)
-        b = np.full(n, np.nan)
-        a[s:], b[: n - s] = c[: n - s], c[s:]
-        a = np.where(np.isnan(a), c, a)
-        b = np.where(np.isnan(b), c, b)
-        smooth = (a + 2 * c + b) / 4
-        details.append(c - smooth)
-        c = smooth
-    return details
-
-
-def _daily_course(e: np.ndarray, slot: np.ndarray, per_day: int, least_days: int = 5) -> np.ndarray:
-    """The median deviation at each time of day; 0 where fewer than `least_days` days have one."""
-    days = int(slot[-1]) // per_day + 1
-    grid = np.full(days * per_day, np.nan)
-    grid[slot] = e
-    med, c = _median_rows(np.ascontiguousarray(grid.reshape(days, per_day).T))
-    return np.where((c >= least_days) & ~np.isnan(med), med, 0.0)
-
-
-def _far(slot: np.ndarray, k: int, gap: int) -> np.ndarray:
-    """Whether the level of a side is taken, in part, from beyond a gap, or the side ends before."""
-    m = gap + k - 1
-    after, before = np.full((2, len(slot)), 2 * m + 1)
-    after[:-m] = before[m:] = slot[m:] - slot[:-m]
-    return np.maximum(after, before) > 2 * m
-
-
-def _outside(y: np.ndarray, slot: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """How far each value lies outside what is between the levels on its two sides; NaN where there is none.
-
-    Beyond a gap a shifted level has had time to move on, so there a value counts
-    only if it is about as far from both sides. The first and the last value may
-    be off by as many usual steps as there are absent places next to them.
-    """
-    lo, hi = np.fmin(left, right), np.fmax(left, right)
-    e = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
-    e[far & (2 * np.abs(e) < np.fmax(np.abs(y - lo), np.abs(y - hi)))] = 0.0
-    typical = np.median(np.abs(np.diff(y)))
-    for i, d in ((0, slot[1] - slot[0]), (-1, slot[-1] - slot[-2])):
-        e[i] = np.sign(e[i]) * max(abs(e[i]) - typical * (d - 1), 0.0)
-    e[np.isnan(lo)] = np.nan
-    return e
-
-
-def _scale(e: np.ndarray, steps: np.ndarray, gap: int) -> float:
-    """The usual size of deviations; slopes count as usual."""
-    f = np.abs(e[~np.isnan(e)])
-    if len(f) == 0:
-        return 1e-12
-    q95, q98 = np.quantile(f, (0.95, 0.98))  # spikes are rarer than this
-    typical = np.median(np.abs(steps)) if len(steps) else 0.0
-    return float(max(q95, 0.6 * q98, 0.7 * (gap + 1.5) * typical, 1e-12))
-
-
-def _burst_factor(e: np.ndarray) -> float:
-    """More is asked of a ratio where large ratios with a long tail are the series' habit."""
-    f = np.abs(e[~np.isnan(e)])
-    if len(f) == 0:
-        return 1.0
-    q90, q95, q99 = np.quantile(f, (0.9, 0.95, 0.99))
-    return 1.4 if q95 > 0.5 and q99 > 2.0 * q90 else 1.0
-
-
-GAPS = (1, 3)
-
-
-def find_spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float = 3.2, k: int = 4) -> np.ndarray:
-    """Marks the brief excursions of a regular series with absent places (NaN).
-
-    A value must be far off both as a difference and as a ratio: bursts that are
-    usual for a series are usual as ratios, and noise near zero as differences.
-    The levels on its sides are taken next to it and, for wide excursions, three
-    values away. Absent places are skipped, so that a value beside a gap is judged
-    by the values beyond it, and the first and the last one by the side they have.
-    """
-    out = np.zeros(len(x), bool)
-    seen = ~np.isnan(x)
-    if seen.sum() >= 8:
-        out[seen] = _spikes(x[seen], slot[seen], per_day, threshold, k)
-    return out
-
-
-def _spikes(x: np.ndarray, slot: np.ndarray, per_day: int, threshold: float, k: int) -> np.ndarray:
-    """find_spikes() of the present values."""
-    n = len(x)
-    far = [_far(slot, k, g) for g in GAPS]
-    size = np.abs(x)
-    level = float(np.median(size))
-    # of series that are often 0, small numbers are no ratio of anything
-    unit = np.quantile(size[size > 0], 0.75 if (size == 0).mean() > 0.02 else 0.0625) if (size > 0).any() else 1.0
-    views = []
-    for ratio in (False, True):
-        y = np.sign(x) * np.log1p(np.abs(x) / unit) if ratio else x
-        es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS), far)]
-        if per_day >= 2:  # what recurs at the same time of day is no excursion
-            usual = _daily_course(es[0], slot - slot[0] // per_day * per_day, per_day)
-            if usual.any():
-                y = y - usual[slot % per_day]
-                es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS), far)]
-        steps = np.diff(y)
-        least = 1e-4 if ratio else 1e-4 * level
-        limit = threshold * (_burst_factor(es[0]) if ratio else 1.0)
-        views.append((y, [max(_scale(e, steps, g), least) * limit for e, g in zip(es, GAPS)], es))
-    # candidates: details beyond a robust multiple of their usual size
-    cand = np.zeros(n, bool)
-    for y, limits, _ in views:
-        for w in wavelet_details(y):
-            a = np.abs(w[~np.isnan(w)])
-            mad = 1.4826 * np.median(a) if len(a) else 0.0
-            cand |= np.abs(np.where(np.isnan(w), 0.0, w)) > max(2.0 * mad, 0.08 * limits[0])
-    for shift in (-1, 1):  # a wide excursion has its detail at its edges
-        cand |= np.roll(cand, shift)
-    flag, best = np.zeros(n, bool), np.zeros(n)
-    for _ in range(3):
-        parts = []
-        for y, limits, es in views:
-            if flag.any():  # levels without what was found so far
-                es = [_outside(y, slot, *side, f) for side, f in zip(_sides(y, k, GAPS, ~flag), far)]
-            parts.append([np.abs(np.where(np.isnan(e), 0.0, e)) / lim for e, lim in zip(es, limits)])
-        score = np.max([np.minimum(p, q) for p, q in zip(*parts)], axis=0)
-        near = np.zeros(n, bool)
-        for d in (1, 2):
-            near[d:] |= flag[:-d]
-            near[:-d] |= flag[d:]
-        # beside a value that is far off, less is asked
-        new = (near & (score > 0.7) if flag.any() else cand & (score > 1.0)) & ~flag
-        if not new.any():
-            break
-        best[new] = score[new]
-        flag |= new
-    # an excursion is brief: of more than four values in a row only those stay that are far beyond the others
-    idx = np.flatnonzero(flag)
-    if len(idx):
-        for part in np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1):
-            if len(part) > 4:
-                strong = best[part] > 0.4 * best[part].max()
-                flag[part] = strong if strong.sum() <= 4 else False
-    # beside a gap it must be about as far from what is on its two sides: else it is a shift that moved on meanwhile
-    idx = np.flatnonzero(flag)
-    for part in np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1) if len(idx) else ():
-        a, b = int(part[0]), int(part[-1]) + 1
-        around = slot[max(a - k, 0) : b + k]
-        if a and b < n and around[-1] - around[0] > 2 * (len(around) - 1):
-            left, right = x[max(a - k, 0) : a], x[b : b + k]
-            off = sorted(abs(np.median(x[part]) - np.median(v)) for v in (left, right))
-            if off[0] < 0.6 * off[1]:
-                flag[part] = False
-    return flag
+#: Lowest and highest possible value by unit, the unit being the last word of a path.
+UNITS: Mapping[str, tuple[float, float]] = {
+    "pct": (0.0, 100.0),
+    "percent": (0.0, 100.0),
+    "celsius": (-273.15, 1000.0),
+    "kelvin": (0.0, 1273.15),
+    "bytes": (0.0, 2.0**60),
+    "ms": (0.0, 2.0**53),
+    "seconds": (0.0, 2.0**53),
+    "count": (0.0, 2.0**53),
+    "depth": (0.0, 2.0**53),
+    "ticks": (0.0, 2.0**53),
+    "open": (0.0, 2.0**53),
+}
+ANY = (-1.7e308, 1.7e308)
+SPIKE, STUCK, IMPOSSIBLE = "spike", "stuck", "impossible"
 
+#: Widths of the medians; excursions of up to half of one are all detail.
+WIDTHS = (5, 7)
+#: The share of details that count as usual; a detail is no less usual than so many steps between neighbours.
+USUAL, STEPS = 0.9, 1.25
+#: The least usual detail: as a ratio, and as a difference in sizes of the series.
+LEAST = 1e-4
+#: The size that ratios are taken against, as a share of the sizes that are not 0: the latter if more than 2 % are 0.
+SMALL, OFTEN_ZERO = 0.0625, 0.75
+#: A time of day has a usual detail if so many days have a value there.
+LEAST_DAYS = 5
+#: Fewer values than this have no spikes, shorter runs are not stuck.
+LEAST_VALUES, LEAST_RUN = 8, 5
+#: Of a run too long, so many would be expected; a run that holds more than this share of all values is the normal state.
+EXPECTED, HABIT = 1e-3, 0.3
 
-def find_stuck(x: np.ndarray, least: int = 5, expected: float = 1e-3, habit: float = 0.3) -> np.ndarray:
-    """Marks runs of equal values, absent places skipped, too long for the series.
 
-    The chance that a value repeats is taken from the series without the run in
-    question, and separately from the runs of the run's own value; the run is
-    stuck if, by the larger of the two, fewer than `expected` runs as long were
-    to be found in the series. A run that holds over `habit` of the values is the
-    series' normal state.
-    """
-    flag = np.zeros(len(x), bool)
-    idx = np.flatnonzero(~np.isnan(x))
-    v = x[idx]
-    if len(v) < least:
+def unit_of(name: Column) -> Column:
+    """The last word of a name's path: pct of a.b.cpu.user_pct."""
+    return F.lower(F.regexp_extract(F.substring_index(name, ";", 1), r"([A-Za-z]+)$", 1))
+
+
+def bounds_of(name: Column, units: Mapping[str, tuple[float, float]]) -> tuple[Column, Column]:
+    """The lowest and the highest possible value of a series; where the unit is not known any finite one is."""
+    unit, low, high = unit_of(name), F.lit(ANY[0]), F.lit(ANY[1])
+    for u, (a, b) in units.items():
+        low, high = F.when(unit == u, F.lit(float(a))).otherwise(low), F.when(unit == u, F.lit(float(b))).otherwise(high)
+    return low, high
+
+
+# -- wavelets ---------------------------------------------------------------------
+
+#: Exchanges that leave the median of 5 and of 7 in the middle (fixed values).
+_NETWORKS = {
+    5: ((0, 1), (3, 4), (0, 3), (1, 4), (1, 2), (2, 3), (1, 2)),
+    7: ((0, 5), (0, 3), (1, 6), (2, 4), (0, 1), (3, 5), (2, 6), (2, 3), (3, 6), (4, 5), (1, 4), (1, 3), (3, 4)),
+}
+
+
+def median_filter(y: np.ndarray, width: int) -> np.ndarray:
+    """The median of the `width` values around each; the ends are mirrored."""
+    n, half = len(y), width // 2
+    p = np.pad(y, half, mode="symmetric")
+    rows = [p[i : i + n] for i in range(width)]
+    for a, b in _NETWORKS[width]:
+        rows[a], rows[b] = np.minimum(rows[a], rows[b]), np.maximum(rows[a], rows[b])
+    return rows[half]
+
+
+def median_details(y: np.ndarray) -> list[np.ndarray]:
+    """Detail coefficients of the undecimated median wavelet, narrow and wide. Monotone stretches and edges have none."""
+    return [y - median_filter(y, w) for w in WIDTHS]
+
+
+def haar_details(y: np.ndarray) -> np.ndarray:
+    """Detail coefficients of the undecimated Haar wavelet at its finest scale: one between each two neighbours."""
+    return (y[1:] - y[:-1]) / 2
+
+
+# -- counts of classes ------------------------------------------------------------
+
+_CLASSES, _ZERO = 16, 2**15
+
+
+def classes(x: np.ndarray) -> np.ndarray:
+    """The class of each size, sixteen to an octave, with its sign; 0 is a class of its own."""
+    with np.errstate(divide="ignore"):
+        c = np.floor(np.log2(np.abs(x)) * _CLASSES)
+    c = np.where(np.isfinite(c), c, -_ZERO).astype(np.int64) + _ZERO
+    return np.where(x < 0, -c, c)
+
+
+def size_of(c: np.ndarray | int) -> np.ndarray:
+    """The middle of a class."""
+    k = np.abs(np.asarray(c, float))
+    return np.sign(c) * np.where(k == 0, 0.0, 2.0 ** ((k - _ZERO + 0.5) / _CLASSES))
+
+
+def quantile(c: np.ndarray, n: np.ndarray | None, q: float) -> float:
+    """The size at the rank ceil(q * all) of classes that occur n times (once each where n is None); 0 of nothing."""
+    if not len(c):
+        return 0.0
+    if n is None:
+        k = max(int(np.ceil(q * len(c))) - 1, 0)
+        return float(size_of(np.partition(c, k)[k]))
+    order = np.argsort(c)
+    run = np.cumsum(n[order])
+    return float(size_of(c[order][np.searchsorted(run, max(np.ceil(q * run[-1]), 1))]))
+
+
+# -- what is usual for a series ---------------------------------------------------
+
+#: Kinds of counts, by the round in which they are made.
+SIZES, RUNS, VALUES = 0, 20, 21
+COURSE, DETAILS, JUMPS = 1, 5, 9
+_SPAN = 2**17
+ROUNDS = 3
+
+
+class Counts:
+    """Classes and how often they occur, by kind; `n` is None where each occurs once (a series of one chunk)."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, tuple[np.ndarray, np.ndarray | None, np.ndarray | None]] = {}
+
+    def put(self, kind: int, key: np.ndarray, n: np.ndarray | None = None, m: np.ndarray | None = None) -> None:
+        self.of[kind] = (key, n, m)
+
+    def get(self, kind: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        return self.of.get(kind, (np.zeros(0, np.int64), None, None))
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        """(kind, key, n, m): what is summed over the chunks of a series."""
+        out: list[tuple[int, int, int, int]] = []
+        for kind, (key, n, m) in self.of.items():
+            if n is None:
+                key, n = np.unique(key, return_counts=True)
+            m = np.zeros(len(key), np.int64) if m is None else m
+            out += zip([kind] * len(key), key.tolist(), n.tolist(), m.tolist())
+        return out
+
+
+class Chunk:
+    """The present values of one chunk with its halo; `core` are those that are its own."""
+
+    def __init__(self, slot: np.ndarray, x: np.ndarray, core: np.ndarray, step: int, low: float, high: float):
+        self.impossible = (x < low) | (x > high) | np.isinf(x)
+        self.slot, self.x, self.core = slot, x, core
+        ok = ~self.impossible
+        self.clean_slot, self.clean, self.clean_core = slot[ok], x[ok], core[ok]
+        per_day = DAY // step if DAY % step == 0 else 0
+        self.tod = self.clean_slot % per_day if per_day >= 2 else None
+
+    def sizes(self, c: Counts) -> None:
+        c.put(SIZES, classes(np.abs(self.clean[self.clean_core])))
+
+    def views(self, c: Counts) -> None:
+        """The values as they are and as ratios, and their details."""
+        key, n, _ = c.get(SIZES)
+        some = key > 0
+        total, zeros = (len(key), int((~some).sum())) if n is None else (int(n.sum()), int(n[~some].sum()))
+        share = OFTEN_ZERO if zeros > 0.02 * total else SMALL
+        unit = quantile(key[some], None if n is None else n[some], share) or 1.0
+        self.level = quantile(key, n, 0.5)
+        self.ys = (self.clean, np.sign(self.clean) * np.log1p(np.abs(self.clean) / unit))
+        self.details = [d for y in self.ys for d in median_details(y)]
+
+    def course(self, c: Counts) -> None:
+        if self.tod is not None:
+            for i, d in enumerate(self.details):
+                c.put(COURSE + i, self.tod[self.clean_core] * _SPAN + classes(d[self.clean_core]) + _ZERO * 2)
+
+    def take_off(self, c: Counts) -> None:
+        """The details without what is usual at their time of day."""
+        if self.tod is None:
+            return
+        for i, d in enumerate(self.details):
+            key, n, _ = c.get(COURSE + i)
+            if not len(key):
+                continue
+            order = np.argsort(key)
+            key, n = key[order], np.ones(len(key), np.int64) if n is None else n[order]
+            tod, run = key // _SPAN, np.cumsum(n)
+            first = np.flatnonzero(np.diff(tod, prepend=-1))
+            before = run[first] - n[first]
+            days = np.diff(np.append(before, run[-1]))
+            mid = np.searchsorted(run, before + (days + 1) // 2)
+            usual = np.where(days >= LEAST_DAYS, size_of(key[mid] % _SPAN - _ZERO * 2), 0.0)
+            at = np.minimum(np.searchsorted(tod[first], self.tod), len(first) - 1)
+            self.details[i] = d - np.where(tod[first][at] == self.tod, usual[at], 0.0)
+
+    def scales(self, c: Counts) -> None:
+        for i, d in enumerate(self.details):
+            c.put(DETAILS + i, classes(np.abs(d[self.clean_core])))
+        for i, y in enumerate(self.ys):
+            c.put(JUMPS + i, classes(np.abs(np.diff(y)[self.clean_core[1:]])))
+
+    def runs(self, c: Counts) -> None:
+        """Runs of zero detail that begin in the core: how many, how many repeats; and of each value that repeats."""
+        self.begin, self.length = zero_runs(self.x)
+        own = self.core[self.begin]
+        length, value = self.length[own], self.x[self.begin][own]
+        c.put(RUNS, np.zeros(1, np.int64), np.array([len(length)]), np.array([(length - 1).sum()]))
+        again = length >= 2
+        v, at = np.unique(value[again] + 0.0, return_inverse=True)
+        c.put(VALUES, v.view(np.int64), np.bincount(at, minlength=len(v)), np.bincount(at, length[again], len(v)).astype(np.int64))
+
+    def spikes(self, c: Counts, threshold: float) -> np.ndarray:
+        """The places of `clean` that are spikes."""
+        n = len(self.clean)
+        key, m, _ = c.get(DETAILS)
+        if (len(key) if m is None else int(m.sum())) < LEAST_VALUES:
+            return np.zeros(n, bool)
+        ratio = np.full((2, len(WIDTHS), n), 0.0)
+        for i, y in enumerate(self.ys):
+            jump = STEPS * quantile(*c.get(JUMPS + i)[:2], 0.5)
+            floor = max(jump, LEAST if i else LEAST * self.level, 1e-12)
+            for j in range(len(WIDTHS)):
+                k = i * len(WIDTHS) + j
+                ratio[i, j] = np.abs(self.details[k]) / max(quantile(*c.get(DETAILS + k)[:2], USUAL), floor)
+        return beside_gaps(self.clean, self.clean_slot, ratio.min(axis=0).max(axis=0) > threshold)
+
+    def stuck(self, c: Counts) -> np.ndarray:
+        """The places of `x` in runs too long for the series; zero_runs() of which are known."""
+        flag = np.zeros(len(self.x), bool)
+        _, runs, repeats = c.get(RUNS)
+        if not len(runs):
+            return flag
+        runs, repeats = int(runs[0]), int(repeats[0])
+        key, often, total = c.get(VALUES)
+        known = dict(zip(key.tolist(), zip(often.tolist(), total.tolist())))
+        for r in np.flatnonzero((self.length >= LEAST_RUN) & (self.length <= HABIT * (runs + repeats))):
+            own = int(self.length[r]) - 1
+            # the chance that a value repeats, without this run; and that a repeated value like this one goes on
+            chance = (repeats - own + 0.5) / (repeats - own + runs + 1)
+            times, held = known.get(int((self.x[self.begin[r] : self.begin[r] + 1] + 0.0).view(np.int64)[0]), (0, 0))
+            if times >= LEAST_RUN:
+                chance = max(chance, (held - 2 * times - (own - 1) + 0.5) / (held - times - own + 1))
+            if runs * chance**own < EXPECTED:
+                flag[self.begin[r] : self.begin[r] + self.length[r]] = True
         return flag
-    ends = np.append(np.flatnonzero(np.diff(v) != 0), len(v) - 1)
-    begins = np.append(0, ends[:-1] + 1)
-    length = ends - begins + 1
-    values = v[begins]
-    runs, repeats = len(length), len(v) - len(length)
-    for r in np.flatnonzero((length >= least) & (length <= habit * len(v))):
-        own = length[r] - 1
-        p = (repeats - own + 0.5) / (repeats - own + runs + 1)
-        alike = length[values == values[r]]
-        c, s = len(alike), alike.sum()
-        same = (s - c) - own
-        p_same = (same + 0.5) / (same + c + 1) if c >= 5 else 0.0
-        if runs * max(p, p_same) ** own < expected:
-            flag[idx[begins[r] : ends[r] + 1]] = True
-    return flag
 
 
-SPIKE, STUCK, IMPOSSIBLE = "spike", "stuck", "impossible"
+def zero_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs without Haar detail begin, and how many values they have; single values are runs of one."""
+    with np.errstate(invalid="ignore"):
+        moved = haar_details(x) != 0  # inf - inf is no number, and no movement
+    if np.isinf(x).any():
+        moved = x[1:] != x[:-1]
+    begin = np.append(0, np.flatnonzero(moved) + 1) if len(x) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(x)))
 
 
-def judge(name: str, step: int, slot: np.ndarray, v: np.ndarray, threshold: float = 3.2) -> dict[str, np.ndarray]:
-    """The slots of one chunk that are implausible, by reason; a slot can have several."""
-    first = int(slot[0])
-    x = np.full(int(slot[-1]) - first + 1, np.nan)
-    x[slot - first] = v
-    low, high = bounds_of(name)
+def beside_gaps(x: np.ndarray, slot: np.ndarray, flag: np.ndarray, k: int = 4) -> np.ndarray:
+    """Of excursions beside a gap those stay that are about as far from what is on their two sides.
+
+    Else they are shifts that moved on meanwhile.
+    """
+    flag = flag.copy()
+    idx = np.flatnonzero(flag)
+    for part in np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1) if len(idx) else ():
+        a, b = int(part[0]), int(part[-1]) + 1
+        around = slot[max(a - k, 0) : b + k]
+        if a and b < len(x) and around[-1] - around[0] > 2 * (len(around) - 1):
+            off = sorted(abs(np.median(x[part]) - np.median(v)) for v in (x[max(a - k, 0) : a], x[b : b + k]))
+            flag[part] = off[0] >= 0.6 * off[1]
+    return flag
+
+
+def count(chunk: Chunk, known: Counts | None, rounds: int) -> Counts:
+    """What is usual, from the counts of the rounds already `known`, or else from the chunk itself, up to a number of rounds."""
+    c = known or Counts()
+    fresh = known is None
+    made = Counts()
+    if fresh or rounds == 1:
+        chunk.sizes(c if fresh else made)
+    if rounds >= 2:
+        chunk.views(c)
+        if fresh or rounds == 2:
+            chunk.course(c if fresh else made)
+    if rounds >= 3:
+        chunk.take_off(c)
+        if fresh or rounds == 3:
+            chunk.scales(c if fresh else made)
+            chunk.runs(c if fresh else made)
+    return c if fresh else made
+
+
+def judge(chunk: Chunk, known: Counts | None = None, threshold: float = 5.5) -> dict[str, np.ndarray]:
+    """The chunk's own slots that are implausible, by reason; a slot can have several."""
     with np.errstate(all="ignore"):
-        impossible = (x < low) | (x > high) | np.isinf(x)
-        clean = np.where(impossible, np.nan, x)
-        spikes = find_spikes(clean, np.arange(len(x)) + first, DAY // step if step and DAY % step == 0 else 0, threshold)
+        if known is None:
+            c = count(chunk, None, ROUNDS)
+        else:
+            c = known
+            chunk.views(c)
+            chunk.take_off(c)
+            chunk.begin, chunk.length = zero_runs(chunk.x)
+        spikes = chunk.spikes(c, threshold)
+        stuck = chunk.stuck(c)
     return {
-        SPIKE: np.flatnonzero(spikes) + first,
-        STUCK: np.flatnonzero(find_stuck(x)) + first,
-        IMPOSSIBLE: np.flatnonzero(impossible) + first,
+        SPIKE: chunk.clean_slot[spikes & chunk.clean_core],
+        STUCK: chunk.slot[stuck & chunk.core],
+        IMPOSSIBLE: chunk.slot[chunk.impossible & chunk.core],
     }
 
 
+# -- over tables ------------------------------------------------------------------
+
+_KEY = ["series", "step"]
+_KNOWN = "array<struct<kind:int,key:long,n:long,m:long>>"
+
+
 def _named(responses: DataFrame, *more) -> DataFrame:
     return responses.select(*more, canonical_name("name").alias("name"), "start", "stop", "step", "vals").where(F.col("name").isNotNull())
 
 
-def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots: int = 32768, halo_slots: int = 1024) -> DataFrame:
-    """`name, step, slot_ts, reason`: the implausible slots of each series.
-
-    A series is a regular name with the step of its responses. Deliveries of one
-    slot that disagree count with their largest value. A chunk's own values are
-    the measure of what is normal, `chunk_slots` slots (months) at a time, in whole
-    days from the series' first.
-    """
-    parts = by_day_parts(_named(responses), ["name"]).distinct()
-    begin = responses.select(canonical_name("name").alias("name"), "step", "start").where(F.col("name").isNotNull() & (F.col("step") > 0)).groupBy("name", "step").agg(F.floor(F.min("start") / DAY).cast("int").alias("origin"))
-    met = parts.join(begin, ["name", "step"])
-    days = F.greatest(F.floor(F.lit(chunk_slots) * F.col("step") / DAY), F.lit(1)).cast("int")
-    halo = F.least(F.greatest(F.ceil(F.lit(halo_slots) * F.col("step") / DAY), F.lit(1)), F.col("days")).cast("int")
-    rel = F.col("day") - F.col("origin")
-    spots = [F.floor((rel + d) / F.col("days")).cast("int") for d in (-F.col("halo"), F.lit(0), F.col("halo"))]
-    cut = met.withColumn("days", days).withColumn("halo", halo).select(
-        "name", "step", "origin", "days", "slot0", "part", F.explode(F.array_distinct(F.filter(F.array(*spots), lambda c: c >= 0))).alias("chunk")
-    )
-    chunks = cut.repartition("name", "step", "chunk").sortWithinPartitions("name", "step", "chunk")
-    schema = "name string, step long, slot_ts long, reason string"
-    names = ["name", "step", "slot_ts", "reason"]
+def _over_chunks(chunks: DataFrame, made: Callable, schema: str) -> DataFrame:
+    """A function of (step, chunk, known counts or None) as rows, over sorted partitions that stream."""
+    rows = chunks.repartition(*_KEY, "chunk").sortWithinPartitions(*_KEY, "chunk", "slot0")
+    names = [f.split()[0] for f in schema.split(", ")]
     ship(chunks.sparkSession)
 
-    def close(key: tuple, parts: list[tuple[int, np.ndarray]]) -> list[pd.DataFrame]:
-        name, step, origin, days, chunk = key
+    def close(key: tuple, parts: list[tuple[int, np.ndarray]], known: list) -> list[tuple]:
+        series, step, low, high, origin, days, chunk = key
+        if not parts:
+            return []
         first = min(s for s, _ in parts)
         x = np.full(max(s + len(v) for s, v in parts) - first, np.nan)
         for s, v in parts:
@@ -344,62 +375,132 @@ def implausible_slots(responses: DataFrame, threshold: float = 3.2, chunk_slots:
         seen = np.flatnonzero(~np.isnan(x))
         if not len(seen):
             return []
-        lo = -(-(origin + chunk * days) * DAY // step)
-        hi = -(-(origin + (chunk + 1) * days) * DAY // step)
-        out = []
-        for reason, found in judge(name, step, seen + first, x[seen], threshold).items():
-            found = found[(found >= lo) & (found < hi)]
-            if len(found):
-                out.append(pd.DataFrame({"name": name, "step": step, "slot_ts": found * step, "reason": reason}))
-        return out
+        lo, hi = (-(-(origin + (chunk + i) * days) * DAY // step) if days else s for i, s in ((0, first), (1, first + len(x))))
+        slot = seen + first
+        counts = None
+        if known is not None:
+            counts, by = Counts(), {}
+            for k in known:
+                by.setdefault(k["kind"], []).append((k["key"], k["n"], k["m"]))
+            for kind, rows in by.items():
+                counts.put(kind, *(np.array(c, np.int64) for c in zip(*rows)))
+        return made(series, step, Chunk(slot, x[seen], (slot >= lo) & (slot < hi), step, low, high), counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        parts: list[tuple[int, np.ndarray]] = []
+        key, parts, known = None, [], None
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        types = [kinds[f.split()[1]] for f in schema.split(", ")]
 
-        def made(out: list[pd.DataFrame]) -> pa.RecordBatch:
-            df = pd.concat(out) if out else pd.DataFrame({"name": [], "step": [], "slot_ts": [], "reason": []})
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(df[c].tolist(), k) for c, k in zip(names, kinds)], names=names)
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
         for batch in batches:
-            out: list[pd.DataFrame] = []
-            cols = [batch.column(c).to_pylist() for c in ("name", "step", "origin", "days", "chunk", "slot0")]
+            out: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in (*_KEY, "low", "high", "origin", "days", "chunk", "slot0")]
             lists = batch.column("part")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
-            ends = np.concatenate(([0], np.cumsum([len(v) if v is not None else 0 for v in lists])))
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))))
+            told = batch.column("known") if "known" in batch.schema.names else None
             for i, row in enumerate(zip(*cols)):
-                if row[:5] != key:
+                if key is None or row[:2] != key[:2] or row[6] != key[6]:
                     if key is not None:
-                        out += close(key, parts)
-                    key, parts = row[:5], []
-                parts.append((row[5], flat[ends[i] : ends[i + 1]]))
-            yield made(out)
+                        out += close(key, parts, known)
+                    key, parts, known = row[:7], [], None
+                if told is not None and told[i].is_valid:
+                    known = told[i].as_py()
+                else:
+                    if key[2] is None:  # begun by what is known
+                        key = row[:7]
+                    parts.append((row[7], flat[ends[i] : ends[i + 1]]))
+            yield batch_of(out)
         if key is not None:
-            yield made(close(key, parts))
+            yield batch_of(close(key, parts, known))
 
-    return chunks.select("name", "step", "origin", "days", "chunk", "slot0", "part").mapInArrow(run, schema)
+    more = [c for c in ("known",) if c in rows.columns]
+    return rows.select(*_KEY, "low", "high", "origin", "days", "chunk", "slot0", "part", *more).mapInArrow(run, schema)
+
+
+def implausible_slots(responses: DataFrame, threshold: float = 5.5, units: Mapping[str, tuple[float, float]] = UNITS, chunk_slots: int = 32768, halo_slots: int = 1024) -> DataFrame:
+    """`series, step, slot_ts long, reason string`: the implausible slots of each series.
+
+    `series` is the 64-bit hash of a regular name. Deliveries of one slot that
+    disagree count with their largest value. What is usual is counted over the
+    whole series, whatever its length. A run of equal readings is measured as far
+    as `halo_slots` beyond its chunk.
+    """
+    name = F.col("name")
+    low, high = bounds_of(name, units)
+    keyed = _named(responses).select(F.xxhash64(name).alias("series"), low.alias("low"), high.alias("high"), "start", "stop", "step", "vals")
+    parts = by_day_parts(keyed, ["series", "low", "high"]).distinct()
+    schema = "series long, step long, slot_ts long, reason string"
+
+    def flags(series: int, step: int, chunk: Chunk, known: Counts | None) -> list[tuple]:
+        return [(series, step, int(s) * step, reason) for reason, found in judge(chunk, known, threshold).items() for s in found]
+
+    # one small question to the driver: can a series be longer than a chunk at all
+    span = responses.where("step > 0").agg((F.max("stop") - F.min("start")).alias("time"), F.min("step").alias("step")).first()
+    if span["time"] is None or span["time"] / span["step"] + 2 <= chunk_slots:
+        whole = parts.withColumns({"origin": F.lit(0), "days": F.lit(0), "chunk": F.lit(0)})
+        return _over_chunks(whole, flags, schema)
+    spans = parts.groupBy(*_KEY).agg(F.min("day").alias("origin"), F.max("day").alias("last"))
+    days = F.greatest(F.floor(F.lit(chunk_slots) * F.col("step") / DAY), F.lit(1)).cast("int")
+    spans = spans.withColumn("days", days).withColumn("chunks", (F.floor((F.col("last") - F.col("origin")) / F.col("days")) + 1).cast("int"))
+    halo = F.least(F.greatest(F.ceil(F.lit(halo_slots) * F.col("step") / DAY), F.lit(1)), F.col("days")).cast("int")
+    rel = F.col("day") - F.col("origin")
+    spots = [F.floor((rel + d) / F.col("days")).cast("int") for d in (-F.col("halo"), F.lit(0), F.col("halo"))]
+    held = F.filter(F.array(*spots), lambda c: (c >= 0) & (c < F.col("chunks")))
+    cut = parts.join(spans, _KEY).withColumn("halo", halo).select(*_KEY, "low", "high", "origin", "days", "chunks", "slot0", "part", F.explode(F.array_distinct(held)).alias("chunk"))
+    several = cut.where("chunks > 1").drop("chunks").withColumn("known", F.lit(None).cast(_KNOWN))
+    frames = spans.where("chunks > 1").select(*_KEY, "origin", "days", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    counted: DataFrame | None = None
+    for r in range(1, ROUNDS + 1):
+
+        def tally(series: int, step: int, chunk: Chunk, known: Counts | None, r: int = r) -> list[tuple]:
+            return [(series, step, *row) for row in count(chunk, known or Counts(), r).rows()]
+
+        new = _over_chunks(_told(several, frames, counted), tally, "series long, step long, kind int, key long, n long, m long")
+        new = new.groupBy(*_KEY, "kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        # once per round and series, so that rounds do not run one another again
+        counted = checkpoint(new if counted is None else counted.unionByName(new))
+    alone = cut.where("chunks = 1").drop("chunks").withColumn("known", F.lit(None).cast(_KNOWN))
+    return _over_chunks(alone.unionByName(_told(several, frames, counted)), flags, schema)
+
+
+def _told(chunks: DataFrame, frames: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """The chunks with, before the values of each, a row of what is known of its series."""
+    if counted is None:
+        return chunks
+    known = counted.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "key", "n", "m")).alias("known"))
+    rows = frames.join(known, _KEY).select(
+        *_KEY, F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "origin", "days", "chunk", F.lit(-(2**62)).cast("long").alias("slot0"), F.lit(None).cast("array<double>").alias("part"), "known"
+    )
+    return chunks.unionByName(rows)
 
 
-def implausible_values(responses: DataFrame, threshold: float = 3.2) -> DataFrame:
+def implausible_values(responses: DataFrame, threshold: float = 5.5, units: Mapping[str, tuple[float, float]] = UNITS, **chunks: int) -> DataFrame:
     """`fetch_id long, ts long, reasons array<string>`: each implausible value of each delivery.
 
     Spikes, stuck readings and impossible values of `vals`, judged against the
-    series' own behaviour; see implausible_slots(). Responses without a name, a
-    positive step, start, stop or values give nothing. Absent values are never
-    flagged. A fetch_id that occurs twice is flagged once per value.
+    series' own behaviour and the bounds of its unit; see implausible_slots().
+    Series of fewer than 8 values have no spikes; runs of fewer than 5 equal
+    readings, and runs that hold more than 30 % of a series, are not stuck.
+    Responses without a name, a positive step, start, stop or values give
+    nothing. Absent values are never flagged. A fetch_id that occurs twice is
+    flagged once per value.
     """
-    flagged = implausible_slots(responses, threshold)
+    flagged = implausible_slots(responses, threshold, units, **chunks)
     day = F.floor(F.col("slot_ts") / DAY).cast("int").alias("day")
     by_day = (
-        flagged.groupBy("name", "step", day, (F.col("slot_ts") / F.col("step")).cast("long").alias("slot"))
+        flagged.groupBy(*_KEY, day, (F.col("slot_ts") / F.col("step")).cast("long").alias("slot"))
         .agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-        .groupBy("name", "step", "day")
+        .groupBy(*_KEY, "day")
         .agg(F.collect_list(F.struct("slot", "reasons")).alias("hits"))
     )
-    sent = by_day_parts(_named(responses, "fetch_id", F.pmod("start", "step").alias("off")), ["fetch_id", "off", "name"])
+    keyed = _named(responses, "fetch_id", F.pmod(F.col("start"), F.nullif(F.col("step"), F.lit(0))).alias("off")).withColumn("series", F.xxhash64("name"))
+    sent = by_day_parts(keyed, ["fetch_id", "off", "series"])
     there = sent.withColumn("here", F.transform("part", lambda v: F.coalesce(present(v), F.lit(False)))).drop("part")
-    at = there.join(by_day, ["name", "step", "day"]).select("fetch_id", "off", "step", "slot0", "here", F.explode("hits").alias("hit"))
+    at = there.join(by_day, [*_KEY, "day"]).select("fetch_id", "off", "step", "slot0", "here", F.explode("hits").alias("hit"))
     seen = at.where(F.coalesce(F.get("here", (F.col("hit.slot") - F.col("slot0")).cast("int")), F.lit(False)))
     return seen.select("fetch_id", (F.col("hit.slot") * F.col("step") + F.col("off")).alias("ts"), "hit.reasons").dropDuplicates(["fetch_id", "ts"])
 

@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 DAY = 86400
 
 
+#: What a name in regular spelling has not; names with several tags must have them in order besides.
+_IRREGULAR = r"\s|^[.;]|\.\.|\.;|;;|[.;]$|^$|=[^;]*="
+
+
 def canonical_name(name: Column | str) -> Column:
     """The regular spelling of a series name.
 
     White space at the ends goes, empty path nodes (surplus dots) go, tags are
     put in the order of their keys; empty tags go, of equal tags one stays.
-    Null stays null. The case of letters is kept: it is part of a name.
+    Null stays null. The case of letters is kept: it is part of a name. Most names
+    are regular already, which is cheaper to see than to bring about.
     """
     c = F.col(name) if isinstance(name, str) else name
+    # with \x01 for = the order of tags is that of their keys
+    rest = F.split(F.translate(c, "=", "\x01"), ";")
+    tags = F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))
+    regular = ~c.rlike(_IRREGULAR) & ((F.size(rest) <= 2) | ((F.sort_array(tags) == tags) & (F.size(F.array_distinct(tags)) == F.size(tags))))
+    return F.when(regular, c).otherwise(_respelled(c))
+
+
+def _respelled(c: Column) -> Column:
     parts = F.split(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")), ";")
     nodes = F.filter(F.split(F.trim(parts[0]), r"\."), lambda x: F.trim(x) != "")
     path = F.array_join(F.transform(nodes, lambda x: F.trim(x)), ".")

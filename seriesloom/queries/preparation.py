@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.implausible import implausible_found, implausible_values
+from ..operators.implausible import ANY, EXPECTED, HABIT, IMPOSSIBLE, LEAST_RUN, STUCK, UNITS, implausible_found, implausible_values
 from ..operators.regular_grid import empty_periods, regular_grid
 from ..operators.rolling import inactive_days, rolling_totals
 from ..session import read
@@ -49,8 +49,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible_found(p3_flags(spark, d))
 
 
+def _reason(reason: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return implausible_found(p3_flags(spark, d).where(F.array_contains("reasons", reason)))
+
+    return query
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_flags": p3_flags}
+    return {
+        "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_grid": p2_grid,
+        "p3_found": p3_found, "p3_flags": p3_flags, "p3_stuck": _reason(STUCK), "p3_impossible": _reason(IMPOSSIBLE),
+    }
 
 
 #: One spelling per series name, as canonical_name() has it.
@@ -112,5 +122,30 @@ select target_id, slot * step, case when nt0 - t1 <= 10 * step then round(v1 + (
   case when nt0 - t1 <= 10 * step then 'interpolated' else 'gap' end, 0 from holes"""
 
 
+_SENT = f"""sent as (
+  select r.fetch_id, r.cname, r.step, r.start + (u.i - 1) * r.step as ts, (r.start + (u.i - 1) * r.step) // r.step as slot, u.v
+  from (select *, {CANON.format(n="name")} as cname from fetch_responses where step > 0 and len(vals) > 0 and name is not null) r, lateral (select unnest(range(1, len(r.vals) + 1)) as i, unnest(r.vals) as v) u
+  where r.start + (u.i - 1) * r.step < r.stop and u.v is not null and not isnan(u.v)),
+held as (select cname, step, slot, max(v) as v from sent group by all)"""
+
+_UNITS = " union all ".join(f"select '{u}' as unit, {a!r}::double as low, {b!r}::double as high" for u, (a, b) in UNITS.items())
+
+_P3_IMPOSSIBLE = f"""with {_SENT}, units as ({_UNITS}),
+bad as (select cname, step, slot from held left join units on unit = lower(regexp_extract(split_part(cname, ';', 1), '([A-Za-z]+)$', 1)) where v < coalesce(low, {ANY[0]!r}::double) or v > coalesce(high, {ANY[1]!r}::double))
+select distinct fetch_id, ts from sent join bad using (cname, step, slot)"""
+
+_P3_STUCK = f"""with {_SENT},
+marked as (select *, coalesce((v <> lag(v) over (partition by cname, step order by slot))::int, 1) as fresh from held),
+placed as (select *, sum(fresh) over (partition by cname, step order by slot rows unbounded preceding) as run from marked),
+runs as (select cname, step, run, any_value(v) as v, count(*) as len from placed group by all),
+series_of as (select cname, step, count(*) as runs, sum(len - 1) as repeats from runs group by all),
+again as (select cname, step, v, count(*) as times, sum(len) as held from runs where len >= 2 group by all),
+judged as (select r.*, s.runs, greatest((repeats - (len - 1) + 0.5) / (repeats - (len - 1) + s.runs + 1),
+    case when times >= {LEAST_RUN} then (held - 2 * times - (len - 2) + 0.5) / (held - times - (len - 1) + 1) else 0 end) as chance
+  from runs r join series_of s using (cname, step) join again using (cname, step, v) where len >= {LEAST_RUN} and len <= {HABIT} * (s.runs + repeats)),
+stuck as (select cname, step, run from judged where runs * pow(chance, len - 1) < {EXPECTED})
+select distinct fetch_id, ts from sent join (select cname, step, slot from placed join stuck using (cname, step, run)) using (cname, step, slot)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1_FOUND, "p1_rolling": _P1_ROLLING, "p2_found": _P2_FOUND, "p2_grid": _P2_GRID}
+    return {"p1_found": _P1_FOUND, "p1_rolling": _P1_ROLLING, "p2_found": _P2_FOUND, "p2_grid": _P2_GRID, "p3_stuck": _P3_STUCK, "p3_impossible": _P3_IMPOSSIBLE}

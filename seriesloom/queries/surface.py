@@ -47,7 +47,7 @@ def orders_share(spark: SparkSession, d: str) -> DataFrame:
 STORED = {
     "source_responses": "groupByNodes(*.*.*.*.*,'max',1,3,4)",
     "mixed_sum": "sum(*.*.*.cpu.user_pct)",
-    "mixed_groupByNode": "groupByNode(*.*.*.*.*,4,'average')",
+    "mixed_groupByNode": "groupByNode(*.*.*.*.*,4,'sum')",
     "mixed_divideSeries": "divideSeries(*.*.*.cpu.user_pct,max(*.*.*.queue.depth))",
     "mixed_asPercent": "asPercent(*.*.*.requests.count)",
     "mixed_lists": "aggregateSeriesLists(limit(*.*.*.cpu.user_pct,3),limit(*.*.*.disk.used_pct,3),'max')",
@@ -201,7 +201,7 @@ def _stored_sql() -> dict[str, str]:
     return {
         "source_responses": f"{head}{every}, g as (select {key} as name, ts, max(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
         "mixed_sum": f"{head}{cpu}, g as (select 'sumSeries(*.*.*.cpu.user_pct)' as name, ts, sum(v) as v from a group by ts) select name, ts, {shown('v')} from g",
-        "mixed_groupByNode": f"{head}{every}, g as (select {node(5)} as name, ts, avg(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
+        "mixed_groupByNode": f"{head}{every}, g as (select {node(5)} as name, ts, sum(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
         "mixed_divideSeries": f"""{head}{cpu}, {_series('b', '*.*.*.queue.depth')}, q as (select ts, max(v) as d, any_value(step) as step from b group by ts), l as (select lcm((select any_value(step) from a), (select any_value(step) from q)) as l),
 x as (select name, ts - ts % l as ts, avg(v) as v from a, l group by 1, 2), y as (select ts - ts % l as ts, avg(d) as d from q, l group by 1), z as (select 'divideSeries(' || name || ',max(*.*.*.queue.depth))' as name, ts, case when d <> 0 then v / d end as v from x left join y using (ts))
 select name, ts, {shown('v')} from z""",

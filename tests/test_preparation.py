@@ -22,7 +22,8 @@ def responses(spark, rows):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("a.b", "a.b"), (" a.b\t", "a.b"), (".a..b.", "a.b"), ("a.b;y=2;x=1", "a.b;x=1;y=2"), ("a.b.;x=1; y=2 ;", "a.b;x=1;y=2"), ("a.b;x-a=1;x=2", "a.b;x=2;x-a=1"), ("", ""), (None, None), ("A.b", "A.b"), ("a;x=1;x=1", "a;x=1")],
+    [("a.b", "a.b"), (" a.b\t", "a.b"), (".a..b.", "a.b"), ("a.b;y=2;x=1", "a.b;x=1;y=2"), ("a.b.;x=1; y=2 ;", "a.b;x=1;y=2"), ("a.b;x-a=1;x=2", "a.b;x=2;x-a=1"), ("", ""), (None, None), ("A.b", "A.b"), ("a;x=1;x=1", "a;x=1"),
+     ("a;x1=1;x=1", "a;x=1;x1=1"), ("a;x=1;x1=1", "a;x=1;x1=1"), ("a;x=b=c;x=b", "a;x=b;x=b=c"), ("a;b;a", "a;a;b"), ("a.b;v=1..2", "a.b;v=1..2"), (";x=1", ";x=1"), ("a;", "a"), ("a. b", "a.b"), ("\na.b;k=1\r", "a.b;k=1")],
 )
 def test_one_spelling(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "n string").select(canonical_name("n")).first()[0] == want
@@ -220,15 +221,73 @@ def test_every_delivery_is_flagged(spark):
 
 def test_chunks_do_not_change_what_is_found(spark):
     rng = np.random.default_rng(8)
-    x = day_course(48 * 60, 48, rng)
-    for k in (10, 999, 1000, 1001, 1500, 2400):
-        x[k] += 40
-    x[1990:2015] = x[1990]
-    vals, start = x.tolist(), 1_710_028_800
-    df = responses(spark, [("s.cpu.user_pct", start, start + len(vals) * 1800, 1800, vals)])
+    start, rows = 1_710_028_800, []
+    for k, name in enumerate(("s.cpu.user_pct", "s.net.rx_bytes", "s.queue.depth")):
+        n = 48 * 60
+        x = (day_course(n, 48, rng), np.exp(rng.normal(0, 0.5, n)) * 1e6, rng.poisson(1.0, n).astype(float))[k]
+        x[30::48] += x.std() * 8  # the same time every day
+        for at in (10, 999, 1000, 1001, 1500, 2400):
+            x[at] = x[at] * 3 + 60
+        x[1990:2015] = x[1990]
+        x[600:700] = np.nan
+        x[1700] = -1
+        rows.append((name, start, start + n * 1800, 1800, [None if v != v else float(v) for v in x]))
+    rows.append(("one", start, start + 1800, 1800, [1.0]))
+    df = responses(spark, rows)
     whole = {tuple(r) for r in implausible.implausible_slots(df).collect()}
     cut = {tuple(r) for r in implausible.implausible_slots(df, chunk_slots=1000, halo_slots=200).collect()}
-    assert whole == cut and len(whole) == 6 + 25
+    assert whole == cut and len(whole) >= 3 * (6 + 25 + 1) - 3
+
+
+def test_the_wavelets_decide(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = day_course(48 * 30, 48, rng)
+    x[500:502] += 30
+    x[1000:1020] = x[1000]
+    x[1200] = -5
+    assert {r for v in flagged_here(x).values() for r in v} == {"spike", "stuck", "impossible"}
+    with monkeypatch.context() as m:  # without detail there is no spike
+        m.setattr(implausible, "median_filter", lambda y, w: y)
+        assert {r for v in flagged_here(x).values() for r in v} == {"stuck", "impossible"}
+    with monkeypatch.context() as m:  # where all is detail nothing is stuck
+        m.setattr(implausible, "haar_details", lambda y: np.ones(len(y) - 1))
+        assert {r for v in flagged_here(x).values() for r in v} == {"spike", "impossible"}
+
+
+def flagged_here(x, step=1800):
+    """judge() without Spark: reasons by place."""
+    seen = np.flatnonzero(~np.isnan(x))
+    out = {}
+    for reason, slots in implausible.judge(implausible.Chunk(seen, x[seen], np.ones(len(seen), bool), step, 0.0, 100.0)).items():
+        for s in slots:
+            out.setdefault(int(s), set()).add(reason)
+    return out
+
+
+def test_median_filter_and_classes():
+    rng = np.random.default_rng(3)
+    for w in implausible.WIDTHS:
+        for n in (1, 2, 3, 6, 50):
+            y = rng.integers(0, 9, n).astype(float)
+            rows = np.lib.stride_tricks.sliding_window_view(np.pad(y, w // 2, mode="symmetric"), w)
+            assert (implausible.median_filter(y, w) == np.median(rows, axis=1)).all()
+    x = np.concatenate([rng.normal(0, 1, 200) * 10.0 ** rng.integers(-12, 18, 200), [0.0]])
+    c = implausible.classes(x)
+    inner = x != 0
+    assert (np.abs(implausible.size_of(c)[inner] / x[inner] - 1) < 0.023).all() and implausible.size_of(c)[-1] == 0
+    assert (np.diff(implausible.classes(np.sort(np.abs(x)))) >= 0).all()
+    keys, n = np.unique(c, return_counts=True)
+    for q in (0.1, 0.5, 0.9, 1.0):
+        assert implausible.quantile(keys, n, q) == implausible.quantile(c, None, q)
+
+
+def test_a_twentieth_of_spikes_does_not_hide_them():
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, 1, 2000)
+    at = np.arange(10, 2000, 20)
+    x[at] += rng.choice([-30, 30], len(at))
+    got = {k for k, v in flagged_here(x, step=7000).items() if "spike" in v}  # a step that divides no day
+    assert got == set(at.tolist())
 
 
 def test_implausible_awkward_rows(spark):
