@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,23 +26,35 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, where what is written survives lost executors.
 
-    The folder is read from the session; one is made only where none is set and
-    all runs on one machine, as in tests. On a cluster that is an error: a folder
-    of the driver is no folder of the executors.
+    It is read from the session; one is made only where none is set and all runs
+    on one machine, as in tests. On a cluster that is an error: a folder of the
+    driver is no folder of the executors.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seriesloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder, of which later stages read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per Spark context.
 
