@@ -1,34 +1,37 @@
 """How demanding the running prose of each document is (problem 8).
 
-A document's own content is its sentences that are not found all over the corpus:
-menus, notices, footers and error messages are, prose is not. The measure of its
-vocabulary is the coverage rank: the size of the smallest frequency-ranked
-vocabulary that covers a fixed share of the document's words. It is taken in the
-corpus's own vocabulary (three shares) and in the vocabulary of each level of the
-reference passages (one share each). With sentence length, commas and word
-length these are calibrated on the passages: one Gaussian per language and level,
-whose scores are computed by built-in expressions.
+The measure of a document's vocabulary is the coverage rank: the size of the
+smallest frequency-ranked vocabulary, of the corpus's words in its language, that
+covers a fixed share of the document's words. It is taken for four shares. With
+the complexity of the sentences (their length, longest one and spread, commas,
+length of words and share of long ones) it is calibrated on the passages: one
+Gaussian per language and level, whose moments are aggregates in SQL, first of the
+passages and then of all documents by the level these give them. Scores are
+built-in expressions.
+
+A document's own content is its sentences that are not found all over a site. A
+sentence is around the content, not of it, if on some site it stands on
+`common_share` of all distinct pages with prose of their own (`common_least` at
+least). A page is known by its longest sentence that is not frequent on its site,
+so the copies of a page count once, whole or slightly changed, however many.
 
 The plan, in stages:
 
-1. One pass over the texts counts, per language, words and sentences (as 64-bit
-   hashes; counts are added up per batch before the exchange). No row holds text.
-2. Sentences in at least `common_share` of all documents may be common; there can
-   be no more of them than sentences per document / share, a few thousand,
-   whatever the corpus. A second pass gives each document's outline of them, and
-   those that are in as many distinct pages, mirrored copies counted once, are
-   common. Ranks come from the counts of counts. The `head` most frequent words
-   per language go to the workers, a bounded table.
-3. A third pass gives each document its features. Where the head does not cover
-   a share, the document's words meet the whole vocabulary in a join (an exact
-   way for the rest; few or no rows).
-4. Scores and level by expressions over the features.
+1. One pass over the texts makes a slim row per document: hashes, lengths and
+   commas of its sentences, hashes and lengths of their words. It is written as a
+   table to the shared folder; no later stage reads texts.
+2. Built-in aggregates over that table count sentences per site, pages per
+   sentence, and words per language; ranks come from the counts of counts.
+3. The `head` most frequent words per language, a bounded table, and the common
+   sentences go to the workers, which turn slim rows into features batch by batch.
+   Where the common sentences are more than `BROADCAST`, a join marks them; where
+   the head does not cover a share, the words meet the whole vocabulary in a join.
+4. Moments, scores and levels by expressions over the features.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,59 +39,69 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, ship
+from ..session import ship, written
 
 LEVELS = ("basic", "middle", "advanced")
-SHARES = (0.5, 0.8, 0.95)
-LEVEL_SHARE = 0.6
-#: Very frequent words that tell the languages apart (fixed values).
-FUNCTION_WORDS = {
-    "en": ("the", "and", "of", "in", "is", "a", "at", "to", "for", "by", "on", "with"),
-    "de": ("der", "die", "das", "und", "ist", "im", "am", "den", "des", "zur"),
-    "fr": ("le", "la", "les", "et", "est", "du", "des", "au", "dans", "une", "un", "sous"),
-    "es": ("el", "la", "los", "y", "es", "en", "del", "por", "una", "un", "con", "las"),
-}
-#: Letters of words in these languages; a word with any other character was wrongly decoded and is left out.
-_LETTERS = "a-zäöüßàâçéèêëîïôûùÿñæœáíóú"
-_WORD = re.compile(rf"[{_LETTERS}]+(?:-[{_LETTERS}]+)*\Z")
+SHARES = (0.6, 0.7, 0.8, 0.9)
+#: Words of so many letters are long.
+LONG_WORD = 10
+#: Rows that may be sent to every worker.
+BROADCAST = 2_000_000
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _ELISION = re.compile(r"(?<=\b[ldjnscm])['’]|(?<=\bqu)['’]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"»”’“)\]]*\s+")
 _ENDED = re.compile(r"[.!?][\"»”’“)\]\s]*\Z")
 _DIGITS = re.compile(r"\d+")
-UNKNOWN_RANK = 1000
 
 
 def hash64(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def raw_words(raw: str) -> list[str]:
+    """The words in a piece between blanks, in lower case: without marks at the ends, elisions apart."""
+    return _ELISION.sub("’ ", _EDGE.sub("", raw.lower())).replace("’ ", " ").split()
+
+
+class Languages:
+    """What the passages show of their languages: letters, and words.
+
+    A word with a letter of no passage was wrongly decoded, or is of another
+    script, and is left out. The language of a document is the one whose passages
+    know most of its words.
+    """
+
+    def __init__(self, passages: list[tuple[str, str]]):
+        known: dict[str, set[str]] = {}
+        for lang, text in passages:
+            known.setdefault(lang, set()).update(w for raw in text.split() for w in raw_words(raw))
+        self.names = sorted(known)
+        letters = sorted({c for ws in known.values() for w in ws for c in w if c.isalpha()} | set("abcdefghijklmnopqrstuvwxyz"))
+        self.pattern = f"[{''.join(letters)}]+(?:-[{''.join(letters)}]+)*\\Z"
+        self.known = {w: sum(1 << i for i, lang in enumerate(self.names) if w in known[lang]) for ws in known.values() for w in ws}
+
+
 class Words:
-    """The words of text, with a memory of raw spellings that is emptied when it is full."""
+    """Hash, length and languages of the words in raw pieces, with a memory that is emptied when it is full."""
 
-    def __init__(self, limit: int = 200_000):
-        self.seen: dict[str, tuple[str, ...]] = {}
-        self.limit = limit
+    def __init__(self, languages: Languages, limit: int = 200_000):
+        self.seen: dict[str, tuple[tuple[int, int, int], ...]] = {}
+        self.limit, self.known, self.word = limit, languages.known, re.compile(languages.pattern)
 
-    def of(self, raw: str) -> tuple[str, ...]:
+    def of(self, raw: str) -> tuple[tuple[int, int, int], ...]:
         hit = self.seen.get(raw)
         if hit is None:
-            parts = _ELISION.sub("’ ", _EDGE.sub("", raw.lower())).replace("’ ", " ").split()
-            hit = tuple(w for w in parts if _WORD.match(w))
-            if len(self.seen) > self.limit:
-                self.seen.clear()
-            self.seen[raw] = hit
+            hit = tuple((hash64(w), len(w), self.known.get(w, 0)) for w in raw_words(raw) if self.word.match(w))
+            if len(raw) < 100:
+                if len(self.seen) > self.limit:
+                    self.seen.clear()
+                self.seen[raw] = hit
         return hit
 
-    def split(self, sentence: str) -> list[str]:
-        out: list[str] = []
-        for raw in sentence.split():
-            out += self.of(raw)
-        return out
-
 
 def sentences(text: str | None) -> list[str]:
     """The candidates for prose: three words or more with an end mark, within one line."""
@@ -104,185 +117,239 @@ def mask(sentence: str) -> int:
     return hash64(_DIGITS.sub("0", sentence.strip()))
 
 
-def language(counts: Counter, least: float = 0.04) -> str | None:
-    """The language whose function words are most frequent; None if hardly any is there."""
-    total = sum(counts.values())
-    best = max((sum(counts[w] for w in ws), lang) for lang, ws in FUNCTION_WORDS.items())
-    return best[1] if total and best[0] >= least * total else None
+_SLIM = "lang string, sh array<long>, sw array<int>, sc array<int>, sk array<int>, wh array<long>, wl array<int>"
 
 
-def _coverage(ranks: np.ndarray, n: np.ndarray, shares: tuple[float, ...]) -> list[float]:
-    order = np.argsort(ranks, kind="stable")
-    r, c = ranks[order], np.cumsum(n[order])
-    return [float(r[min(len(r) - 1, int(np.searchsorted(c, math.ceil(q * c[-1]))))]) for q in shares]
-
-
-def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`kind, lang, h, n`: documents per masked sentence (kind s) and occurrences per word (kind w)."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+def slim_rows(rows: DataFrame, languages: Languages, least_known: float) -> DataFrame:
+    """The columns of `rows` but `text`, and: `lang`; per sentence `sh` hash, `sw` pieces, `sc` commas, `sk` words; per word `wh` hash, `wl` letters."""
+    keep = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, *(f.split()[0] for f in _SLIM.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(languages)
+        bits = range(len(languages.names))
         for batch in batches:
-            sents: Counter = Counter()
-            vocab: dict[str, Counter] = {}
-            for t in batch.column(0).to_pylist():
-                ss = sentences(t)
-                if not ss:
-                    continue
-                sents.update({mask(s) for s in ss})
-                own: Counter = Counter()
-                for s in ss:
-                    own.update(words.split(s))
-                lang = language(own)
-                if lang:
-                    vocab.setdefault(lang, Counter()).update(own)
-            flat = [("s", "", h, n) for h, n in sents.items()]
-            flat += [("w", lang, hash64(w), n) for lang, c in vocab.items() for w, n in c.items()]
-            cols = list(zip(*flat)) if flat else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                names=["kind", "lang", "h", "n"],
-            )
+            cols: list[list] = [[] for _ in range(7)]
+            for text in batch.column("text").to_pylist():
+                sh, sw, sc, sk, wh, wl = [], [], [], [], [], []
+                votes: Counter = Counter()
+                for s in sentences(text):
+                    before = len(wh)
+                    for raw in s.split():
+                        for h, size, known in words.of(raw):
+                            wh.append(h)
+                            wl.append(size)
+                            votes[known] += 1
+                    sh.append(mask(s))
+                    sw.append(s.count(" ") + 1)
+                    sc.append(s.count(","))
+                    sk.append(len(wh) - before)
+                best = max(((sum(n for k, n in votes.items() if k >> i & 1), -i) for i in bits), default=(0, 0))
+                lang = languages.names[-best[1]] if wh and best[0] >= least_known * len(wh) else None
+                for col, v in zip(cols, (lang, sh, sw, sc, sk, wh, wl)):
+                    col.append(v)
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), longs, ints, ints, ints, longs, ints)))], names=names)
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "kind string, lang string, h long, n long").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
-
+    return rows.mapInArrow(run, f"{kinds}, {_SLIM}")
 
-def outlines(docs: DataFrame, frequent: frozenset[int], text: str = "text", least_words: int = 20, own_share: float = 1 / 3) -> DataFrame:
-    """`own long, hs array<long>`: what is around the frequent sentences of each document that has any.
 
-    `hs` are its frequent sentences, longest first. `own` is its longest other
-    sentence if those hold `least_words` words and `own_share` of all; it is null
-    in copies, whose sentences are frequent but for slight changes, and in pages
-    of nothing but notices or errors. Alike rows are given once a batch.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def common_sentences(slim: DataFrame, share: float, least: int, least_words: int, own_share: float = 1 / 3) -> DataFrame:
+    """`h`: the sentences that on some site stand on `share` of the distinct pages with prose of their own.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for batch in batches:
-            seen: set[tuple] = set()
-            for t in batch.column(0).to_pylist():
-                size = {mask(s): s.count(" ") + 1 for s in sentences(t)}
-                hs = [h for h in size if h in frequent]
-                if hs:
-                    rare = [(n, h) for h, n in size.items() if h not in frequent]
-                    words = sum(n for n, _ in rare)
-                    whole = words >= max(least_words, own_share * sum(size.values()))
-                    seen.add((max(rare)[1] if whole else None, tuple(sorted(hs, key=lambda h: (-size[h], h)))))
-            cols = list(zip(*seen)) if seen else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], names=["own", "hs"])
-
-    ship(docs.sparkSession)
-    return docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "own long, hs array<long>")
-
-
-def common_sentences(outline: DataFrame, limit: int, rounds: int = 8) -> frozenset[int]:
-    """The sentences that are in at least `limit` distinct pages of outlines().
-
-    Pages are told apart by one sentence beside the one in question: `own`, or
-    where that is null the longest frequent one not yet known to be common. So
-    the copies of a page, also slightly changed or in other surroundings, count
-    as one or few. Rounds end when no more is found; each asks for few rows.
+    `slim` has `row, site, sh, sw`. A page has prose of its own if its sentences
+    that are not frequent on its site hold `least_words` pieces and `own_share`
+    of all: pages of nothing but notices, errors or copied sentences do not
+    count. It is known by the longest of these sentences.
     """
-    common: frozenset[int] = frozenset()
-    rest = checkpoint(outline.dropDuplicates(["own", "hs"]))
-    for _ in range(rounds):
-        known = F.split(F.lit(",".join(map(str, sorted(common)))), ",").cast("array<long>")  # one literal, however many
-        left = rest.select("own", F.array_except("hs", known).alias("hs")) if common else rest
-        pairs = left.select("own", F.slice("hs", 1, 2).alias("two"), F.explode("hs").alias("h"))
-        beside = F.coalesce("own", F.when(F.get("two", F.lit(0)) != F.col("h"), F.get("two", F.lit(0))).otherwise(F.get("two", F.lit(1))), F.lit(0))
-        pages = pairs.select("h", beside.alias("page")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        new = {r["h"] for r in pages.where(F.col("n") >= limit).select("h").collect()}
-        if not new:
-            break
-        common |= new
-    return common
-
-
-def word_ranks(counts: DataFrame) -> DataFrame:
-    """`lang, h, rank`: the size of the smallest frequency-ranked vocabulary that has the word; ties enter together."""
-    words = counts.where("kind = 'w'").select("lang", "h", "n")
+    each = slim.select("row", "site", F.explode(F.arrays_zip("sh", "sw")).alias("s")).groupBy("row", "site", F.col("s.sh").alias("h")).agg(F.max("s.sw").alias("words"))
+    limit = F.greatest(F.lit(float(least)), F.lit(share) * F.col("pages"))
+    size = slim.where(F.size("sh") > 0).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    frequent = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).join(size, "site").where(F.col("n") >= limit).select("site", "h", F.lit(True).alias("often"))
+    # a document's sentences lie together, so that one row a document goes to the exchange
+    rare = F.col("often").isNull()
+    outline = each.join(frequent, ["site", "h"], "left").groupBy("row", "site").agg(
+        F.max(F.when(rare, F.struct("words", "h"))).alias("own"), F.sum(F.when(rare, F.col("words")).otherwise(0)).alias("rare"), F.sum("words").alias("all"), F.collect_list(F.when(~rare, F.col("h"))).alias("hs")
+    )
+    whole = outline.where(F.col("rare") >= F.greatest(F.lit(float(least_words)), F.lit(own_share) * F.col("all"))).select("site", F.col("own.h").alias("page"), "hs")
+    pages = whole.groupBy("site").agg(F.count_distinct("page").alias("pages"))
+    stands = whole.select("site", "page", F.explode("hs").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    return stands.where(F.col("n") >= least).join(pages, "site").where(F.col("n") >= limit).select("h").distinct()
+
+
+def word_ranks(words: DataFrame) -> DataFrame:
+    """`lang, h, rank` of rows (lang, h, n): the size of the smallest frequency-ranked vocabulary that has the word; ties enter together."""
     w = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     by_count = words.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k")).select("lang", "n", F.sum("k").over(w).alias("rank"))
     return words.join(by_count, ["lang", "n"]).select("lang", "h", "rank")
 
 
-class Calibration:
-    """Level vocabularies and one Gaussian per language and level, from labelled passages."""
-
-    def __init__(self, passages: list[tuple[str, str, str]], common: frozenset[int], head: dict[str, tuple[np.ndarray, np.ndarray]], sizes: dict[str, int], shrink: float = 0.5):
-        self.common, self.head, self.sizes = common, head, sizes
-        words = Words()
-        kept = []
-        for lang, level, text in passages:
-            ss = [s for s in sentences(text) if mask(s) not in common]
-            ws = [words.split(s) for s in ss]
-            flat = Counter(w for x in ws for w in x)
-            if lang in FUNCTION_WORDS and level in LEVELS and flat:
-                kept.append((lang, LEVELS.index(level), ss, flat))
-        self.vocab = {}
-        for lang in FUNCTION_WORDS:
-            self.vocab[lang] = [sum((f for la, k, _, f in kept if la == lang and k == j), Counter()) for j in range(len(LEVELS))]
-        self.ranks = {lang: [self._ranked(c) for c in v] for lang, v in self.vocab.items()}
-        self.params: dict[str, list] = {}
-        x, y, of = [], [], []
-        for lang, k, ss, flat in kept:
-            # a passage is measured by vocabularies without itself
-            ranks = [self._ranked(c - flat) if j == k else self.ranks[lang][j] for j, c in enumerate(self.vocab[lang])]
-            x.append(self.features(lang, ss, flat, ranks)[0])
-            y.append(k)
-            of.append(lang)
-        x, y, of = np.array(x), np.array(y), np.array(of)
-        for lang in FUNCTION_WORDS:
-            rows = []
-            for k in range(len(LEVELS)):
-                m = (of == lang) & (y == k) if len(of) else np.zeros(0, bool)
-                if m.sum() < 3:
-                    continue
-                mu = x[m].mean(axis=0)
-                c = np.cov(x[m].T) * (1 - shrink) + shrink * 0.05 * np.eye(x.shape[1])
-                low = np.linalg.cholesky(np.linalg.inv(c))
-                rows.append((LEVELS[k], mu.tolist(), low.T.tolist(), float(-0.5 * np.linalg.slogdet(c)[1])))
-            if rows:
-                self.params[lang] = rows
-
-    @staticmethod
-    def _ranked(c: Counter) -> dict[str, int]:
-        return {w: i + 1 for i, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0])))}
-
-    def lookup(self, lang: str, hashes: np.ndarray) -> np.ndarray:
-        """Ranks of hashed words; one more than the vocabulary's size where the head lacks them."""
-        h, r = self.head.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        out = np.full(len(hashes), self.sizes.get(lang, 0) + 1, np.int64)
-        if len(h):
-            at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-            hit = h[at] == hashes
-            out[hit] = r[at[hit]]
+class Head:
+    """The most frequent words of each language with their ranks, and how many words there are."""
+
+    def __init__(self, top: pd.DataFrame, sizes: dict[str, int]):
+        self.sizes, self.of = sizes, {}
+        for lang, g in top.sort_values("h").groupby("lang"):
+            self.of[lang] = (g["h"].to_numpy(np.int64), g["rank"].to_numpy(np.int64))
+
+    def ranks(self, lang: str, h: np.ndarray) -> np.ndarray:
+        """One more than the vocabulary's size for words the head lacks."""
+        out = np.full(len(h), self.sizes.get(lang, 0) + 1, np.int64)
+        keys, ranks = self.of.get(lang, (np.zeros(0, np.int64),) * 2)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            out[hit] = ranks[at[hit]]
         return out
 
-    def features(self, lang: str, ss: list[str], flat: Counter, level_ranks: list[dict[str, int]]) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
-        hashes = np.array([hash64(w) for w in flat], np.int64)
-        n = np.array(list(flat.values()), np.int64)
-        ranks = self.lookup(lang, hashes)
-        cover = _coverage(ranks, n, SHARES)
-        beyond = cover[-1] > self.sizes.get(lang, 0)
-        per_level = [_coverage(np.array([r.get(w, UNKNOWN_RANK) for w in flat]), n, (LEVEL_SHARE,))[0] for r in level_ranks]
-        lengths = [s.count(" ") + 1 for s in ss]
-        letters = sum(len(w) * k for w, k in flat.items()) / n.sum()
-        style = [math.log(sum(lengths) / len(lengths)), sum(s.count(",") for s in ss) / len(ss), letters]
-        return [*(math.log(max(1.0, c)) for c in cover), *style, *(math.log(c) for c in per_level)], hashes, n, beyond
-
-
-def _scores(df: DataFrame, params: dict[str, list]) -> DataFrame:
-    """Adds `level`: the best Gaussian of the document's language over the array `x`; null where that is."""
+
+def coverage_ranks(doc: np.ndarray, rank: np.ndarray, n_docs: int, shares: tuple[float, ...] = SHARES) -> np.ndarray:
+    """For each document the least rank such that a share of its words is not beyond it; NaN without words."""
+    n = np.bincount(doc, minlength=n_docs)
+    start = np.cumsum(n) - n
+    ordered = np.append(rank[np.lexsort((rank, doc))], 0).astype(float)
+    at = [np.where(n > 0, start + np.ceil(q * n).astype(np.int64) - 1, len(ordered) - 1) for q in shares]
+    return np.where(n > 0, ordered[np.array(at)], np.nan).T
+
+
+def features(lang: list[str | None], cols: dict[str, tuple[np.ndarray, np.ndarray]], kept: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per document the features, the number of words, words per sentence; per word of kept sentences its document and its place.
+
+    `cols` has values and offsets of the arrays of slim rows; `kept` says which
+    sentences are own content.
+    """
+    (sw, so), sc, sk = cols["sw"], cols["sc"][0], cols["sk"][0]
+    (wh, _), wl = cols["wh"], cols["wl"][0]
+    n_docs = len(so) - 1
+    doc_of = np.repeat(np.arange(n_docs), np.diff(so))
+    at = np.flatnonzero(np.repeat(kept, sk))
+    doc = np.repeat(doc_of, sk)[at]
+    rank = np.zeros(len(at), np.int64)
+    langs = np.array([x or "" for x in lang], object)[doc]
+    for name in set(lang) - {None}:
+        mine = langs == name
+        rank[mine] = head.ranks(name, wh[at[mine]])
+    cover = coverage_ranks(doc, rank, n_docs)
+    total = np.bincount(doc, minlength=n_docs)
+    s_doc, size, commas = doc_of[kept], sw[kept].astype(float), sc[kept]
+    k = np.bincount(s_doc, minlength=n_docs)
+    with np.errstate(all="ignore"):
+        mean = np.bincount(s_doc, size, n_docs) / k
+        longest = np.zeros(n_docs)
+        np.maximum.at(longest, s_doc, size)
+        logs = np.log(size)
+        spread = np.sqrt(np.maximum(np.bincount(s_doc, logs**2, n_docs) / k - (np.bincount(s_doc, logs, n_docs) / k) ** 2, 0))
+        style = (np.log(mean), np.log1p(np.bincount(s_doc, commas, n_docs) / k), np.bincount(doc, wl[at], n_docs) / total, spread, np.log(longest), np.bincount(doc, wl[at] >= LONG_WORD, n_docs) / total)
+        x = np.column_stack([np.log(np.maximum(cover, 1)), *style])
+    return x, total, mean, doc, at
+
+
+def featured(slim: DataFrame, common: DataFrame, head: Head, least_words: int, exact: bool) -> DataFrame:
+    """The slim rows with `n_words, words_per_sentence, x` (the features) and, where `exact` and the head does not cover a share, `hs, ns` (its words)."""
+    spark = slim.sparkSession
+    keep = [c for c in slim.columns if c not in ("sh", "sw", "sc", "sk", "wh", "wl")]
+    few = common.limit(BROADCAST + 1).count() <= BROADCAST
+    if few:
+        told = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in common.toLocalIterator()], np.int64)))
+    else:
+        told = None
+        found = slim.select("row", F.explode(F.array_distinct("sh")).alias("h")).join(common, "h").groupBy("row").agg(F.collect_list("h").alias("hits"))
+        slim = slim.join(found, "row", "left")
+    shared = spark.sparkContext.broadcast(head)
+    kinds = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, "n_words", "words_per_sentence", "x", "hs", "ns"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value
+        for batch in batches:
+            cols = {}
+            for c in ("sh", "sw", "sc", "sk", "wh", "wl"):
+                a = batch.column(c)
+                cols[c] = a.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False)))
+            sh, so = cols["sh"]
+            if told is not None:
+                kept = ~np.isin(sh, told.value)
+            else:
+                hits = [set(h or ()) for h in batch.column("hits").to_pylist()]
+                kept = np.array([h not in hits[d] for d, h in zip(np.repeat(np.arange(len(so) - 1), np.diff(so)), sh.tolist())], bool)
+            lang = batch.column("lang").to_pylist()
+            x, total, mean, doc, at = features(lang, cols, kept, head)
+            ok = (total >= least_words) & np.array([v is not None for v in lang], bool)
+            beyond = ok & exact & np.array([v is not None and np.expm1(r) >= head.sizes.get(v, 0) - 0.5 for v, r in zip(lang, x[:, len(SHARES) - 1])], bool)
+            hs, ns = [None] * len(lang), [None] * len(lang)
+            for d in np.flatnonzero(beyond):
+                h, n = np.unique(cols["wh"][0][at[doc == d]], return_counts=True)
+                hs[d], ns[d] = h.tolist(), n.tolist()
+            made = [pa.array(total, pa.int64()), pa.array(np.where(ok, mean, np.nan), pa.float64(), from_pandas=True), pa.array([row if k else None for row, k in zip(x.tolist(), ok)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made, pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64()))], names=names)
+
+    ship(spark)
+    return slim.mapInArrow(run, f"{kinds}, n_words long, words_per_sentence double, x array<double>, hs array<long>, ns array<long>")
+
+
+def _beyond_head(prof: DataFrame, ranks: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Puts the exact coverage ranks into `x` where the head of the vocabulary did not reach."""
+    words = prof.where(F.col("hs").isNotNull()).select("row", "lang", F.explode(F.arrays_zip("hs", "ns")).alias("w")).select("row", "lang", F.col("w.hs").alias("h"), F.col("w.ns").alias("n"))
+    size = F.lit(0)
+    for lang, n in sizes.items():
+        size = F.when(F.col("lang") == lang, n).otherwise(size)
+    met = words.join(ranks, ["lang", "h"], "left").withColumn("rank", F.coalesce("rank", size + 1))
+    w = Window.partitionBy("row").orderBy("rank", "h").rowsBetween(Window.unboundedPreceding, 0)
+    run = met.select("row", "rank", F.sum("n").over(w).alias("c"), F.sum("n").over(Window.partitionBy("row")).alias("t"))
+    exact = run.groupBy("row").agg(*(F.min(F.when(F.col("c") >= F.ceil(F.lit(q) * F.col("t")), F.col("rank"))).alias(f"r{i}") for i, q in enumerate(SHARES)))
+    joined = prof.join(exact, "row", "left")
+    fixed = F.concat(F.array(*(F.ln(F.col(f"r{i}").cast("double")) for i in range(len(SHARES)))), F.slice("x", F.lit(len(SHARES) + 1), F.size("x") - len(SHARES)))
+    return joined.withColumn("x", F.when(F.col("r0").isNotNull(), fixed).otherwise(F.col("x"))).drop(*(f"r{i}" for i in range(len(SHARES))))
+
+
+DIMENSIONS = len(SHARES) + 6
+
+
+def moments(rows: DataFrame) -> dict[tuple[str, str], tuple[int, np.ndarray, np.ndarray]]:
+    """Number, means and covariances of the features per language and level: as many rows as there are levels in all languages."""
+    x = [F.col("x")[i] for i in range(DIMENSIONS)]
+    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+    got = rows.where(F.col("x").isNotNull() & F.col("level").isin(*LEVELS) & F.col("lang").isNotNull()).groupBy("lang", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.avg(v) for v in x)).alias("mean"), F.array(*(F.covar_pop(x[i], x[j]) for i, j in pairs)).alias("cov")
+    )
+    out = {}
+    for r in got.collect():
+        c = np.zeros((DIMENSIONS, DIMENSIONS))
+        for (i, j), v in zip(pairs, r["cov"]):
+            c[i, j] = c[j, i] = v
+        out[r["lang"], r["level"]] = (r["n"], np.array(r["mean"]), c)
+    return out
+
+
+def gaussians(fit: dict, more: dict | None = None, shrink: float = 0.2, floor: float = 0.05, least: int = 3) -> dict[str, list]:
+    """Per language (name, means, factor, constant) of each level: of labelled passages, or of passages and documents together.
+
+    Covariances of passages are drawn towards a fixed small one; documents count
+    by their number, passages by theirs.
+    """
+    out: dict[str, list] = {}
+    for (lang, level), (n, mu, c) in sorted(fit.items()):
+        if n < least:
+            continue
+        c = c * n / max(n - 1, 1) * (1 - shrink) + shrink * floor * np.eye(len(mu))
+        if more and (lang, level) in more:
+            k, mean, cov = more[lang, level]
+            c = (n * c + k * (cov + 1e-3 * np.eye(len(mu)))) / (n + k)
+            mu = (n * mu + k * mean) / (n + k)
+        low = np.linalg.cholesky(np.linalg.inv(c))
+        out.setdefault(lang, []).append((level, mu.tolist(), low.T.tolist(), float(-0.5 * np.linalg.slogdet(c)[1])))
+    return out
+
+
+def scored(df: DataFrame, params: dict[str, list]) -> DataFrame:
+    """Sets `level`: the best Gaussian of the document's language over the array `x`; null where that is."""
     spark = df.sparkSession
-    flat = [(lang, [(name, mu, rows, const) for name, mu, rows, const in ps]) for lang, ps in params.items()]
     kinds = "lang string, g array<struct<name:string,mu:array<double>,u:array<array<double>>,c:double>>"
-    table = F.broadcast(spark.createDataFrame(flat, kinds))  # one row per language
+    table = F.broadcast(spark.createDataFrame(list(params.items()), kinds))  # one row per language
 
-    def score(g):
+    def score(g: Column) -> Column:
         d = F.zip_with(F.col("x"), g["mu"], lambda a, b: a - b)
         sq = F.transform(g["u"], lambda row: F.pow(F.aggregate(F.zip_with(row, d, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), F.lit(2.0)))
         return F.struct((g["c"] - F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / 2).alias("s"), g["name"].alias("name"))
@@ -291,99 +358,69 @@ def _scores(df: DataFrame, params: dict[str, list]) -> DataFrame:
     return df.join(table, "lang", "left").withColumn("level", F.when(F.col("x").isNotNull(), best["name"])).drop("g")
 
 
+def site_of(docs: DataFrame) -> Column:
+    """The host of `url` where the table has that column, else `source`, else one site for all."""
+    if "url" in docs.columns:
+        return F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
+    return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
 def reading_levels(
     docs: DataFrame,
     passages: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    common_share: float = 0.0008,
+    common_share: float = 0.004,
     common_least: int = 5,
     least_words: int = 20,
+    least_known: float = 0.2,
     head: int = 200_000,
     fit_rows: int = 5_000,
 ) -> DataFrame:
-    """`key, lang string, n_words long, rank_50, rank_80, rank_95 double, words_per_sentence double, level string`.
+    """`key, lang string, n_words long, rank_60, rank_70, rank_80, rank_90, words_per_sentence double, level, reason string`.
 
     One row per document. `lang` is read from the text, not from the column of
-    that name. The level is null, as are the ranks, where the own content has
-    fewer than `least_words` words of prose: error pages, listings, code and
-    character samples, null, empty and blank texts. A sentence is common, and no
-    own content, if it is in as many distinct pages as are `common_share` of all
-    documents, and in at least `common_least`; the copies of a page count once,
-    however many there are. The calibration takes the first `fit_rows` passages by id;
-    languages without three passages of a level have no such level. Repeated
-    keys are documents of their own; other columns are not read.
+    that name: the language whose passages know most of its words, and a share of
+    `least_known` at least. The level is null, as are the ranks, where there is
+    no measure, and `reason` says why: `short` for less than `least_words` words
+    of own prose (error pages, listings, code and character samples, null, empty
+    and blank texts), `language` for a language without passages, `passages` for
+    one without three passages of any level. Of the passages the first `fit_rows`
+    by id are used, rows with nulls are not. Repeated keys are documents of their
+    own; other columns are not read.
     """
-    counts = checkpoint(corpus_counts(docs, text))
-    n_docs = docs.count()
-    limit = max(common_least, math.ceil(common_share * n_docs))
-    # at most sentences per document / common_share rows
-    frequent = frozenset(r["h"] for r in counts.where(F.col("kind") == "s").where(F.col("n") >= limit).select("h").collect())
-    common = common_sentences(outlines(docs, frequent, text, least_words), limit) if frequent else frequent
-    ranks = word_ranks(counts)
-    sizes = {r["lang"]: int(r["k"]) for r in counts.where("kind = 'w'").groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
-    # at most `head` rows per language, as ties count with their highest rank
-    top = ranks.where(F.col("rank") <= head).toPandas()
-    heads = {}
-    for lang, g in top.groupby("lang"):
-        g = g.sort_values("h")
-        heads[lang] = (g["h"].to_numpy(np.int64), g["rank"].to_numpy(np.int64))
     fit = [(r["lang"], r["level"], r["text"]) for r in passages.orderBy("passage_id").limit(fit_rows).select("lang", "level", "text").collect()]
-    cal = Calibration(fit, common, heads, sizes)
-    shared = docs.sparkSession.sparkContext.broadcast(cal)
-
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    kind = rows.schema["__key"].dataType.simpleString()
-    schema = f"`{key}` {kind}, lang string, n_words long, words_per_sentence double, x array<double>, hs array<long>, ns array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cal = shared.value
-        words = Words()
-        for batch in batches:
-            out: list[tuple] = []
-            for t in batch.column(1).to_pylist():
-                ss = [s for s in sentences(t) if mask(s) not in cal.common]
-                flat: Counter = Counter()
-                for s in ss:
-                    flat.update(words.split(s))
-                n = sum(flat.values())
-                lang = language(flat) if flat else None
-                if n < least_words or lang is None:
-                    out.append((lang, n, None, None, None, None))
-                    continue
-                x, hashes, k, beyond = cal.features(lang, ss, flat, cal.ranks[lang])
-                out.append((lang, n, math.exp(x[len(SHARES)]), x, hashes.tolist() if beyond else None, k.tolist() if beyond else None))
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                names=[key, "lang", "n_words", "words_per_sentence", "x", "hs", "ns"],
-            )
-
-    ship(rows.sparkSession)
-    prof = rows.mapInArrow(run, schema)
-    if any(size > head for size in sizes.values()):
-        prof = _beyond_head(checkpoint(prof.withColumn("__row", F.monotonically_increasing_id())), ranks)
-    named = _scores(prof, cal.params)
+    fit = [r for r in fit if r[0] and r[1] in LEVELS and r[2]]
+    languages = Languages([(lang, t) for lang, _, t in fit])
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    labelled = spark.createDataFrame([(None, None, level, t) for _, level, t in fit], f"key {kind}, site string, level string, text string")
+    rows = docs.select(F.col(key).alias("key"), site_of(docs).alias("site"), F.lit(None).cast("string").alias("level"), F.col(text).cast("string").alias("text"))
+    slim = written(slim_rows(rows.unionByName(labelled), languages, least_known).withColumn("row", F.monotonically_increasing_id()))
+    own = slim.where("site is not null")
+    common = written(common_sentences(own.select("row", "site", "sh", "sw"), common_share, common_least, least_words))
+    words = own.where("lang is not null").select("lang", F.explode("wh").alias("h")).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    ranks = written(word_ranks(words))
+    sizes = {r["lang"]: int(r["k"]) for r in ranks.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
+    exact = any(n > head for n in sizes.values())
+    # at most `head` rows per language, as ties count with their highest rank
+    top = Head(ranks.where(F.col("rank") <= head).toPandas(), sizes)
+    prof = featured(slim, common, top, least_words, exact)
+    prof = written(_beyond_head(written(prof), ranks, sizes) if exact else prof)
+    first = moments(prof.where("site is null"))
+    mine = prof.where("site is not null")
+    params = gaussians(first)
+    params = gaussians(first, moments(scored(mine, params))) if params else params
+    named = scored(mine, params)
+    short = F.col("n_words") < least_words
+    reason = F.when(F.col("level").isNull(), F.when(short, "short").when(F.col("lang").isNull(), "language").otherwise("passages"))
     return named.select(
-        key, "lang", "n_words",
+        F.col("key").alias(key), "lang", "n_words",
         *(F.exp(F.col("x")[i]).alias(f"rank_{round(100 * q)}") for i, q in enumerate(SHARES)),
-        "words_per_sentence", "level",
+        "words_per_sentence", "level", reason.alias("reason"),
     )
 
 
-def _beyond_head(prof: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Puts the exact coverage ranks into `x` where the head of the vocabulary did not reach."""
-    words = prof.where(F.col("hs").isNotNull()).select("__row", "lang", F.explode(F.arrays_zip("hs", "ns")).alias("w")).select("__row", "lang", F.col("w.hs").alias("h"), F.col("w.ns").alias("n"))
-    met = words.join(ranks, ["lang", "h"])
-    w = Window.partitionBy("__row").orderBy("rank", "h").rowsBetween(Window.unboundedPreceding, 0)
-    run = met.select("__row", "rank", F.sum("n").over(w).alias("c"), F.sum("n").over(Window.partitionBy("__row")).alias("t"))
-    exact = run.groupBy("__row").agg(*(F.min(F.when(F.col("c") >= F.ceil(F.lit(q) * F.col("t")), F.col("rank"))).alias(f"r{i}") for i, q in enumerate(SHARES)))
-    joined = prof.join(exact, "__row", "left")
-    fixed = F.concat(F.array(*(F.ln(F.col(f"r{i}").cast("double")) for i in range(len(SHARES)))), F.slice("x", len(SHARES) + 1, 100))
-    return joined.withColumn("x", F.when(F.col("r0").isNotNull(), fixed).otherwise(F.col("x"))).drop("__row", "r0", "r1", "r2")
-
-
 def level_found(levels: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key, level` of the documents whose own content is prose."""
     return levels.where(F.col("level").isNotNull()).select(key, "level")

@@ -297,8 +297,10 @@ def test_levels_of_a_small_corpus(spark):
     got = {r["doc_id"]: r["level"] for r in reading_level.level_found(levels).collect()}
     assert set(got) == set(want)
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+    why = {r["doc_id"]: r["reason"] for r in levels.collect()}
+    assert all(why[k] is None for k in want) and {why[k] for k in why if k not in want} == {"short"}
     # ranks that the head of the vocabulary does not reach are found exactly
-    cols = ["doc_id", "lang", "n_words", "rank_50", "rank_80", "rank_95"]
+    cols = ["doc_id", "lang", "n_words", "rank_60", "rank_70", "rank_80", "rank_90", "level"]
     whole = {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in levels.select(cols).collect()}
     short = {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in reading_level.reading_levels(df, *args, head=10).select(cols).collect()}
     assert whole == short
@@ -321,18 +323,67 @@ def test_a_page_mirrored_over_a_third_of_the_rows_keeps_its_level(spark):
     assert all(got[k] == "advanced" for k in want if k >= 1000)
 
 
+def test_common_sentences_are_marked_by_a_join_too(spark, monkeypatch):
+    docs, _ = corpus()
+    passages = spark.createDataFrame([(3 * i + k, "en", lv, prose(lv, 50 + i, 4)) for i in range(12) for k, lv in enumerate(reading_level.LEVELS)], PASSAGES)
+    df = spark.createDataFrame(docs, DOCS)
+    cols = ["doc_id", "n_words", "level", "reason"]
+    told = {tuple(r) for r in reading_level.reading_levels(df, passages).select(cols).collect()}
+    monkeypatch.setattr(reading_level, "BROADCAST", 0)
+    assert {tuple(r) for r in reading_level.reading_levels(df, passages).select(cols).collect()} == told
+
+
+def test_what_is_around_the_content_hangs_on_the_site_not_on_the_corpus(spark):
+    docs, want = corpus()
+    passages = spark.createDataFrame([(3 * i + k, "en", lv, prose(lv, 50 + i, 4)) for i in range(12) for k, lv in enumerate(reading_level.LEVELS)], PASSAGES)
+    urls = [(i, f"https://small.example/{i}", t) for i, _, t in docs]
+    more = urls + [(10_000 + i, f"http://Other{i % 50}.example:80/x", f"{prose('middle', 1000 + i)} So said visitor {suffix(i, 9)} of the town.") for i in range(1500)]
+    schema = "doc_id long, url string, text string"
+    few, many = ({r["doc_id"]: (r["n_words"], r["reason"]) for r in reading_level.reading_levels(spark.createDataFrame(x, schema), passages).collect()} for x in (urls, more))
+    assert all(many[k] == v for k, v in few.items())
+
+
+def test_the_coverage_rank_decides(spark, monkeypatch):
+    # two levels whose sentences are alike, and only the frequency of the words differs
+    rng = random.Random(6)
+    usual, rare = [suffix(i, 1) for i in range(30)], [suffix(i, 2) for i in range(3000)]
+
+    def text(level, n=5):
+        pick = lambda: rng.choice(usual) if level == "basic" or rng.random() < 0.3 else rng.choice(rare)
+        return " ".join(f"The {pick()} sees {pick()} and {pick()} near the {pick()} of {pick()} {pick()}." for _ in range(n))
+
+    levels = ("basic", "advanced")
+    docs = spark.createDataFrame([(i, "s", text(levels[i % 2])) for i in range(400)], DOCS)
+    passages = spark.createDataFrame([(i, "en", levels[i % 2], text(levels[i % 2])) for i in range(40)], PASSAGES)
+    right = lambda: sum(r["level"] == levels[r["doc_id"] % 2] for r in reading_level.reading_levels(docs, passages).collect())
+    assert right() >= 392
+    monkeypatch.setattr(reading_level, "word_ranks", lambda words: words.select("lang", "h", F.lit(1).cast("long").alias("rank")))
+    assert right() < 300
+
+
+def test_a_language_without_passages_has_a_reason(spark):
+    docs, want = corpus()
+    passages = [(3 * i + k, "en", lv, prose(lv, 50 + i, 4)) for i in range(12) for k, lv in enumerate(reading_level.LEVELS)] + [(200 + i, "xx", "basic", "rok mek tulo vasa pindu gorra lemi satu.") for i in range(2)]
+    docs = [*docs, (900, "s", "zzor pluk gnar wibble frotz xyzzy plugh. " * 6), (901, "s", "rok mek tulo vasa. pindu gorra lemi satu mek tulo. " * 5)]
+    got = {r["doc_id"]: (r["level"], r["reason"]) for r in reading_level.reading_levels(spark.createDataFrame(docs, DOCS), spark.createDataFrame(passages, PASSAGES)).collect()}
+    assert got[900] == (None, "language") and got[901] == (None, "passages") and got[205] == (None, "short")
+
+
 def test_coverage_rank_against_a_plain_version():
     rng = random.Random(5)
-    for _ in range(200):
-        ranks = np.array([rng.randint(1, 40) for _ in range(rng.randint(1, 30))])
-        n = np.array([rng.randint(1, 5) for _ in ranks])
-        for q, got in zip((0.5, 0.8, 0.95), reading_level._coverage(ranks, n, (0.5, 0.8, 0.95))):
-            need = math.ceil(q * n.sum())
-            assert got == min(r for r in ranks if n[ranks <= r].sum() >= need)
+    docs = [[rng.randint(1, 40) for _ in range(rng.randint(0, 30))] for _ in range(200)]
+    doc = np.array([d for d, ranks in enumerate(docs) for _ in ranks])
+    got = reading_level.coverage_ranks(doc, np.array([r for ranks in docs for r in ranks]), len(docs), (0.5, 0.8, 0.95))
+    for ranks, row in zip(docs, got):
+        for q, x in zip((0.5, 0.8, 0.95), row):
+            if ranks:
+                assert x == min(r for r in ranks if sum(k <= r for k in ranks) >= math.ceil(q * len(ranks)))
+            else:
+                assert x != x
 
 
 def test_ranks_let_ties_enter_together(spark):
-    counts = spark.createDataFrame([("w", "en", i, n) for i, n in enumerate([9, 5, 5, 2, 1, 1, 1])] + [("s", "", 1, 99)], "kind string, lang string, h long, n long")
+    counts = spark.createDataFrame([("en", i, n) for i, n in enumerate([9, 5, 5, 2, 1, 1, 1])], "lang string, h long, n long")
     assert {r["h"]: r["rank"] for r in reading_level.word_ranks(counts).collect()} == {0: 1, 1: 3, 2: 3, 3: 4, 4: 7, 5: 7, 6: 7}
 
 
