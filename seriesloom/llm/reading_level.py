@@ -344,18 +344,31 @@ def gaussians(fit: dict, more: dict | None = None, shrink: float = 0.2, floor: f
 
 
 def scored(df: DataFrame, params: dict[str, list]) -> DataFrame:
-    """Sets `level`: the best Gaussian of the document's language over the array `x`; null where that is."""
+    """Sets `level`: the best Gaussian of the document's language over the array `x`; null where that is.
+
+    A score is a constant, a weight of each feature and one of each product of
+    two, so it is one sum over an array that a document makes once.
+    """
     spark = df.sparkSession
-    kinds = "lang string, g array<struct<name:string,mu:array<double>,u:array<array<double>>,c:double>>"
-    table = F.broadcast(spark.createDataFrame(list(params.items()), kinds))  # one row per language
+    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+    table = []
+    for lang, gs in params.items():
+        rows = []
+        for name, mu, u, c in gs:
+            m, q = np.array(mu), np.array(u).T @ np.array(u)
+            linear, square = q @ m, [-0.5 * q[i, j] * (1 if i == j else 2) for i, j in pairs]
+            rows.append((name, float(c - 0.5 * m @ q @ m), [*linear.tolist(), *map(float, square)]))
+        table.append((lang, rows))
+    few = F.broadcast(spark.createDataFrame(table, "lang string, g array<struct<name:string,c:double,w:array<double>>>"))  # one row per language
+    products = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", F.lit(1), i + 1), lambda other: v * other)))
+    terms = F.concat("x", products)
+    out = df.drop("level").join(few, "lang", "left").withColumn("__terms", terms)
 
     def score(g: Column) -> Column:
-        d = F.zip_with(F.col("x"), g["mu"], lambda a, b: a - b)
-        sq = F.transform(g["u"], lambda row: F.pow(F.aggregate(F.zip_with(row, d, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), F.lit(2.0)))
-        return F.struct((g["c"] - F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / 2).alias("s"), g["name"].alias("name"))
+        return F.struct((g["c"] + F.aggregate(F.zip_with("__terms", g["w"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("s"), g["name"].alias("name"))
 
     best = F.array_max(F.transform("g", score))
-    return df.join(table, "lang", "left").withColumn("level", F.when(F.col("x").isNotNull(), best["name"])).drop("g")
+    return out.withColumn("level", F.when(F.col("x").isNotNull(), best["name"])).drop("g", "__terms")
 
 
 def site_of(docs: DataFrame) -> Column:
