@@ -70,22 +70,27 @@ def place(df: DataFrame, keep: list[str], vals: str = "vals") -> DataFrame:
     )
 
 
-def by_day_parts(df: DataFrame, keep: list[str], vals: str = "vals") -> DataFrame:
+def by_day_parts(df: DataFrame, keep: list[str], vals: str = "vals", by_time: bool = False) -> DataFrame:
     """Each response once per UTC day it has values for: `keep, step, day, slot0, part`.
 
     `part` are the values of that day before the response's stop, the first of
     them in slot `slot0` (times are slot * step; times off the step belong to the
-    slot they lie in). Values stay in arrays, so an exchange moves eight bytes a
+    slot they lie in). A value is of the day of its slot, or, `by_time`, of the day
+    of its own time. Values stay in arrays, so an exchange moves eight bytes a
     value. Rows that place() leaves out are left out here.
     """
     usable = (F.col("step") > 0) & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size(vals) > 0)
     n = F.least(F.size(vals).cast("long"), F.ceil(F.try_divide(F.col("stop") - F.col("start"), F.col("step"))))
     rows = df.where(usable).withColumn("n", n.cast("long")).where("n > 0").withColumn("s0", F.floor(F.col("start") / F.col("step")).cast("long"))
-    first = F.floor(F.col("s0") * F.col("step") / DAY)
-    last = F.floor((F.col("s0") + F.col("n") - 1) * F.col("step") / DAY)
-    days = rows.select(*keep, "step", "s0", "n", vals, F.explode(F.sequence(first, last)).alias("day"))
-    i0 = F.greatest(F.ceil(F.col("day") * DAY / F.col("step")).cast("long") - F.col("s0"), F.lit(0))
-    i1 = F.least(F.ceil((F.col("day") + 1) * DAY / F.col("step")).cast("long") - F.col("s0"), F.col("n"))
+    # the time of the first value: its own, or that of its slot
+    t0 = F.col("start") if by_time else F.col("s0") * F.col("step")
+    rows = rows.withColumn("t0", t0)
+    first = F.floor(F.col("t0") / DAY)
+    last = F.floor((F.col("t0") + (F.col("n") - 1) * F.col("step")) / DAY)
+    days = rows.select(*keep, "step", "s0", "t0", "n", vals, F.explode(F.sequence(first, last)).alias("day"))
+    upto = lambda day: F.ceil((day * DAY - F.col("t0")) / F.col("step")).cast("long")
+    i0 = F.greatest(upto(F.col("day")), F.lit(0))
+    i1 = F.least(upto(F.col("day") + 1), F.col("n"))
     cut = F.slice(vals, (F.col("i0") + 1).cast("int"), (F.col("i1") - F.col("i0")).cast("int"))
     return (
         days.withColumn("i0", i0).withColumn("i1", i1).where("i1 > i0")
