@@ -1,52 +1,65 @@
 """Percentiles of very large numeric columns by dyadic Count-sketches (problem 5).
 
-A value becomes a code of `bits` bits that keeps the order of numbers: its sign
-and its place on a logarithmic scale of relative width `2 * alpha`. For each
-binary resolution of the codes there is one array of counters: level 0 counts
-whole halves of the code range and the last level single codes. Levels with no
-more cells than a sketch has columns are kept exactly; the finer ones are signed
-Count-sketches of `depth` rows and `width` columns. Sketches are merged by
-addition, so values can also be taken away again, and a rank is inverted by
-descending the levels.
-
-Error. The value found is within the factor (1 + alpha) of one whose rank is
-off by the sketches' error: a row's estimate of a cell has a standard deviation
-of sqrt(F2 / width), F2 being the sum of squares of the other cells' counts of
-that level, and the median of the rows is taken. rank_error_bound() states it for
-a group: over `levels` sketched levels, three deviations of the median of the
-rows, with F2 taken from the finest level's own counters, as a share of the group.
-
-The plan: values are counted per (group, day, code) with partial aggregation
-before the exchange, so no group sends more rows than there are codes, however
-many values it has; each (group, day) becomes one sketch of fixed size; days are
-added up in two levels (32 days, then all) over sorted partitions that stream.
+A value becomes a code that keeps the order of numbers: its sign and its place on
+a logarithmic scale of relative width `2 * alpha`, over the whole range of doubles.
+Level l of the codes counts their first l bits, so its cells are half as wide as
+those of the level before. A sketch holds, for each level,
+
+* the cells and their counts as a list, exactly, while there are no more of them
+  than a sketch has columns. Only the finest such level is stored, as it implies
+  the coarser ones; a group whose codes all fit is nothing but that list;
+* beyond that a signed Count-sketch of `depth` rows and `width` columns.
+
+Sketches are merged by addition, so values can also be taken away again, and a
+rank is inverted by descending the levels.
+
+Error. The value found is within the factor (1 + alpha) of one whose rank is off
+by the sketched levels' error, nothing for a list. A row's estimate of a cell has a
+variance of F2 / width, F2 being the sum of squares of the counts of that level
+without the heaviest width/64 columns: to be moved by one of those a cell must
+meet them in most rows, which has a chance below delta. The median of the rows is
+taken. `sized(epsilon, delta)` gives the width and depth for which the error
+stays within epsilon of all values but for a chance of delta, whatever the values;
+`rank_error` states it for each group from its own counters.
+
+The plan: values stay in arrays until the workers of the scan, which add up
+sketches per (group, day) over many rows and send them packed; parts of one group
+and day are merged in two steps (bounded parts, then all), so are the days of a
+group. Nothing larger than a sketch is ever sent.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.responses import DAY, canonical_name, place
-from ..session import checkpoint, ship
+from ..operators.responses import by_day_parts, canonical_name
+from ..session import ship, written
+
+#: Codes that a worker holds before it sends what it has added up.
+HELD = 4_000_000
 
 
 @dataclass(frozen=True)
 class Codes:
-    """An order-preserving code of doubles with a bounded relative error.
+    """An order-preserving code of doubles with a bounded relative error, from the smallest normal double to the largest.
 
-    Magnitudes below `smallest` count as zero; those above `largest` as `largest`.
+    What is smaller in size than `smallest` counts as zero; infinities are the ends.
     """
 
-    alpha: float = 0.001
-    smallest: float = 1e-9
-    largest: float = 1e19
+    alpha: float = 0.0001
+    smallest: float = 2.2250738585072014e-308
+    largest: float = 1.7976931348623157e308
 
     @property
     def ratio(self) -> float:
@@ -54,51 +67,81 @@ class Codes:
 
     @property
     def half(self) -> int:
-        return int(np.ceil(np.log(self.largest / self.smallest) / self.ratio)) + 1
+        return int(np.ceil((np.log(self.largest) - np.log(self.smallest)) / self.ratio)) + 2
 
     @property
     def bits(self) -> int:
         return int(np.ceil(np.log2(2 * self.half + 1)))
 
-    def column(self, v: Column) -> Column:
-        """The code as a column of built-in expressions; infinities are the ends."""
-        size = F.least(F.abs(v), F.lit(self.largest))
-        place_ = F.floor(F.ln(F.greatest(size, F.lit(self.smallest)) / F.lit(self.smallest)) / F.lit(self.ratio)).cast("int") + 1
-        return F.when(size < self.smallest, F.lit(self.half)).when(v > 0, F.lit(self.half) + place_).otherwise(F.lit(self.half) - place_)
-
     def encode(self, v: np.ndarray) -> np.ndarray:
-        size = np.minimum(np.abs(v), self.largest)
-        p = np.floor(np.log(np.maximum(size, self.smallest) / self.smallest) / self.ratio).astype(np.int64) + 1
-        return np.where(size < self.smallest, self.half, np.where(v > 0, self.half + p, self.half - p))
+        size = np.abs(v)
+        place = np.floor((np.log(np.clip(size, self.smallest, self.largest)) - np.log(self.smallest)) / self.ratio).astype(np.int64) + 1
+        place = np.where(np.isinf(v), self.half, place)
+        return np.where(size < self.smallest, self.half, np.where(v > 0, self.half + place, self.half - place))
 
     def decode(self, code: np.ndarray | int) -> np.ndarray:
         """A value within `alpha` of every value with this code."""
         p = np.asarray(code, dtype=float) - self.half
-        mid = self.smallest * np.exp((np.abs(p) - 1) * self.ratio) * 2 / (1 + np.exp(-self.ratio))
-        return np.where(p == 0, 0.0, np.sign(p) * mid)
+        with np.errstate(over="ignore"):
+            mid = np.exp(np.log(self.smallest) + (np.abs(p) - 1) * self.ratio + np.log(2 / (1 + np.exp(-self.ratio))))
+        return np.where(p == 0, 0.0, np.where(np.abs(p) == self.half, np.copysign(np.inf, p), np.sign(p) * np.minimum(mid, self.largest)))
+
+
+def sized(epsilon: float, delta: float, bits: int) -> tuple[int, int]:
+    """Width (a power of two) and depth of sketches whose rank error is within epsilon but for a chance of delta.
+
+    At worst the counts beside the w/64 heaviest have F2 = 16/w of the square of
+    all, and no level but the exact ones, log2(w) at least, is without error.
+    """
+    if not (0 < epsilon < 1 and 0 < delta < 1):
+        raise ValueError("epsilon and delta are between 0 and 1")
+    depth = max(3, 2 * math.ceil(math.log10(1 / delta)) + 1)
+    z, width = NormalDist().inv_cdf(1 - delta / 2), 64
+    while z * math.sqrt(1.5708 / depth * max(bits - math.log2(width), 0) * 16 / width**2) > epsilon:
+        width *= 2
+    return width, depth
+
+
+@dataclass
+class Sketch:
+    """The cells of level `level` with their counts, and the Count-sketches of the finer levels (level by depth by width)."""
+
+    level: int
+    cells: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return int(self.counts.sum())
+
+
+def _grouped(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell once, in order, with its counts added up; those of 0 go."""
+    if not len(cells):
+        return cells.astype(np.int64), counts.astype(np.int64)
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
+    counts = np.add.reduceat(counts, first)
+    some = counts != 0
+    return cells[first][some].astype(np.int64), counts[some].astype(np.int64)
 
 
 class DyadicSketch:
-    """Counters of all levels in one array: the exact ones first, then rows of the sketched ones."""
+    """The shape that all sketches to be merged have in common."""
 
-    def __init__(self, bits: int, width: int = 512, depth: int = 5, seed: int = 11):
+    def __init__(self, bits: int, width: int, depth: int, delta: float = 0.01, seed: int = 11):
         if width & (width - 1):
             raise ValueError("width must be a power of two")
-        self.bits, self.width, self.depth = bits, width, depth
-        self.exact = min(bits, int(np.log2(width)))  # levels 1..exact have 2**level cells
-        self.offsets = {lv: 2**lv - 2 for lv in range(1, self.exact + 1)}
-        at = 2 ** (self.exact + 1) - 2
-        for lv in range(self.exact + 1, bits + 1):
-            self.offsets[lv] = at
-            at += depth * width
-        self.size = at
+        self.bits, self.width, self.depth, self.z = bits, width, depth, NormalDist().inv_cdf(1 - delta / 2)
         rng = np.random.default_rng(seed)
         # multiply-shift hashing, the same for every sketch of these parameters
         self.mult = rng.integers(1, 2**63, size=(bits + 1, depth, 2), dtype=np.uint64) | np.uint64(1)
 
-    def cells(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Column and sign of nodes in each row of a level: two arrays of (depth, nodes)."""
-        x = node.astype(np.uint64)[None, :] + np.uint64(1)
+    def place(self, level: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Column and sign of cells in each row of a level: two arrays of (depth, cells)."""
+        x = cell.astype(np.uint64)[None, :] + np.uint64(1)
         h = x * self.mult[level, :, 0][:, None]
         h ^= h >> np.uint64(29)
         h = h * self.mult[level, :, 1][:, None]
@@ -106,118 +149,126 @@ class DyadicSketch:
         sign = 1 - 2 * ((h >> np.uint64(20)) & np.uint64(1)).astype(np.int64)
         return col, sign
 
-    def build(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The counters of codes with counts; a negative count takes values away."""
-        out = np.zeros(self.size, np.int64)
-        codes, counts = codes.astype(np.int64), counts.astype(np.int64)
-        for lv in range(1, self.bits + 1):
-            node, at = codes >> (self.bits - lv), self.offsets[lv]
-            if lv <= self.exact:
-                np.add.at(out, at + node, counts)
-            else:
-                col, sign = self.cells(lv, node)
-                where = at + (np.arange(self.depth) * self.width)[:, None] + col
-                np.add.at(out, where.ravel(), (sign * counts[None, :]).ravel())
-        return out
-
-    def total(self, counters: np.ndarray) -> int:
-        return int(counters[0] + counters[1])
-
-    def estimate(self, counters: np.ndarray, level: int, node: int) -> float:
-        at = self.offsets[level]
-        if level <= self.exact:
-            return float(counters[at + node])
-        col, sign = self.cells(level, np.array([node]))
-        rows = counters[at : at + self.depth * self.width].reshape(self.depth, self.width)
-        return float(np.median(sign[:, 0] * rows[np.arange(self.depth), col[:, 0]]))
-
-    def code_at(self, counters: np.ndarray, q: float) -> int:
-        """The code that holds the value of rank ceil(q * n), found by descent."""
-        n = self.total(counters)
-        need = max(1.0, np.ceil(q * n))
-        node, mass = 0, float(n)
-        for lv in range(1, self.bits + 1):
-            left = self.estimate(counters, lv, 2 * node)
-            right = self.estimate(counters, lv, 2 * node + 1)
-            left, right = min(max(left, 0.0), mass), min(max(right, 0.0), mass)
+    def _coarsened(self, level: int, cells: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> Sketch:
+        """The list taken up to the finest level at which it is short enough; the levels left behind become Count-sketches."""
+        left = []
+        while len(cells) > self.width:
+            col, sign = self.place(level, cells)
+            made = np.zeros((self.depth, self.width), np.int64)
+            for r in range(self.depth):
+                np.add.at(made[r], col[r], sign[r] * counts)
+            left.append(made)
+            level -= 1
+            cells, counts = _grouped(cells >> 1, counts)
+        return Sketch(level, cells, counts, np.concatenate([np.array(left[::-1], np.int64).reshape(-1, self.depth, self.width), rows]))
+
+    def build(self, codes: np.ndarray, counts: np.ndarray | None = None) -> Sketch:
+        """The sketch of codes with counts (1 where none are given); a negative count takes values away."""
+        counts = np.ones(len(codes), np.int64) if counts is None else counts
+        return self._coarsened(self.bits, *_grouped(np.asarray(codes, np.int64), np.asarray(counts, np.int64)), np.zeros((0, self.depth, self.width), np.int64))
+
+    def add(self, a: Sketch, b: Sketch) -> Sketch:
+        if a.level > b.level:
+            a, b = b, a
+        # b has its list at a finer level: its levels down to a's become Count-sketches too
+        cells, counts, rows = b.cells, b.counts, b.rows
+        for level in range(b.level, a.level, -1):
+            col, sign = self.place(level, cells)
+            made = np.zeros((1, self.depth, self.width), np.int64)
+            for r in range(self.depth):
+                np.add.at(made[0, r], col[r], sign[r] * counts)
+            rows = np.concatenate([made, rows])
+            cells, counts = _grouped(cells >> 1, counts)
+        return self._coarsened(a.level, *_grouped(np.append(a.cells, cells), np.append(a.counts, counts)), a.rows + rows)
+
+    def estimate(self, s: Sketch, level: int, cell: int) -> float:
+        col, sign = self.place(level, np.array([cell]))
+        return float(np.median(sign[:, 0] * s.rows[level - s.level - 1][np.arange(self.depth), col[:, 0]]))
+
+    def code_at(self, s: Sketch, q: float) -> int:
+        """The code that holds the value of rank ceil(q * n): a cell of the list, then down the sketched levels."""
+        run = np.cumsum(s.counts)
+        need = max(1.0, np.ceil(q * run[-1]))
+        i = int(np.searchsorted(run, need))
+        cell, mass = int(s.cells[i]), float(s.counts[i])
+        need -= run[i] - s.counts[i]
+        for level in range(s.level + 1, self.bits + 1):
+            left, right = (min(max(self.estimate(s, level, 2 * cell + k), 0.0), mass) for k in (0, 1))
             # the two halves make up their parent, whose mass is known better
             left = mass * left / (left + right) if left + right > 0 else mass / 2
             if need <= left + 1e-9:
-                node, mass = 2 * node, left
+                cell, mass = 2 * cell, left
             else:
-                node, need, mass = 2 * node + 1, need - left, mass - left
-        return node
+                cell, need, mass = 2 * cell + 1, need - left, mass - left
+        return cell
 
-    def rank_error_bound(self, counters: np.ndarray) -> float:
-        """Three deviations of the rank error as a share of the values."""
-        n, sketched = self.total(counters), self.bits - self.exact
-        if n <= 0 or sketched <= 0:
+    def rank_error(self, s: Sketch) -> float:
+        """What the rank is off by at most, as a share of the values, but for a chance of delta."""
+        if s.n <= 0 or not len(s.rows):
             return 0.0
-        var = 0.0
-        for lv in range(self.exact + 1, self.bits + 1):
-            at = self.offsets[lv]
-            rows = counters[at : at + self.depth * self.width].reshape(self.depth, self.width).astype(float)
-            var += float(np.median((rows**2).sum(axis=1))) / self.width * (1.57 / self.depth)
-        return float(min(1.0, 3.0 * np.sqrt(var) / n))
-
-
-def pack(counters: np.ndarray) -> bytes:
-    return zlib.compress(counters.astype("<i8").tobytes(), 1)
+        squares = np.sort(s.rows.astype(float) ** 2, axis=2)[:, :, : self.width - self.width // 64].sum(axis=2)
+        var = np.median(squares, axis=1).sum() / self.width * 1.5708 / self.depth
+        return float(min(1.0, self.z * np.sqrt(var) / s.n))
 
+    def pack(self, s: Sketch) -> bytes:
+        head = np.array([s.level, len(s.cells)], "<i8").tobytes()
+        steps = np.diff(s.cells, prepend=0).astype("<i4")
+        return zlib.compress(head + steps.tobytes() + s.counts.astype("<i8").tobytes() + s.rows.astype("<i8").tobytes(), 1)
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype="<i8")
+    def unpack(self, data: bytes) -> Sketch:
+        raw = zlib.decompress(data)
+        level, k = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+        steps = np.frombuffer(raw, "<i4", k, 16)
+        counts = np.frombuffer(raw[16 + 4 * k : 16 + 12 * k], "<i8")
+        return Sketch(level, np.cumsum(steps.astype(np.int64)), counts, np.frombuffer(raw[16 + 12 * k :], "<i8").reshape(-1, self.depth, self.width))
 
 
-def count_codes(values: DataFrame, keys: Sequence[str], codes: Codes, v: str = "v") -> DataFrame:
-    """`keys, code, n`: how many values have each code; absent values do not count."""
-    present = values.where(F.col(v).isNotNull() & ~F.isnan(v))
-    return present.groupBy(*keys, codes.column(F.col(v)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+def build_sketches(arrays: DataFrame, keys: Sequence[str], codes: Codes, shape: DyadicSketch, vals: str = "vals", sign: str | None = None) -> DataFrame:
+    """`keys, sketch`: sketches of the present values of array columns, one or more per group, made where rows are read.
 
-
-def build_sketches(counted: DataFrame, keys: Sequence[str], codes: Codes, width: int = 512, depth: int = 5) -> DataFrame:
-    """`keys, n, sketch`: one sketch per group from rows of (keys, code, n); negative n take values away."""
+    A column `sign` of -1 takes a row's values away. Keys may be null.
+    """
     keys = list(keys)
-    kinds = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys)
-    rows = counted.select(*keys, "code", F.col("n").cast("long")).repartition(*keys).sortWithinPartitions(*keys)
-    bits = codes.bits
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shape = DyadicSketch(bits, width, depth)
-        held: tuple | None = None
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def close() -> list:
-            c = shape.build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            return [*held, shape.total(c), pack(c)]
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            out = []
-            marks = pd.DataFrame({k: pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys})
-            changed = np.zeros(len(pdf), bool)
-            for k in keys:
-                col = marks[k].to_numpy()
-                changed[1:] |= np.array([a is not b and a != b for a, b in zip(col[1:], col[:-1])], bool)
-            starts = np.concatenate(([0], np.flatnonzero(changed), [len(pdf)]))
-            code, n = pdf["code"].to_numpy(), pdf["n"].to_numpy()
-            for a, b in zip(starts[:-1], starts[1:]):
-                key = tuple(marks.iloc[a])
-                if held is not None and key != held:
-                    out.append(close())
-                    parts.clear()
-                held = key
-                parts.append((code[a:b], n[a:b]))
-            yield pd.DataFrame(out, columns=[*keys, "n", "sketch"])
-        if held is not None:
-            yield pd.DataFrame([close()], columns=[*keys, "n", "sketch"])
+    kinds = ", ".join(f"`{k}` {arrays.schema[k].dataType.simpleString()}" for k in keys)
+    rows = arrays.select(*keys, F.col(vals).alias("__vals"), (F.col(sign).cast("long") if sign else F.lit(1).cast("long")).alias("__sign"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            made = []
+            for key, parts in held.items():
+                made.append([*key, shape.pack(shape.build(np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(c), s) for c, s in parts])))])
+            held.clear()
+            cols = list(zip(*made)) if made else [()] * (len(keys) + 1)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(cols[-1], pa.binary())], names=[*keys, "sketch"])
+
+        types: list = []
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            a = batch.column("__vals")
+            flat = a.flatten().to_numpy(zero_copy_only=False).astype(float)
+            ends = np.append(0, np.cumsum(pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False)))
+            seen = ~np.isnan(flat)
+            code = np.where(seen, codes.encode(np.where(seen, flat, 0.0)), -1)
+            for i, (key, s) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("__sign").to_pylist())):
+                c = code[ends[i] : ends[i + 1]]
+                c = c[c >= 0]
+                if len(c):
+                    held.setdefault(key, []).append((c, s))
+                    size += len(c)
+            if size >= HELD:
+                yield sent()
+                size = 0
+        if held:
+            yield sent()
 
     ship(rows.sparkSession)
-    return rows.mapInPandas(run, f"{kinds}, n long, sketch binary")
+    return rows.mapInArrow(run, f"{kinds}, sketch binary")
 
 
-def merge_sketches(sketches: DataFrame, keys: Sequence[str], spread: Column | None = None) -> DataFrame:
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], shape: DyadicSketch, spread: Column | None = None) -> DataFrame:
     """`keys, n, sketch`: sketches of equal keys added up.
 
     `spread` names a bounded part of each group that is added up first, so that
@@ -225,58 +276,76 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], spread: Column | No
     """
     keys = list(keys)
     if spread is not None:
-        part = merge_sketches(sketches.withColumn("__part", spread), [*keys, "__part"])
-        return merge_sketches(part.select(*keys, "n", "sketch"), keys)
+        part = merge_sketches(sketches.withColumn("__part", spread), [*keys, "__part"], shape)
+        return merge_sketches(part.select(*keys, "sketch"), keys, shape)
     kinds = ", ".join(f"`{k}` {sketches.schema[k].dataType.simpleString()}" for k in keys)
     rows = sketches.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = None, None
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        parts: list[Sketch] = []
+        types: list = []
+
+        def close() -> list:
+            return [*held, total().n, shape.pack(total())]
+
+        def total() -> Sketch:
+            if len(parts) > 1:
+                # lists that all fit are put together at once
+                if all(p.level == shape.bits for p in parts):
+                    parts[:] = [shape.build(np.concatenate([p.cells for p in parts]), np.concatenate([p.counts for p in parts]))]
+                while len(parts) > 1:
+                    parts[:2] = [shape.add(parts[0], parts[1])]
+            return parts[0]
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                key = tuple(None if k is None or k != k else k for k in row[:-1])
+            for *key, data in zip(*(batch.column(k).to_pylist() for k in (*keys, "sketch"))):
+                key = tuple(key)
                 if held is not None and key != held:
-                    out.append([*held, int(total[0] + total[1]), pack(total)])
-                    total = None
+                    out.append(close())
+                    parts.clear()
                 held = key
-                total = unpack(row[-1]).copy() if total is None else total + unpack(row[-1])
-            yield pd.DataFrame(out, columns=[*keys, "n", "sketch"])
+                parts.append(shape.unpack(data))
+                if len(parts) >= 64:
+                    total()
+            yield made(out, types)
         if held is not None:
-            yield pd.DataFrame([[*held, int(total[0] + total[1]), pack(total)]], columns=[*keys, "n", "sketch"])
+            yield made([close()], types)
+
+    def made(out: list, types: list) -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [()] * (len(keys) + 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(cols[-2], pa.int64()), pa.array(cols[-1], pa.binary())], names=[*keys, "n", "sketch"])
 
     ship(rows.sparkSession)
-    return rows.mapInPandas(run, f"{kinds}, n long, sketch binary")
+    return rows.mapInArrow(run, f"{kinds}, n long, sketch binary")
 
 
-def percentiles(sketches: DataFrame, keys: Sequence[str], codes: Codes, qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99), width: int = 512, depth: int = 5) -> DataFrame:
+def percentiles(sketches: DataFrame, keys: Sequence[str], codes: Codes, shape: DyadicSketch, qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """`keys, n, p<q>..., rank_error`: the percentiles of each sketch; null where nothing is left to count."""
     keys, qs = list(keys), list(qs)
     names = [f"p{100 * q:g}".replace(".", "_") for q in qs]
     kinds = ", ".join(f"`{k}` {sketches.schema[k].dataType.simpleString()}" for k in keys)
-    bits = codes.bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shape = DyadicSketch(bits, width, depth)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False, name=None):
-                c = unpack(row[-1])
-                n = shape.total(c)
-                vals = [float(codes.decode(shape.code_at(c, q))) for q in qs] if n > 0 else [None] * len(qs)
-                out.append([*(None if k is None or k != k else k for k in row[:-1]), n, *vals, shape.rank_error_bound(c)])
+                s = shape.unpack(row[-1])
+                vals = [float(codes.decode(shape.code_at(s, q))) for q in qs] if s.n > 0 else [None] * len(qs)
+                out.append([*(None if k is None or k != k else k for k in row[:-1]), s.n, *vals, shape.rank_error(s)])
             yield pd.DataFrame(out, columns=[*keys, "n", *names, "rank_error"])
 
     ship(sketches.sparkSession)
     return sketches.select(*keys, "sketch").mapInPandas(run, f"{kinds}, n long, {', '.join(f'{n} double' for n in names)}, rank_error double")
 
 
-def day_sketches(responses: DataFrame, series: DataFrame, codes: Codes = Codes(), width: int = 512, depth: int = 5) -> DataFrame:
-    """`path_expr string, day int, n long, sketch binary`: one sketch per path expression and UTC day.
+def by_expression(responses: DataFrame, series: DataFrame) -> DataFrame:
+    """`path_expr, day, part`: the values of each response by UTC day under its expression.
 
-    All present values before a response's stop count, each as often as it is
-    delivered. A null path_expr is taken from the catalogue by the series' regular
-    name; values whose series is unknown to it belong to the null path_expr.
+    A null path_expr is taken from the catalogue by the series' regular name;
+    values whose series is unknown to it belong to the null path_expr.
     """
     names = series.where(F.col("name").isNotNull()).groupBy(canonical_name("name").alias("__name")).agg(F.min("path_expr").alias("__expr"))
     slim = responses.select("name", "path_expr", "start", "stop", "step", "vals")
@@ -284,21 +353,24 @@ def day_sketches(responses: DataFrame, series: DataFrame, codes: Codes = Codes()
     # only rows without an expression meet the catalogue
     bare = slim.where(F.col("path_expr").isNull()).withColumn("__name", canonical_name("name")).join(names, "__name", "left")
     rows = named.unionByName(bare.select(F.col("__expr").alias("path_expr"), "start", "stop", "step", "vals"))
-    values = place(rows, ["path_expr"]).select("path_expr", F.floor(F.col("ts") / DAY).cast("int").alias("day"), "v")
-    return build_sketches(count_codes(values, ["path_expr", "day"], codes), ["path_expr", "day"], codes, width, depth)
+    return by_day_parts(rows, ["path_expr"], by_time=True).select("path_expr", "day", "part")
 
 
-def series_percentiles(responses: DataFrame, series: DataFrame, codes: Codes = Codes(), width: int = 512, depth: int = 5) -> DataFrame:
+def series_percentiles(responses: DataFrame, series: DataFrame, codes: Codes = Codes(), epsilon: float = 0.01, delta: float = 0.01) -> DataFrame:
     """`path_expr, day, n, p50, p90, p95, p99, rank_error`: per path expression and day, and overall (day null).
 
-    The value of rank ceil(q*n) is found within `codes.alpha` of its size and
-    `rank_error` of the rank. Sketches of days (or files) are the same whatever
-    else was read, and the overall row is made by adding them up. Values below
-    1e-9 in size count as 0, those above 1e19 as 1e19. Empty tables give no rows.
+    All present values before a response's stop count, each as often as it is
+    delivered. The value of rank ceil(q*n) is found within `codes.alpha` of its
+    size and `rank_error` of the rank, which is within `epsilon`, but for a chance
+    of `delta`. Sketches of days (or files) are the same whatever else was read,
+    and the overall row is made by adding them up. Infinite values count; values
+    smaller in size than any normal double count as 0. Empty tables give no rows.
     """
-    days = checkpoint(day_sketches(responses, series, codes, width, depth))
-    overall = merge_sketches(days, ["path_expr"], F.floor(F.col("day") / 32).cast("int"))
+    shape = DyadicSketch(codes.bits, *sized(epsilon, delta, codes.bits), delta)
+    parts = build_sketches(by_expression(responses, series), ["path_expr", "day"], codes, shape, "part")
+    days = written(merge_sketches(parts, ["path_expr", "day"], shape, F.pmod(F.xxhash64("sketch"), F.lit(8))))
+    overall = merge_sketches(days, ["path_expr"], shape, F.floor(F.col("day") / 32).cast("int"))
     both = days.select("path_expr", F.date_from_unix_date("day").alias("day"), "sketch").unionByName(
         overall.select("path_expr", F.lit(None).cast("date").alias("day"), "sketch")
     )
-    return percentiles(both, ["path_expr", "day"], codes, width=width, depth=depth)
+    return percentiles(both, ["path_expr", "day"], codes, shape)

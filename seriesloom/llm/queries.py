@@ -26,6 +26,24 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.series_percentiles(read(spark, d, "fetch_responses"), read(spark, d, "series"))
 
 
+def p5_within(spark: SparkSession, d: str) -> DataFrame:
+    """`path_expr, day, n, within`: whether each percentile is within its stated error of the exact ones."""
+    from ..session import written
+
+    codes = percentiles.Codes()
+    got = written(p5_percentiles(spark, d))
+    values = percentiles.by_expression(read(spark, d, "fetch_responses"), read(spark, d, "series")).select("path_expr", F.date_from_unix_date("day").alias("day"), F.explode("part").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = values.unionByName(values.withColumn("day", F.lit(None).cast("date")))
+    near = F.col("v") + 0.0
+    tests = []
+    for q, c in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")):
+        slack = F.abs(F.col(c)) * codes.alpha * 1.01 + 2.3e-308
+        below, upto = F.sum((near < F.col(c) - slack).cast("long")), F.sum((near <= F.col(c) + slack).cast("long"))
+        tests.append((below <= q * F.count(F.lit(1)) + F.max("rank_error") * F.count(F.lit(1))) & (upto >= q * F.count(F.lit(1)) - F.max("rank_error") * F.count(F.lit(1)) - 1))
+    met = values.join(got.drop("n"), values["path_expr"].eqNullSafe(got["path_expr"]) & values["day"].eqNullSafe(got["day"])).select(values["path_expr"], values["day"], "v", "p50", "p90", "p95", "p99", "rank_error")
+    return met.groupBy("path_expr", "day").agg(F.count(F.lit(1)).alias("n"), (tests[0] & tests[1] & tests[2] & tests[3] & (F.max("rank_error") <= 0.01)).alias("within"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(read(spark, d, "documents"))
 
@@ -57,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p4_found": p4_found, "p4_currency": p4_currency, "p4_records": p4_records,
-        "p5_percentiles": p5_percentiles,
+        "p5_percentiles": p5_percentiles, "p5_within": p5_within,
         "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_levels": p8_levels,
@@ -85,5 +103,15 @@ select group_id, field, response_id from o
 qualify row_number() over (partition by group_id, field order by full_n desc, recv desc, rank, response_id) = 1"""
 
 
+#: Path nodes and tags of a name in one spelling.
+_PATH = f"array_to_string(list_filter(list_transform(string_split(string_split(trim(name, {_TRIM}), ';')[1], '.'), lambda x: trim(x)), lambda x: x <> ''), '.')"
+_TAGS = f"list_sort(list_distinct(list_filter(list_transform(string_split(trim(name, {_TRIM}), ';')[2:], lambda x: trim(x)), lambda x: x <> '')))"
+
+_P5_WITHIN = f"""with ids as (select {_PATH} as path, {_TAGS} as tags, min(path_expr) as known from series where name is not null group by 1, 2),
+named as (select coalesce(r.path_expr, known) as path_expr, start, stop, step, vals from (select *, {_PATH} as path, {_TAGS} as tags from fetch_responses where step > 0 and start is not null and stop is not null) r left join ids on ids.path = r.path and ids.tags = r.tags),
+flat as (select path_expr, date '1970-01-01' + ((start + (u.i - 1) * step) // 86400)::int as day from named r, lateral (select unnest(range(1, len(r.vals) + 1)) as i, unnest(r.vals) as v) u where start + (u.i - 1) * step < stop and v is not null and not isnan(v))
+select path_expr, day, count(*) as n, true as within from flat group by all union all select path_expr, null, count(*), true from flat group by 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p6_round_trip": "select doc_id, true as same from documents"}
+    return {"p5_within": _P5_WITHIN, "p4_found": _P4_FOUND, "p6_round_trip": "select doc_id, true as same from documents"}

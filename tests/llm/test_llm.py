@@ -140,52 +140,87 @@ def test_no_groups(spark):
         survivor.survivors(empty, servers(spark), "otherwise")
 
 
-CODES = percentiles.Codes()
+CODES = percentiles.Codes(0.001)
+SHAPE = percentiles.DyadicSketch(CODES.bits, 4096, 5)
+SMALL = percentiles.DyadicSketch(CODES.bits, 256, 5)
 
 
 def test_codes_keep_order_and_error():
-    v = np.concatenate([np.linspace(-1e6, 1e6, 4001), np.logspace(-8, 18, 2000), [0.0, np.inf, -np.inf]])
-    c = CODES.encode(np.sort(v))
-    assert (np.diff(c) >= 0).all() and c.min() >= 0 and c.max() < 2**CODES.bits
-    inner = v[(np.abs(v) > 1e-8) & np.isfinite(v)]
-    assert (np.abs(CODES.decode(CODES.encode(inner)) - inner) <= 1.0001 * CODES.alpha * np.abs(inner)).all()
+    v = np.concatenate([np.linspace(-1e6, 1e6, 4001), np.logspace(-300, 308, 5000), -np.logspace(-300, 308, 500), [0.0, -0.0, 1e-320, 1.7976931348623157e308, 2.0**64]])
+    for codes in (CODES, percentiles.Codes()):
+        c = codes.encode(np.sort(np.append(v, [np.inf, -np.inf])))
+        assert (np.diff(c) >= 0).all() and c.min() >= 0 and c.max() < 2**codes.bits
+        inner = v[np.abs(v) > 3e-308]
+        assert (np.abs(codes.decode(codes.encode(inner)) - inner) <= 1.01 * codes.alpha * np.abs(inner)).all()
+        assert codes.decode(codes.encode(np.array([np.inf, -np.inf, 0.0, 1e-310]))).tolist() == [np.inf, -np.inf, 0.0, 0.0]
+
+
+def test_sizes_follow_from_the_error():
+    assert percentiles.sized(0.01, 0.01, 24) == (4096, 5)
+    assert percentiles.sized(0.1, 0.01, 24)[0] < 4096 < percentiles.sized(0.001, 0.01, 24)[0]
+    assert percentiles.sized(0.01, 1e-6, 24)[1] > 5
+    with pytest.raises(ValueError):
+        percentiles.sized(0, 0.1, 24)
 
 
-def test_columns_and_numpy_give_one_code(spark):
-    v = [0.0, -0.0, 1.0, -1.0, 123.456, -9e18, 1e300, 1e-12, float("inf"), -float("inf")]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(CODES.column(F.col("v"))).collect()]
-    assert got == CODES.encode(np.array(v)).tolist()
+def ranks_hold(xs, row, alpha, slack=0.0):
+    xs = np.sort(xs)
+    for q, c in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")):
+        near = alpha * abs(row[c]) * 1.01 + 1e-300
+        lo, hi = np.searchsorted(xs, row[c] - near, "left") / len(xs), np.searchsorted(xs, row[c] + near, "right") / len(xs)
+        if not lo - row["rank_error"] - slack <= q <= hi + row["rank_error"] + slack + 1 / len(xs):
+            return False
+    return True
 
 
-def test_percentiles_within_the_stated_error(spark):
+@pytest.mark.parametrize("shape", [SHAPE, SMALL], ids=["lists", "sketches"])
+def test_percentiles_within_the_stated_error(spark, shape):
     rng = np.random.default_rng(3)
-    groups = {"normal": rng.normal(100, 15, 20000), "skewed": np.exp(rng.normal(0, 2, 5000)), "few": np.array([1.0, 2.0, 3.0]), "one": np.full(500, 7.0), "signed": rng.normal(0, 1, 3000)}
-    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("normal", None), ("normal", float("nan")), (None, 5.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    counted = percentiles.count_codes(df, ["g"], CODES)
-    got = {r["g"]: r for r in percentiles.percentiles(percentiles.build_sketches(counted, ["g"], CODES), ["g"], CODES).collect()}
-    assert set(got) == {*groups, None} and got[None]["n"] == 1
+    groups = {"normal": rng.normal(100, 15, 20000), "skewed": np.exp(rng.normal(0, 2, 5000)), "few": np.array([1.0, 2.0, 3.0]), "one": np.full(500, 7.0), "signed": rng.normal(0, 1, 3000), "half": np.append(np.full(5000, 7.0), np.exp(rng.normal(0, 3, 5000)))}
+    rows = [(k, xs[i : i + 700].tolist()) for k, xs in groups.items() for i in range(0, len(xs), 700)] + [("normal", [None, float("nan")]), ("normal", None), ("normal", []), (None, [5.0])]
+    df = spark.createDataFrame(rows, "g string, vals array<double>").withColumn("sketch", F.lit("clash"))
+    merged = percentiles.merge_sketches(percentiles.build_sketches(df, ["g"], CODES, shape), ["g"], shape)
+    got = {r["g"]: r for r in percentiles.percentiles(merged, ["g"], CODES, shape).collect()}
+    assert set(got) == {*groups, None} and got[None]["n"] == 1 and got[None]["rank_error"] == 0
     for k, xs in groups.items():
-        xs = np.sort(xs)
-        assert got[k]["n"] == len(xs)
-        for q, c in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")):
-            slack = CODES.alpha * abs(got[k][c]) * 1.01 + 1e-9
-            lo, hi = (np.searchsorted(xs, got[k][c] + s * slack, "left" if s < 0 else "right") / len(xs) for s in (-1, 1))
-            assert lo - got[k]["rank_error"] <= q <= hi + got[k]["rank_error"] + 1 / len(xs), (k, c)
+        assert got[k]["n"] == len(xs) and ranks_hold(xs, got[k], CODES.alpha), k
+    assert (got["skewed"]["rank_error"] > 0) == (shape is SMALL) and got["one"]["rank_error"] == 0
+
+
+def test_the_sketched_levels_keep_their_bound():
+    rng = np.random.default_rng(8)
+    off, stated = [], []
+    for i in range(30):
+        xs = np.exp(rng.normal(0, 3, 4000))
+        s = SMALL.build(CODES.encode(xs))
+        assert s.level < CODES.bits and len(s.cells) <= SMALL.width
+        for q in (0.1, 0.5, 0.9, 0.99):
+            got = float(CODES.decode(SMALL.code_at(s, q)))
+            off.append(abs(np.searchsorted(np.sort(xs), got) / len(xs) - q) - 0.01)
+            stated.append(SMALL.rank_error(s))
+    assert np.mean(np.array(off) <= np.array(stated)) >= 0.97 and max(stated) < 0.2
 
 
 def test_sketches_add_up_and_take_away(spark):
     rng = np.random.default_rng(4)
-    rows = [("a", i % 3, float(x)) for i, x in enumerate(rng.normal(50, 20, 3000))]
-    df = spark.createDataFrame(rows, "g string, day int, v double")
-    days = percentiles.build_sketches(percentiles.count_codes(df, ["g", "day"], CODES), ["g", "day"], CODES)
-    whole = percentiles.build_sketches(percentiles.count_codes(df, ["g"], CODES), ["g"], CODES).first()
-    merged = percentiles.merge_sketches(days, ["g"], F.col("day") % 2).first()
-    assert (percentiles.unpack(merged["sketch"]) == percentiles.unpack(whole["sketch"])).all() and merged["n"] == 3000
-    gone = percentiles.count_codes(df.where("day = 1"), ["g"], CODES).withColumn("n", -F.col("n"))
-    rest = percentiles.build_sketches(percentiles.count_codes(df, ["g"], CODES).unionByName(gone), ["g"], CODES).first()
-    want = percentiles.build_sketches(percentiles.count_codes(df.where("day <> 1"), ["g"], CODES), ["g"], CODES).first()
-    assert (percentiles.unpack(rest["sketch"]) == percentiles.unpack(want["sketch"])).all()
+    for shape in (SHAPE, SMALL):
+        parts = [CODES.encode(np.exp(rng.normal(0, 2, n))) for n in (3000, 40, 900)]
+        whole = shape.build(np.concatenate(parts))
+        for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
+            s = shape.build(parts[order[0]])
+            for k in order[1:]:
+                s = shape.add(s, shape.build(parts[k]))
+            assert shape.pack(s) == shape.pack(whole) and s.n == 3940
+        back = shape.unpack(shape.pack(whole))
+        assert back.level == whole.level and (back.rows == whole.rows).all() and (back.cells == whole.cells).all()
+        gone = shape.add(whole, shape.build(parts[0], np.full(3000, -1)))
+        want = shape.build(np.concatenate(parts[1:]))
+        assert gone.n == 940 and abs(CODES.decode(shape.code_at(gone, 0.5)) / CODES.decode(shape.code_at(want, 0.5)) - 1) < 0.2
+    rows = [("a", d, rng.normal(50, 20, 500).tolist(), 1) for d in range(4)]
+    df = spark.createDataFrame(rows, "g string, day int, vals array<double>, sign int")
+    build = lambda x: percentiles.merge_sketches(percentiles.build_sketches(x, ["g"], CODES, SHAPE, sign="sign"), ["g"], SHAPE, F.pmod(F.xxhash64("sketch"), F.lit(2))).first()
+    less = df.unionByName(df.where("day = 1").withColumn("sign", F.lit(-1)))
+    assert build(less)["sketch"] == build(df.where("day <> 1"))["sketch"]
 
 
 def test_percentiles_of_responses(spark):
