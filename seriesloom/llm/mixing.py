@@ -6,11 +6,13 @@
    record of each source is taken: a whole number of copies and a probability.
 3. The probabilities become whole by pivotal dependent rounding: two records
    exchange mass at random until one of them is 0 or 1. Records of a source are
-   range-partitioned and sorted by size, so that mass moves between records of
-   nearly one size and the source's total hardly changes; a source with a third
-   of all records is spread over many ranges. Each range leaves at most one
-   undecided record per source, and these residuals meet in a tree of two more
-   levels (64 ranges to a node, then the root).
+   taken by class of size (four to an octave) and, in a class, by hash of the id
+   into buckets of about `BUCKET` records, so that mass moves between records of
+   nearly one size and the source's total hardly changes, and a source with a
+   third of all records is spread over many tasks. Each bucket leaves at most one
+   undecided record, and these residuals meet in a tree of two more levels (the
+   buckets of a class, the classes of a source). Nothing hangs on how the data
+   are partitioned: ids, sizes and the seed fix the mix.
 """
 
 from __future__ import annotations
@@ -99,27 +101,28 @@ def pivot(ids: list[int], p: list[float], seed: int) -> tuple[list[float], int]:
     return out, open_at
 
 
-_COLS = ["doc_id", "source", "n_tokens", "base", "p", "node", "open"]
-_KINDS = "doc_id long, source string, n_tokens long, base long, p double, node long, open boolean"
+#: Records of a bucket, about.
+BUCKET = 50_000
+_COLS = ["doc_id", "source", "n_tokens", "base", "p", "cls", "bucket", "open"]
+_KINDS = "doc_id long, source string, n_tokens long, base long, p double, cls long, bucket long, open boolean"
 
 
-def _level(rows: DataFrame, seed: int, root: bool) -> DataFrame:
-    """One level of the tree over sorted partitions: in each run of one source (and node) at most one record stays open."""
+def _level(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """One level of the tree over sorted partitions: of the records of equal keys at most one stays open."""
+    place = F.xxhash64("doc_id", F.lit(seed))
+    ordered = rows.repartition(*keys).withColumn("__place", place).sortWithinPartitions(*keys, "n_tokens", "__place", "doc_id").drop("__place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        node = -1
         for pdf in batches:
-            if not len(pdf):
-                continue
-            node = int(pdf["__pid"].iloc[0])
-            pdf = pdf.drop(columns="__pid")
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
                 held = None
-            yields = []
-            keys = pdf["source"].to_numpy()
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if not len(pdf):
+                continue
+            done = []
+            marks = pdf[keys].to_numpy()
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
             groups = np.split(np.arange(len(pdf)), cuts)
             for k, g in enumerate(groups):
                 part = pdf.iloc[g].copy()
@@ -127,27 +130,19 @@ def _level(rows: DataFrame, seed: int, root: bool) -> DataFrame:
                 part["p"] = p
                 part["open"] = False
                 if at >= 0 and k == len(groups) - 1:
+                    # its group may go on in the next batch
                     held = part.iloc[[at]].copy()
                     part = part.drop(part.index[at])
                 elif at >= 0:
                     part.iloc[at, part.columns.get_loc("open")] = True
-                yields.append(part)
-            out = pd.concat(yields)
-            out["node"] = node
-            yield out[_COLS]
+                done.append(part)
+            yield pd.concat(done)[_COLS]
         if held is not None:
-            held["open"], held["node"] = True, node
+            held["open"] = True
             yield held[_COLS]
 
     ship(rows.sparkSession)
-    done = rows.withColumn("__pid", F.spark_partition_id().cast("long")).mapInPandas(run, _KINDS)
-    if not root:
-        return done
-
-    # what is left at the root is decided by a number that depends only on the id and the seed
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**32)).cast("double") / float(2**32)
-    tossed = F.when(chance < F.col("p"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return done.withColumn("p", F.when(F.col("open"), tossed).otherwise(F.col("p"))).withColumn("open", F.lit(False))
+    return ordered.select(*_COLS).mapInPandas(run, _KINDS)
 
 
 def sized_records(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -185,17 +180,17 @@ def mix_sources(
     plan = spark.createDataFrame(
         [(s, int(math.floor(f + _EPS)), float(max(0.0, f - math.floor(f + _EPS)))) for s, f in takes.items()], "source string, base long, p double"
     )
-    open_rows = usable.join(F.broadcast(plan), "source").select("doc_id", "source", "n_tokens", "base", "p", F.lit(0).cast("long").alias("node"), F.lit(True).alias("open"))
-    first = open_rows.repartitionByRange("source", "n_tokens", F.xxhash64("doc_id")).sortWithinPartitions("source", "n_tokens", F.xxhash64("doc_id"), "doc_id")
-    one = checkpoint(_level(first, seed, root=False))
-    settled = [one.where(~F.col("open"))]
-    second = one.where("open").withColumn("node", F.floor(F.col("node") / 64).cast("long"))
-    two = checkpoint(_level(second.repartition("node").sortWithinPartitions("source", "n_tokens", "doc_id"), seed + 10, root=False))
-    settled.append(two.where(~F.col("open")))
-    # the root: what the nodes left, at most one record per source and node
-    last = two.where("open").repartition("source").sortWithinPartitions("source", "n_tokens", "doc_id")
-    settled.append(_level(last, seed + 20, root=True))
-    every = settled[0].unionByName(settled[1]).unionByName(settled[2])
+    open_rows = usable.join(F.broadcast(plan), "source").withColumn("cls", F.floor(F.log2("n_tokens") * 4).cast("long"))
+    # at most 256 classes of each target
+    sizes = open_rows.groupBy("source", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("long").alias("buckets"))
+    first = open_rows.join(F.broadcast(sizes), ["source", "cls"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets"))).withColumn("open", F.lit(True))
+    one = checkpoint(_level(first, ["source", "cls", "bucket"], seed))
+    two = checkpoint(_level(one.where("open"), ["source", "cls"], seed + 10))
+    three = _level(two.where("open"), ["source"], seed + 20)
+    # the one that is left of a source is decided by a number that depends only on its id and the seed
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed + 20)), F.lit(2**32)).cast("double") / float(2**32)
+    tossed = F.when(F.col("open"), F.when(chance < F.col("p"), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.col("p"))
+    every = one.where(~F.col("open")).unionByName(two.where(~F.col("open"))).unionByName(three.withColumn("p", tossed))
     return every.select("doc_id", "source", "n_tokens", (F.col("base") + F.round("p").cast("long")).alias("copies")).where(F.col("copies") > 0)
 
 

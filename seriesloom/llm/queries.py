@@ -102,6 +102,32 @@ o as (
 select group_id, field, response_id from o
 qualify row_number() over (partition by group_id, field order by full_n desc, recv desc, rank, response_id) = 1"""
 
+_OFFERS = _P4_FOUND[: _P4_FOUND.rindex("select group_id, field, response_id from o")].replace("rank, response_id from g", "rank, response_id, seen, {} from g").replace("coalesce(epoch_us(received_at), -9e18) as recv", "coalesce(epoch_us(received_at), -9e18) as recv, epoch_us(received_at) as seen")
+for _value in ("null::varchar as value", "path_expr", "cons_func", "xff::varchar"):
+    _OFFERS = _OFFERS.replace("{}", _value, 1)
+
+
+def _doubled(rounds: int) -> str:
+    """Strongest paths of up to 2**rounds steps, p0 being the votes that won."""
+    return ",".join(
+        f"""
+p{i + 1} as (select field, a, b, max(s) as s from (select * from p{i} union all select x.field, x.a, y.b, least(x.s, y.s) from p{i} x join p{i} y on x.field = y.field and x.b = y.a and x.a <> y.b) group by field, a, b)"""
+        for i in range(rounds)
+    )
+
+
+_P4_CURRENCY = f"""{_OFFERS},
+best as (select *, max(seen) over (partition by group_id, field, value) as last from o qualify row_number() over (partition by group_id, field, value order by full_n desc, recv desc, rank, response_id) = 1),
+alone as (select group_id, field, last, min(value) as value from best where last is not null and value is not null group by 1, 2, 3 having count(*) = 1),
+steps as (select field, value as a, lead(value) over (partition by group_id, field order by last) as b from alone),
+votes as (select field, a, b, count(*) as s from steps where b is not null group by all),
+p0 as (select x.field, x.a, x.b, x.s from votes x left join votes y on y.field = x.field and y.a = x.b and y.b = x.a where x.s > coalesce(y.s, 0)),{_doubled(6)},
+before as (select x.* from p6 x left join p6 y on y.field = x.field and y.a = x.b and y.b = x.a where x.s > coalesce(y.s, 0)),
+learned as (select x.group_id, x.field, x.value, max(k.s) as s from best x join before k on k.field = x.field and k.a = x.value join best y on y.group_id = x.group_id and y.field = x.field and y.value = k.b where x.last is null or y.last is null group by all),
+known as (select b.*, case when b.value is not null and last < max(last) over (partition by b.group_id, b.field) then 4611686018427387904 else coalesce(l.s, 0) end as against from best b left join learned l on l.group_id = b.group_id and l.field = b.field and l.value = b.value)
+select group_id, field, response_id from known
+qualify row_number() over (partition by group_id, field order by full_n desc, against, recv desc, rank, response_id) = 1"""
+
 
 #: Path nodes and tags of a name in one spelling.
 _PATH = f"array_to_string(list_filter(list_transform(string_split(string_split(trim(name, {_TRIM}), ';')[1], '.'), lambda x: trim(x)), lambda x: x <> ''), '.')"
@@ -114,4 +140,4 @@ select path_expr, day, count(*) as n, true as within from flat group by all unio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_within": _P5_WITHIN, "p4_found": _P4_FOUND, "p6_round_trip": "select doc_id, true as same from documents"}
+    return {"p4_currency": _P4_CURRENCY, "p5_within": _P5_WITHIN, "p4_found": _P4_FOUND, "p6_round_trip": "select doc_id, true as same from documents"}

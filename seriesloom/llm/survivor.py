@@ -1,23 +1,26 @@
 """The best representative of each group of duplicate responses (problem 4).
 
-Members of a group answer for one series and range. For each field the members
-that have it are put into a partial order of currency, and the survivor's value
-comes from a latest element of that order:
-
-* among dated members the one received later is later;
-* where the time is missing, precedence of values is learned: of dated members of
-  one group in order of time, each change of a field from a to b speaks for "b
-  follows a"; over all groups the more frequent direction holds. An undated
-  member whose value is known to be followed by another member's value is not
-  latest, and one whose value follows all dated ones is;
+Members of a group answer for one series and range. For each field the values that
+its members have are put into a partial order of currency, and the survivor's
+value is a topologically latest one:
+
+* of two dated values the one received later is later;
+* where a time is missing, precedence of values is learned. In each group the
+  dated values of a field, in order of the last time they were received, vote:
+  each change from a to b speaks for "b follows a". Over all groups these votes
+  make a graph, and a precedes b if the strongest path from a to b (its strength
+  is its weakest link) is stronger than the one back. This relation (Schulze's) is
+  transitive and has no cycles, whatever the votes;
 * `undated="earliest"` sets the place of undated members instead: before all dated ones.
 
-What the order leaves open is decided by completeness (for `vals`), the trust in
+A value that nothing follows is latest. Where times and learned precedence go round
+in a circle, the value is taken that the weakest evidence speaks against. What the
+order leaves open is decided by completeness (for `vals`), the time, the trust in
 the server, and the smallest response_id.
 
-Everything is a hash aggregate over (group, field) with partial aggregation
-before the exchange, so a group of any size is reduced where it is read; learned
-precedence is applied per distinct value of a group, never per pair of members.
+Everything is a hash aggregate over (group, field) with partial aggregation before
+the exchange, so a group of any size is reduced to its distinct values where it is
+read; these meet the learned pairs in joins, and no list of a group is made.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.responses import canonical_name, present
+from ..session import checkpoint
 
 FIELDS = ("vals", "path_expr", "cons_func", "xff")
 LEARNED = ("path_expr", "cons_func", "xff")
@@ -76,34 +80,60 @@ def _groups(m: DataFrame) -> DataFrame:
     return sizes.where(F.col("members") >= 2)
 
 
-def learn_precedence(m: DataFrame) -> DataFrame:
-    """`field, value, followers array<string>`: the values known to follow a value, over all groups.
+def value_votes(best: DataFrame) -> DataFrame:
+    """`field, a, b, votes long`: in how many groups b came next after a, from the last times of the values of each group."""
+    dated = best.where(F.col("last").isNotNull() & F.col("value").isNotNull()).select("group_id", "field", "value", "last")
+    # of values received at one time none comes after the other
+    alone = dated.groupBy("group_id", "field", "last").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("k")).where("k = 1")
+    w = Window.partitionBy("group_id", "field").orderBy("last")  # one row per distinct value of a group
+    steps = alone.select("field", F.col("value").alias("a"), F.lead("value").over(w).alias("b")).where(F.col("b").isNotNull())
+    return steps.groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
-    A transition is a change between neighbours in time; changes at one time
-    count for neither direction.
+
+def precedence(votes: DataFrame, rounds: int = 20) -> DataFrame:
+    """`field, a, b, strength`: which values precede which, by the strongest paths of votes.
+
+    Paths double in length each round until nothing gets stronger; a round is a
+    join of pairs of values, of which there are few next to rows.
     """
-    long = m.where(F.col("at").isNotNull()).select(
-        "name", "h0", "h1", "at",
-        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in LEARNED))).alias("x"),
-    ).select("name", "h0", "h1", "at", "x.field", "x.value").where(F.col("value").isNotNull())
-    # one row per value and time bounds what a window sees
-    once = long.groupBy("name", "h0", "h1", "field", "at").agg(F.min("value").alias("value"), F.count_distinct("value").alias("k")).where("k = 1")
-    w = Window.partitionBy("name", "h0", "h1", "field").orderBy("at")
-    steps = once.withColumn("after", F.lead("value").over(w)).where(F.col("after").isNotNull() & (F.col("after") != F.col("value")))
-    low, high = F.least("value", "after"), F.greatest("value", "after")
-    votes = steps.groupBy("field", low.alias("a"), high.alias("b")).agg(F.sum(F.when(F.col("value") < F.col("after"), 1).otherwise(-1)).alias("net"))
-    directed = votes.where("net <> 0").select(
-        "field", F.when(F.col("net") > 0, F.col("a")).otherwise(F.col("b")).alias("value"), F.when(F.col("net") > 0, F.col("b")).otherwise(F.col("a")).alias("after")
-    )
-    return directed.groupBy("field", "value").agg(F.collect_set("after").alias("followers"))
+    back = votes.select("field", F.col("a").alias("b"), F.col("b").alias("a"), F.col("votes").alias("against"))
+    won = votes.join(back, ["field", "a", "b"], "left").where(F.col("votes") > F.coalesce("against", F.lit(0)))
+    paths = checkpoint(won.select("field", "a", "b", F.col("votes").alias("strength")))
+    state = paths.agg(F.count(F.lit(1)), F.sum("strength")).first()
+    for _ in range(rounds):
+        on = paths.select("field", F.col("a").alias("m"), F.col("b").alias("c"), F.col("strength").alias("s2"))
+        longer = paths.withColumnRenamed("b", "m").join(on, ["field", "m"]).where(F.col("a") != F.col("c")).select("field", "a", F.col("c").alias("b"), F.least("strength", "s2").alias("strength"))
+        paths = checkpoint(paths.unionByName(longer).groupBy("field", "a", "b").agg(F.max("strength").alias("strength")))
+        now = paths.agg(F.count(F.lit(1)), F.sum("strength")).first()
+        if now == state:
+            break
+        state = now
+    back = paths.select("field", F.col("a").alias("b"), F.col("b").alias("a"), F.col("strength").alias("against"))
+    return paths.join(back, ["field", "a", "b"], "left").where(F.col("strength") > F.coalesce("against", F.lit(0))).select("field", "a", "b", "strength")
+
+
+_CERTAIN = 2**62
+
+
+def _evidence(best: DataFrame, order: DataFrame) -> DataFrame:
+    """Adds `against`: the strongest evidence that another value of the group is later; a later time is certain."""
+    keys = ["group_id", "field"]
+    # only where a time is missing and there are several values can learned precedence say anything
+    open_ = best.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.count("last").alias("dated"), F.max("last").alias("newest"))
+    mixed = open_.where((F.col("k") > 1) & (F.col("dated") < F.col("k"))).select(*keys)
+    asked = best.join(mixed, keys, "left_semi").select(*keys, "value", "last")
+    x = asked.withColumnRenamed("value", "a").join(order, ["field", "a"])
+    y = asked.select(*keys, F.col("value").alias("b"), F.col("last").alias("other"))
+    learned = x.join(y, [*keys, "b"]).where(F.col("last").isNull() | F.col("other").isNull()).groupBy(*keys, F.col("a").alias("value")).agg(F.max("strength").alias("learned"))
+    known = best.join(learned, [*keys, "value"], "left").join(open_.select(*keys, "newest"), keys, "left")
+    return known.withColumn("against", F.when(F.col("last") < F.col("newest"), F.lit(_CERTAIN)).otherwise(F.coalesce("learned", F.lit(0))))
 
 
 def choose(m: DataFrame, undated: str = "learned") -> DataFrame:
-    """`group_id, field, response_id`: the member each field is taken from."""
+    """`group_id, field, response_id, value`: the member each field is taken from, and its value as text (null for `vals`)."""
     if undated not in ("learned", "earliest"):
         raise ValueError("undated is 'learned' or 'earliest'")
-    groups = _groups(m)
-    g = m.join(groups, ["name", "h0", "h1"])
+    g = m.join(_groups(m), ["name", "h0", "h1"])
     # the larger, the later: time (undated first), then trust, then the smaller id; completeness goes before all for vals
     currency = F.struct(
         F.coalesce("at", F.lit(-(2**63) + 1)).alias("at"), (-F.col("rank")).alias("trust"), (-F.col("response_id")).alias("neg_id")
@@ -117,32 +147,12 @@ def choose(m: DataFrame, undated: str = "learned") -> DataFrame:
         each.groupBy("group_id", F.col("o.field").alias("field"), F.col("o.value").alias("value"))
         .agg(F.max(F.struct(F.col("o.full"), F.col("key"))).alias("top"), F.max("at").alias("last"))
     )
+    against = F.lit(0)
     if undated == "learned":
-        w = Window.partitionBy("group_id", "field")
-        graph = best.join(learn_precedence(m), ["field", "value"], "left").withColumn("around", F.collect_list(F.struct("value", "last", "followers")).over(w))
-        # followed: another value of the group is known to come after this undated one, or an undated one after this
-        followed = F.exists(
-            "around",
-            lambda y: F.coalesce(
-                (y["value"] != F.col("value"))
-                & (F.col("last").isNull() | y["last"].isNull())
-                & F.array_contains(F.coalesce(F.col("followers"), F.array().cast("array<string>")), y["value"]),
-                F.lit(False),
-            ),
-        )
-        # an undated value that follows the latest dated one counts as later than it
-        newest = F.max("last").over(w)
-        best = graph.withColumn("maximal", ~followed).withColumn("newest", newest)
-        leads = F.col("last").isNull() & F.exists(
-            "around",
-            lambda y: F.coalesce((y["last"] == F.col("newest")) & F.array_contains(y["followers"], F.col("value")), F.lit(False)),
-        )
-        best = best.withColumn("order", F.struct(F.col("top.full"), F.col("maximal"), leads.alias("leads"), F.col("top.key")))
-    else:
-        best = best.withColumn("order", F.struct(F.col("top.full"), F.col("top.key")))
-    return best.groupBy("group_id", "field").agg(F.max("order").alias("order")).select(
-        "group_id", "field", (-F.col("order.key.neg_id")).alias("response_id")
-    )
+        best = checkpoint(best)
+        best, against = _evidence(best, precedence(value_votes(best))), -F.col("against")
+    picked = best.groupBy("group_id", "field").agg(F.max(F.struct(F.col("top.full"), against.cast("long").alias("for"), F.col("top.key"), F.col("value"))).alias("order"))
+    return picked.select("group_id", "field", (-F.col("order.key.neg_id")).alias("response_id"), F.col("order.value").alias("value"))
 
 
 def survivors(responses: DataFrame, servers: DataFrame, undated: str = "learned") -> DataFrame:
@@ -157,7 +167,7 @@ def survivors(responses: DataFrame, servers: DataFrame, undated: str = "learned"
     unknown or null servers are trusted least; NaN counts as null. A repeated
     response_id counts as one member more.
     """
-    return choose(members(responses, servers), undated)
+    return choose(members(responses, servers), undated).drop("value")
 
 
 def surviving_records(responses: DataFrame, servers: DataFrame, undated: str = "learned") -> DataFrame:
@@ -166,15 +176,13 @@ def surviving_records(responses: DataFrame, servers: DataFrame, undated: str = "
     `start`, `stop` and `step` are those of the member the values come from, or
     of the group's first member where no member has a value.
     """
-    m = members(responses, servers)
-    picked = choose(m, undated)
-    wide = picked.groupBy("group_id").agg(*(F.max(F.when(F.col("field") == f, F.col("response_id"))).alias(f"{f}_id") for f in FIELDS))
-    slim = responses.select("response_id", "name", "start", "stop", "step", "vals", "path_expr", "cons_func", "xff").dropDuplicates(["response_id"])
-    out = wide.withColumn("frame_id", F.coalesce("vals_id", "group_id")).join(
-        slim.select(F.col("response_id").alias("frame_id"), canonical_name("name").alias("name"), "start", "stop", "step", F.col("vals").alias("__vals")), "frame_id"
-    )
-    out = out.withColumn("vals", F.when(F.col("vals_id").isNotNull(), F.col("__vals")))
-    # the other fields are small: each is met by the id it was taken from
-    for f in LEARNED:
-        out = out.join(slim.select(F.col("response_id").alias(f"{f}_id"), F.col(f)), f"{f}_id", "left")
-    return out.select("group_id", "name", "start", "stop", "step", "vals", *LEARNED)
+    picked = choose(members(responses, servers), undated)
+    values = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in LEARNED]
+    wide = picked.groupBy("group_id").agg(F.max(F.when(F.col("field") == "vals", F.col("response_id"))).alias("vals_id"), *values)
+    wide = wide.withColumn("response_id", F.coalesce("vals_id", "group_id"))
+    # only the picked responses' values are moved
+    frames = responses.select("response_id", canonical_name("name").alias("name"), "start", "stop", "step", "vals").join(wide, "response_id").dropDuplicates(["group_id"])
+    return frames.select(
+        "group_id", "name", "start", "stop", "step", F.when(F.col("vals_id").isNotNull(), F.col("vals")).alias("vals"),
+        *(F.col(f).cast("double" if f == "xff" else "string").alias(f) for f in LEARNED),
+    )
