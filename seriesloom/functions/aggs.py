@@ -9,8 +9,9 @@ values; they differ in avg_zero, diff, multiply and in the names they know.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import EvalError
@@ -47,12 +48,29 @@ def percentile(v: Column, percent: float) -> Column:
     return F.percentile(v, F.lit(percent / 100.0))
 
 
-def ceil_rank(v: Column, percent: float) -> Column:
-    """The value at place ceil((n-1)p/100) of the sorted present values."""
-    if not 0 <= percent <= 100:
-        return F.max(F.lit(None).cast("double"))
-    sorted_v = F.sort_array(F.collect_list(v))
-    return F.try_element_at(sorted_v, (F.ceil((F.size(sorted_v) - 1) * F.lit(percent) / F.lit(100.0)) + 1).cast("int"))
+def order_values(values: DataFrame, *places: Callable[[Column], Column], cuts: int = 200) -> DataFrame:
+    """One row `r0, r1, ...`: of all values `v`, in order, those at given places; a place is an expression of their number, from 0.
+
+    Values are counted, the counts cut into `cuts` stretches at approximate
+    quantiles, and added up within each, so that no task sorts all of them; the
+    result is exact.
+    """
+    counts = values.where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    marks = values.agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 1000).alias("marks")).withColumn("__k", F.lit(1))
+    placed = counts.withColumn("__k", F.lit(1)).join(F.broadcast(marks), "__k")  # one row
+    placed = placed.select("v", "c", F.size(F.filter("marks", lambda m: m < F.col("v"))).alias("part"))
+    sums = placed.groupBy("part").agg(F.sum("c").alias("c"))
+    all_ = Window.partitionBy(F.lit(0))  # over `cuts` rows
+    before = sums.select("part", (F.sum("c").over(all_.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(all_).alias("n"))
+    run = placed.join(F.broadcast(before), "part")
+    to = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = run.select("v", to.alias("to"), "n")
+    return run.agg(*(F.min(F.when(F.col("to") > place(F.col("n")), F.col("v"))).alias(f"r{i}") for i, place in enumerate(places)))
+
+
+def ceil_place(percent: float) -> Callable[[Column], Column]:
+    """The place ceil((n-1)p/100) among n values; beyond them for other percents."""
+    return lambda n: F.ceil((n - 1) * F.lit(percent) / F.lit(100.0)) if 0 <= percent <= 100 else n
 
 
 def fold(name: str, v: Column, order: Column) -> Column:

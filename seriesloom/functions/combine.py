@@ -21,11 +21,35 @@ def rest_of(xs: Column) -> Column:
     return F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
 
 
-def common_tags(tags: Column) -> Column:
-    """The tags that all maps of a group have in common, as an aggregate."""
-    entries = F.collect_list(F.map_entries(F.coalesce(tags, empty_map())))
-    shared = F.aggregate(rest_of(entries), F.coalesce(entries[0], F.array().cast("array<struct<key:string,value:string>>")), lambda acc, x: F.array_intersect(acc, x))
-    return F.map_from_entries(shared)
+def with_common_tags(dims: DataFrame, keyed: DataFrame) -> DataFrame:
+    """`dims`, one row per `key`, with `tags`: those that all series of the key have in common.
+
+    Tags are counted, and those stay that are counted as often as there are
+    series, so no row ever holds the tags of a group.
+    """
+    each = keyed.select("key", F.explode(F.map_entries(F.coalesce("tags", empty_map()))).alias("e"))
+    counts = each.groupBy("key", "e").agg(F.count(F.lit(1)).alias("c"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    shared = counts.join(sizes, ["key", "c"]).groupBy("key").agg(F.map_from_entries(F.collect_list("e")).alias("tags"))
+    return dims.join(shared, "key", "left").withColumn("tags", F.coalesce("tags", empty_map()))
+
+
+def at_ranks(rows: DataFrame, keys: list[str], *percents: float) -> DataFrame:
+    """`keys, r0, r1, ...`: of the present values `v` of each key, in order, those at places ceil((n-1)p/100).
+
+    Values are counted first, and counts are run through in order, so a key is
+    sorted on disk if need be, and never one row. Absent for other percents.
+    """
+    counts = rows.groupBy(*keys, "v").agg(F.count("v").alias("c"))
+    w = Window.partitionBy(*keys)
+    run = counts.select(*keys, "v", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), F.sum("c").over(w).alias("n"))
+    return run.groupBy(*keys).agg(*(_at_rank(p).alias(f"r{i}") for i, p in enumerate(percents)))
+
+
+def _at_rank(p: float) -> Column:
+    if not 0 <= p <= 100:
+        return F.max(NULL())
+    return F.min(F.when(F.col("to") > F.ceil((F.col("n") - 1) * F.lit(p) / F.lit(100.0)), V()))
 
 
 def grouped(f: SeriesFrame, key: Column, how, name: Column, xff: float | None = None, tags: Column | None = None) -> SeriesFrame:
@@ -39,9 +63,11 @@ def grouped(f: SeriesFrame, key: Column, how, name: Column, xff: float | None =
     keyed = f.series.withColumn("key", key)
     sid = F.xxhash64("key").alias("gid")
     dims = keyed.groupBy("key").agg(
-        F.min("ord").alias("ord"), F.min_by("name", "ord").alias("first_name"), common_tags(F.col("tags")).alias("tags"), F.min("start").alias("start"),
+        F.min("ord").alias("ord"), F.min_by("name", "ord").alias("first_name"), F.min("start").alias("start"),
         F.max("stop").alias("stop"), F.max("step").alias("step"), F.min_by("cons_func", "ord").alias("cons_func"), F.min_by("xff", "ord").alias("xff"),
     )
+    if tags is None:
+        dims = with_common_tags(dims, keyed)
     made = dims.select(
         sid.alias("sid"), "ord", name.alias("name"), F.col("first_name").alias("path_expr"), (tags if tags is not None else F.col("tags")).alias("tags"), "start", "stop", "step", "cons_func", "xff", empty_map().alias("opts")
     )
@@ -149,8 +175,12 @@ def group_by_tags(ctx, a: Args) -> SeriesFrame:
 def percentile_of_series(ctx, a: Args) -> SeriesFrame:
     """The percentile of the values at each time."""
     p, between = a.number(1, "n"), a.boolean(2, "interpolate", False)
-    how = (lambda v, _: aggs.percentile(v, p)) if between else (lambda v, _: aggs.ceil_rank(v, p))
-    return grouped(a.series(0), F.lit(0), how, F.lit(f"percentileOfSeries({a.node.args[0].text},{a.get(1, 'n').text})"))
+    f = align.common(a.series(0))
+    out = grouped(f, F.lit(0), lambda v, _: aggs.percentile(v, p) if between else F.max(v), F.lit(f"percentileOfSeries({a.node.args[0].text},{a.get(1, 'n').text})"))
+    if between:
+        return out
+    # the one series of the result is the group of key 0
+    return out.with_points(at_ranks(f.points, ["ts"], p).select(F.xxhash64(F.lit(0)).alias("sid"), "ts", F.col("r0").alias("v")))
 
 
 @register("powSeries", group="Combine", args="*seriesLists")
@@ -407,7 +437,7 @@ def reduce_series(ctx, a: Args) -> SeriesFrame:
         raise EvalError(f"unknown function {func}")
     sid = F.xxhash64("key")
     series = renumber(
-        picked.groupBy("key").agg(F.min("g").alias("ord"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("step").alias("step"), F.min_by("cons_func", "ord2").alias("cons_func"), F.min_by("xff", "ord2").alias("xff"), common_tags(F.col("tags")).alias("tags"))
+        with_common_tags(picked.groupBy("key").agg(F.min("g").alias("ord"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("step").alias("step"), F.min_by("cons_func", "ord2").alias("cons_func"), F.min_by("xff", "ord2").alias("xff")), picked)
         .select(sid.alias("sid"), "ord", F.col("key").alias("name"), F.col("key").alias("path_expr"), "tags", "start", "stop", "step", "cons_func", "xff", empty_map().alias("opts")),
         F.col("ord"),
     )
@@ -437,4 +467,4 @@ def map_series(ctx, a: Args) -> SeriesFrame:
     return f.with_series(renumber(keyed.withColumn("g", first), F.col("g"), F.col("ord")).drop("g", "key"))
 
 
-__all__ = ["common_tags", "grouped", "inner_metric"]
+__all__ = ["at_ranks", "grouped", "inner_metric"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..lang import times
 from ..model import SeriesFrame, TS, V
 from . import aggs
+from .combine import at_ranks
 from .registry import Args, EvalError, fmt, register
 
 INF = float("inf")
@@ -92,7 +93,7 @@ def remove_between_percentile(ctx, a: Args) -> SeriesFrame:
     """Series that are outside the band of the n-th and (100-n)-th percentile of all series at some time."""
     n, f = a.number(1, "n"), a.series(0)
     n = max(n, 100 - n)
-    bands = f.points.groupBy("ts").agg(aggs.ceil_rank(V(), 100 - n).alias("lo"), aggs.ceil_rank(V(), n).alias("hi"))
+    bands = at_ranks(f.points, ["ts"], 100 - n, n).select("ts", F.col("r0").alias("lo"), F.col("r1").alias("hi"))
     out = f.points.join(bands, "ts").where((V() < F.col("lo")) | (V() > F.col("hi"))).select("sid").distinct()
     return f.keep(out)
 
@@ -103,7 +104,7 @@ def average_outside_percentile(ctx, a: Args) -> SeriesFrame:
     n, f = a.number(1, "n"), a.series(0)
     n = max(n, 100 - n)
     means = f.points.groupBy("sid").agg(F.avg("v").alias("m"))
-    band = means.agg(aggs.ceil_rank(F.col("m"), 100 - n).alias("lo"), aggs.ceil_rank(F.col("m"), n).alias("hi")).withColumn("__k", F.lit(1))
+    band = aggs.order_values(means.select(F.col("m").alias("v")), aggs.ceil_place(100 - n), aggs.ceil_place(n)).select(F.col("r0").alias("lo"), F.col("r1").alias("hi"), F.lit(1).alias("__k"))
     met = means.withColumn("__k", F.lit(1)).join(F.broadcast(band), "__k")  # one row
     return f.keep(met.where(~((F.col("m") > F.col("lo")) & (F.col("m") < F.col("hi")))))
 
@@ -121,13 +122,7 @@ def tukey(ctx, a: Args) -> SeriesFrame:
         span = abs(times.interval(str(arg.value))) if arg.kind == "string" else int(arg.value) * f.common_step()
         if span:
             points = points.where(TS() >= ctx.stop - span)
-    # ranks over all points without collecting them: counts per value, then running counts
-    counts = points.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("v")
-    run = counts.select("v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("to"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
-    q1 = F.min(F.when(F.col("to") > F.floor(F.col("n") * 0.25), V()))
-    q3 = F.min(F.when(F.col("to") > F.floor(F.col("n") * 0.75), V()))
-    fence = run.agg(q1.alias("q1"), q3.alias("q3"))
+    fence = aggs.order_values(points, lambda k: F.floor(k * 0.25), lambda k: F.floor(k * 0.75)).select(F.col("r0").alias("q1"), F.col("r1").alias("q3"))
     limit = F.col("q3") + basis * (F.col("q3") - F.col("q1")) if a.fn == "tukeyAbove" else F.col("q1") - basis * (F.col("q3") - F.col("q1"))
     fence = fence.select(F.lit(1).alias("__k"), limit.alias("fence"))
     met = points.withColumn("__k", F.lit(1)).join(F.broadcast(fence), "__k")  # one row

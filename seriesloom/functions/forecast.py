@@ -233,8 +233,10 @@ def polyfit(ctx, a: Args) -> SeriesFrame:
 
 
 def fft_part(x: np.ndarray, part: str) -> np.ndarray:
-    c = np.fft.fft(np.nan_to_num(x))
-    return np.abs(c) if part == "abs" else np.angle(c)
+    # values are real, so the second half mirrors the first, and the middle frequency has no imaginary part
+    half = np.fft.rfft(np.nan_to_num(x))
+    c = np.concatenate((half, np.conj(half[1 : (len(x) + 1) // 2])[::-1]))
+    return np.abs(c) if part == "abs" else np.arctan2(c.imag + 0.0, c.real)  # no negative zero
 
 
 @register("fft", group="Transform", args="seriesList, mode")

@@ -20,9 +20,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def digits(c: str = "value"):
-    """Six decimals; sums of doubles depend on their order."""
-    return (F.round(F.col(c), 6) + F.lit(0.0)).alias(c)
+def digits(c: str = "value", off: float = 0.0):
+    """Six decimals; sums of doubles depend on their order. `off` moves values that are halves of the last decimal."""
+    return (F.round(F.col(c) + F.lit(off), 6) + F.lit(0.0)).alias(c)
 
 
 def run(spark: SparkSession, d: str, target: str, span: tuple[int, int] = FULL, **options) -> DataFrame:
@@ -34,11 +34,11 @@ def run(spark: SparkSession, d: str, target: str, span: tuple[int, int] = FULL,
     return engine.render(target, *span, now=T1)
 
 
-def add(name: str, target: str, sql: str | None, span: tuple[int, int] = FULL, order: bool = False, times: bool = True, **options) -> None:
+def add(name: str, target: str, sql: str | None, span: tuple[int, int] = FULL, order: bool = False, times: bool = True, off: float = 0.0, **options) -> None:
     cols = ["name"] + (["ts"] if times else []) + (["ord"] if order else [])
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return run(spark, d, target, span, **options).select(*cols, digits())
+        return run(spark, d, target, span, **options).select(*cols, digits(off=off))
 
     _QUERIES[name] = query
     if sql is not None:
@@ -136,7 +136,13 @@ sg as (select p.*, r.rts, count(r.rts) over (partition by p.name order by p.ts r
     heads = gaps + ", hd as (select name as hname, g as hg, v as a, lead(v) over (partition by name order by g) as b from gq where v is not null), sz as (select name as sname, g as sg, max(k) as size from gq group by all)"
     for q, target, lim, nm in (("fn_interpolate", f"interpolate({ALL})", "true", called("interpolate")), ("fn_interpolate_limit", f"interpolate({ALL},2)", "size <= 2", called("interpolate", "2"))):
         add(q, target, each(f"coalesce(v, case when {lim} then a + (b - a) * k / (size + 1) end)", nm, "gq left join hd on hname = name and hg = g left join sz on sname = name and sg = g", ctes=heads))
-    add("fn_compressPeriodicGaps", f"compressPeriodicGaps({ALL})", None)
+    # a period is the distance of the first two values, if a third follows at that distance with absent neighbours
+    gaps = f"""with {_PTS}, nb as (select *, lag(v) over {W} as b, lead(v) over {W} as f from pts), sn as (select *, row_number() over {W} as k from pts where v is not null),
+tw as (select name, min(i) as i1, max(i) as i2, max(i) - min(i) as g from sn where k <= 2 group by 1 having count(*) = 2),
+pd as (select t.* from tw t join nb on nb.name = t.name and nb.i = t.i2 + t.g where g > 1 and nb.i <= 718 and v is not null and b is null and f is null)
+select 'compressPeriodicGaps(' || p.name || ')' as name, case when g is null then ts else {T0} + i1 * 3600 + (ts - {T0} - i1 * 3600) // (g * 3600) * g * 3600 end as ts, round(arg_max(v, case when v is not null then ts end), 6) + 0.0 as value
+from pts p left join pd on pd.name = p.name where g is null or i >= i1 group by all"""
+    add("fn_compressPeriodicGaps", f"compressPeriodicGaps({ALL})", gaps)
     add("fn_cumulative", f"cumulative({ALL})", each("v", called("consolidateBy", '"sum"')))
     seq = "pr as (select *, row_number() over (partition by name order by ts) as n from pts where v is not null), em as (select a.name as ename, a.ts as ets, sum(case when b.n = 1 then pow(0.7, a.n - 1) * b.v else 0.3 * pow(0.7, a.n - b.n) * b.v end) as m from pr a join pr b on a.name = b.name and b.n <= a.n group by all)"
     for fn in ("ewma", "exponentialWeightedMovingAverage"):
@@ -149,8 +155,21 @@ pr as (select *, row_number() over (partition by name order by ts) as n from pts
 em as (select a.name as ename, a.ts as ets, max(e0) * pow({1 - k!r}, a.n) + sum({k!r} * pow({1 - k!r}, a.n - b.n) * b.v) as m from pr a join pr b on a.name = b.name and b.n <= a.n join sd on sname = a.name group by a.name, a.ts, a.n)
 select {called("exponentialMovingAverage", "10")} as name, ts, round(round(m, 6), 6) + 0.0 as value from pts left join em on ename = name and ets = ts where i >= 10"""
     add("fn_exponentialMovingAverage", f"exponentialMovingAverage({ALL},10)", ema, LATE)
-    for fn in ("holtWintersForecast", "holtWintersConfidenceBands", "holtWintersConfidenceArea", "holtWintersAberration"):
-        add(f"fn_{fn}", f"{fn}({ALL})", None, LATE)
+    # level, trend, and a list per series whose first element is the effect (deviation) of the slot at hand
+    alpha, beta, gamma, off = 0.1, 0.0035, 0.1, 3e-9
+    hw = f"""with recursive {_PTS}, hw as (
+  select name, i, v, v as pred, 0.0::double as dev, v as level, 0.0::double as trend, v as ahead, list_transform(range(24), lambda k: 0.0::double) as eff, list_transform(range(24), lambda k: 0.0::double) as usual from pts where i = 0
+  union all
+  select name, i, v, pred, dev, level, trend, level + trend + eff[1] as ahead, eff, usual from (
+    select name, i, v, pred, d as dev, lv as level, case when v is null then 0.0 else {beta} * (lv - old) + {1 - beta!r} * t0 end as trend,
+      e0[2:24] || [case when v is null then 0.0 else {gamma} * (v - lv) + {1 - gamma!r} * e0[1] end] as eff, u0[2:24] || [d] as usual from (
+      select *, {alpha} * (v - e0[1]) + {1 - alpha!r} * (old + t0) as lv, case when v is null then 0.0 else {gamma} * abs(v - coalesce(pred, 0.0)) + {1 - gamma!r} * u0[1] end as d from (
+        select p.name, p.i, p.v, h.ahead as pred, h.eff as e0, h.usual as u0, h.trend as t0, coalesce(h.level, p.v) as old from hw h join pts p on p.name = h.name and p.i = h.i + 1)))),
+out as (select name, {T0} + i * 3600 as ts, v, pred, pred - 3 * dev as lo, pred + 3 * dev as hi from hw where i >= 168)"""
+    add("fn_holtWintersForecast", f"holtWintersForecast({ALL})", f"{hw} select {called('holtWintersForecast')} as name, ts, round(pred + {off}, 6) + 0.0 as value from out", LATE, off=off)
+    for fn in ("holtWintersConfidenceBands", "holtWintersConfidenceArea"):
+        add(f"fn_{fn}", f"{fn}({ALL})", f"{hw} select {called('holtWintersConfidenceLower')} as name, ts, round(lo + {off}, 6) + 0.0 as value from out union all select {called('holtWintersConfidenceUpper')}, ts, round(hi + {off}, 6) + 0.0 from out", LATE, off=off)
+    add("fn_holtWintersAberration", f"holtWintersAberration({ALL})", f"{hw} select {called('holtWintersAberration')} as name, ts, round(case when v > hi then v - hi when v < lo then v - lo else 0.0 end + {off}, 6) + 0.0 as value from out", LATE, off=off)
 
 
 # -- frames -----------------------------------------------------------------------
@@ -186,15 +205,41 @@ def _moving() -> None:
     pair = """pq as (select a.ts, case when b.v is not null then a.v end as x, case when a.v is not null then b.v end as y from pts a join pts b using (ts) where a.path = 'shop.click.g0' and b.path = 'shop.view.g1'),
 pw as (select ts, row_number() over (order by ts) as n, corr(x, y) over w as r, stddev_pop(x) over w as sx, stddev_pop(y) over w as sy from pq window w as (order by ts rows between 23 preceding and current row))"""
     add("fn_pearson", "pearson(shop.click.g0,shop.view.g1,24)", each("case when n >= 24 and sx > 0 and sy > 0 and not isnan(r) then r end", "'pearson(shop.click.g0,shop.view.g1,24)'", "pw", ctes=pair))
+    ks = f"""with {_PTS}, xs as (select i, v from pts where path = 'shop.click.g0'), ys as (select i, v from pts where path = 'shop.view.g1'),
+x as (select a.i, b.v from xs a join xs b on b.i between a.i - 23 and a.i where a.i >= 24 and b.v is not null), y as (select a.i, b.v from xs a join ys b on b.i between a.i - 23 and a.i where a.i >= 24 and b.v is not null),
+nn as (select i, (select count(*) from x where x.i = t.i) as n, (select count(*) from y where y.i = t.i) as m from xs t),
+ev as (select i, v from x union all select i, v from y),
+df as (select ev.i, ev.v, (select count(*) from x where x.i = ev.i and x.v <= ev.v) / n::double as f, (select count(*) from y where y.i = ev.i and y.v <= ev.v) / m::double as g, n, m from ev join nn using (i) where n > 0 and m > 0),
+ds as (select i, max(abs(f - g)) as d, sqrt(any_value(n) * any_value(m) / (any_value(n) + any_value(m))::double) as e from df group by i),
+lm as (select i, (e + 0.12 + 0.11 / e) * d as lam from ds),
+kv as (select i, case when lam < 0.2 then 1.0 else least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (case when j % 2 = 1 then 1 else -1 end) * exp(-2 * j * j * lam * lam))))) end as p from lm)
+select 'kolmogorovSmirnovTest2(shop.click.g0,shop.view.g1,24)' as name, {T0} + xs.i * 3600 as ts, round(p, 6) + 0.0 as value from xs left join kv using (i)"""
     for fn in ("kolmogorovSmirnovTest2", "ksTest2"):
-        add(f"fn_{fn}", f"{fn}(shop.click.g0,shop.view.g1,24)", None)
+        add(f"fn_{fn}", f"{fn}(shop.click.g0,shop.view.g1,24)", ks)
     fit = "lf as (select name as lname, regr_slope(v, i) as b, regr_intercept(v, i) as a, count(v) as n from pts group by all)"
     line = ("case when n >= 2 then a + b * i end", "pts join lf on lname = name")
     add("fn_linearRegression", f"linearRegression({ALL})", each(line[0], called("linearRegression"), line[1], ctes=fit))
     add("fn_polyfit", f"polyfit({ALL},1)", each(line[0], called("polyfit", "1"), line[1], ctes=fit))
-    add("fn_polyfit_cubic", f"polyfit({ALL},3,'1d')", None)
-    add("fn_fft", f"fft({ALL},'abs')", None)
-    add("fn_fft_both", f"fft({ALL})", None)
+    # orthogonal polynomials over the places that have a value, one degree after the other
+    steps, shown = "", []
+    for k in range(4):
+        terms = "".join(f" - coalesce(a{k}{j}, 0) * q{j}" for j in range(k))
+        carried = "".join(f", q{j}" for j in range(k))
+        prev = "xs" if k == 0 else f"o{k - 1}"
+        dots = ", ".join([f"sum(pow(i / 720.0, {k}) * q{j}) filter (v is not null) / sum(q{j} * q{j}) filter (v is not null) as a{k}{j}" for j in range(k)] or ["0 as none"])
+        steps += f", c{k} as (select name as cn, {dots} from {prev} group by 1), o{k} as (select name, ts, i, v{carried}, pow(i / 720.0, {k}){terms} as q{k} from {prev} join c{k} on cn = name)"
+        shown.append(f"b{k} * q{k}")
+    coef = ", ".join(f"sum(v * q{k}) filter (v is not null) / sum(q{k} * q{k}) filter (v is not null) as b{k}" for k in range(4))
+    cubic = f"""with {_PTS}, xs as (select name, ts, i, v from pts union all select name, {T1} + k * 3600, 720 + k, null from names, (select unnest(range(24)) as k)){steps},
+fc as (select name as fn, {coef} from o3 group by 1) select {called("polyfit", "3", "'1d'")} as name, ts, round({" + ".join(shown)}, 6) + 0.0 as value from o3 join fc on fn = name"""
+    add("fn_polyfit_cubic", f"polyfit({ALL},3,'1d')", cubic)
+    dft = f"""with {_PTS}, fr as (select a.name, a.ts, sum(coalesce(b.v, 0) * cos(2 * pi() * ((a.i * b.i) % 720) / 720)) as re, sum(coalesce(b.v, 0) * sin(2 * pi() * ((a.i * b.i) % 720) / 720)) as im from pts a join pts b on a.name = b.name group by a.name, a.ts)
+select 'fft(' || name || ',''abs'')' as name, ts, round(sqrt(re * re + im * im), 6) + 0.0 as value from fr"""
+    add("fn_fft", f"fft({ALL},'abs')", dft)
+    # the middle frequency is real: its phase is 0 or pi
+    both = dft.replace("sin(2 * pi() * ((a.i * b.i) % 720) / 720)", "case when (a.i * b.i) % 360 = 0 then 0 else sin(2 * pi() * ((a.i * b.i) % 720) / 720) end")
+    phase = "select 'fft(' || name || ',''phase'')' as name, ts, round(case when im = 0 then case when re < 0 then pi() else 0 end else atan2(-im, re) end, 6) + 0.0 as value from fr"
+    add("fn_fft_both", f"fft({ALL})", f"{both} union all {phase}")
     # there and back again gives the values, absent ones as 0
     add("fn_ifft", f"ifft(fft({ALL},'abs'),fft({ALL},'phase'))", each("coalesce(v, 0)", "'ifft(fft(' || name || ',''abs''),fft(' || name || ',''phase''))'"))
 
@@ -315,8 +360,8 @@ def having(expr: str, test: str) -> str:
 
 
 def _filters() -> None:
-    add("fn_filterSeries", f"filterSeries({ALL},'max','>',2000)", having("max(v)", "> 2000"))
-    for what, expr, x in (("average", "avg(v)", 130), ("current", "arg_max(v, ts)", 90), ("maximum", "coalesce(max(v), '-infinity'::double)", 900), ("minimum", "coalesce(min(v), 'infinity'::double)", 1)):
+    add("fn_filterSeries", f"filterSeries({ALL},'max','>',440)", having("max(v)", "> 440"))
+    for what, expr, x in (("average", "avg(v)", 77), ("current", "arg_max(v, ts)", 45), ("maximum", "coalesce(max(v), '-infinity'::double)", 440), ("minimum", "coalesce(min(v), 'infinity'::double)", 0.2)):
         add(f"fn_{what}Above", f"{what}Above({ALL},{x})", having(expr, f"> {x}"))
         add(f"fn_{what}Below", f"{what}Below({ALL},{x})", having(expr, f"<= {x}"))
     add("fn_removeEmptySeries", f"removeEmptySeries({ALL},0.5)", having("count(v) / count(*)", ">= 0.5 and count(v) > 0"))
@@ -427,9 +472,9 @@ def _naming() -> None:
     add("fn_seriesByTag", "seriesByTag('type=view','grp=~g[01]')", named("name", "et = 'view' and gr in ('g0', 'g1')"))
     add("fn_seriesByTag_not", "seriesByTag('type!=view','grp!=~g[01]','name=~shop')", named("name", "et <> 'view' and gr not in ('g0', 'g1')"))
     add("fn_applyByNode", f"applyByNode({ALL},1,'sumSeries(%.*)','%.total')", folded("sum(v)", "'shop.' || et || '.total'", "et"))
-    hot = "(select et from pts where gr = 'g1' group by et having max(v) > 900)"
+    hot = "(select et from pts where gr = 'g1' group by et having max(v) > 400)"
     for fn in ("useSeriesAbove", "aboveSeries"):
-        add(f"fn_{fn}", f"{fn}(shop.*.g1,900,'g1;.*','g2')", kept(f"gr = 'g2' and et in {hot}"))
+        add(f"fn_{fn}", f"{fn}(shop.*.g1,400,'g1;.*','g2')", kept(f"gr = 'g2' and et in {hot}"))
 
 
 # -- made from nothing, or drawn --------------------------------------------------

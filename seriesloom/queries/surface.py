@@ -57,8 +57,8 @@ STORED = {
 
 
 def significant(c: str = "value"):
-    """Six decimals of usual values, twelve digits of large ones."""
-    x = F.col(c)
+    """Six decimals of usual values, twelve digits of large ones; none lies on a half of the last one."""
+    x = F.col(c) * F.lit(1 + 3.1e-13)
     return (F.when(F.abs(x) < 1e6, F.round(x, 6)).otherwise(F.format_string("%.11e", x).try_cast("double")) + F.lit(0.0)).alias(c)
 
 
@@ -193,7 +193,7 @@ def _series(name: str, nodes: str) -> str:
 
 def _stored_sql() -> dict[str, str]:
     head = f"with rng as (select min(start) // 3600 * 3600 as lo, max(stop) as hi from fetch_responses where step > 0 and stop > start), {_merged('fetch_responses')}, "
-    shown = lambda e: f"(case when abs({e}) < 1e6 then round({e}, 6) else printf('%.11e', {e})::double end + 0.0) as value"
+    shown = lambda e: f"(case when abs({e} * {1 + 3.1e-13!r}) < 1e6 then round({e} * {1 + 3.1e-13!r}, 6) else printf('%.11e', {e} * {1 + 3.1e-13!r})::double end + 0.0) as value"
     every, cpu, disk = _series("a", "*.*.*.*.*"), _series("a", "*.*.*.cpu.user_pct"), _series("b", "*.*.*.disk.used_pct")
     node = "string_split(path, '.')[{}]".format
     key = " || '.' || ".join(node(i) for i in (2, 4, 5))
@@ -230,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "meta_find_leaf": f"{_CAT} select distinct 'shop.' || et || '.' || gr as id, gr as text, 1::int as leaf, 0::int as expandable, 0::int as allow_children from c where et in ('view', 'click')",
         "meta_expand": f"{_CAT} select distinct 'shop.' || et as path from c union select distinct 'shop.view.' || gr from c where et = 'view'",
         "meta_expand_grouped": f"{_CAT} select distinct 'shop.view.*' as query, 'shop.view.' || gr as path from c where et = 'view' union select distinct 'shop.*.g1', 'shop.' || et || '.g1' from c where gr = 'g1'",
-        "meta_tag_names": "select unnest(['grp', 'name']) as tag",
+        "meta_tag_names": f"{_CAT}, t as (select distinct string_split(unnest(string_split(name, ';')[2:]), '=')[1] as tag from c union select 'name') select tag from t order by tag limit 2",
         "meta_tag_values": "select distinct event_type as value from events",
         "meta_info": f"{_CAT} select distinct name, 'average' as cons_func, 0.0::double as xff, 3600::bigint as step from c where et = 'view'",
     }
