@@ -6,14 +6,20 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
+
 from ..lang import times
-from ..lang.parser import Node
+from ..lang.parser import Node, ParseError
 
 
 class EvalError(ValueError):
     """A call that cannot be planned: unknown function, missing or bad argument."""
 
 
+#: What a target can fail with before anything runs: a call, its text, or a source that cannot be read.
+FAILURES = (EvalError, ParseError, PySparkException, OSError)
+
+
 @dataclass(frozen=True)
 class Function:
     name: str

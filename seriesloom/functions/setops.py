@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SeriesFrame, renumber
-from .registry import Args, EvalError, register
+from .registry import FAILURES, Args, EvalError, register
 
 
 def concat(frames: list[SeriesFrame]) -> SeriesFrame:
@@ -54,8 +54,12 @@ def join(ctx, a: Args) -> SeriesFrame:
 
 @register("fallbackSeries", group="Filter Series", args="seriesList, fallback")
 def fallback_series(ctx, a: Args) -> SeriesFrame:
-    """The first list, or the second where the first has no series."""
-    first, second = a.series(0), a.series(1)
+    """The first list, or the second where the first has no series or cannot be read."""
+    second = a.series(1)
+    try:
+        first = a.series(0)
+    except FAILURES:
+        return second
     # one row says whether the first list is empty; the second list's rows pass an anti join on it
     flag = first.series.limit(1).select(F.lit(1).alias("__k"))
     if_empty = second.series.withColumn("__k", F.lit(1)).join(flag, "__k", "left_anti").drop("__k")

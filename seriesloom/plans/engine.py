@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import align, library
-from ..functions.registry import REGISTRY, REWRITES, Args, EvalError
+from ..functions.registry import FAILURES, REGISTRY, REWRITES, Args, EvalError
 from ..lang.parser import Node, parse
 from ..lang.times import at_time
 from ..model import POINTS_DDL, SERIES_DDL, SeriesFrame, frame_of
@@ -91,6 +91,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, source, macros: dict[str, str] | None = None, lookups: dict[str, DataFrame] | None = None, scale_to_common_step: bool = True, reset_end: bool = False, format_alias: bool = True):
         self.spark, self.source = spark, source
+        self.failed: dict[str, str] = {}
         self.macros, self.lookups = macros or {}, lookups or {}
         self.scale_to_common_step, self.reset_end, self.format_alias = scale_to_common_step, reset_end, format_alias
 
@@ -102,12 +103,17 @@ class Engine:
             raise EvalError("the range is empty")
         return Context(self, a, b, now).eval(target)
 
-    def render(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, max_data_points: int = 0, **display) -> DataFrame:
+    def render(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, max_data_points: int = 0, tolerant: bool = False, **display) -> DataFrame:
         """`ord, name, ts, value` of all targets, lists one after the other, merged for display where asked (see max_points())."""
-        frame = self.many(targets, start, until, now)
+        frame = self.many(targets, start, until, now, tolerant)
         return (align.max_points(frame, max_data_points, **display) if max_data_points else frame).result()
 
-    def many(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None) -> SeriesFrame:
+    def many(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, tolerant: bool = False) -> SeriesFrame:
+        """The lists of all targets as one.
+
+        With `tolerant` targets that cannot be planned are left out, and `failed`
+        says why; only where none can be is that an error.
+        """
         from ..functions.setops import concat
 
         targets = [targets] if isinstance(targets, str) else list(targets)
@@ -116,7 +122,17 @@ class Engine:
         if a >= b:
             raise EvalError("the range is empty")
         ctx = Context(self, a, b, now)  # one memo, so equal patterns are read once
-        return concat([ctx.eval(t) for t in targets])
+        frames, self.failed = [], {}
+        for t in targets:
+            try:
+                frames.append(ctx.eval(t))
+            except FAILURES as e:
+                if not tolerant:
+                    raise
+                self.failed[t] = str(e)
+        if not frames:
+            raise EvalError("; ".join(f"{t}: {e}" for t, e in self.failed.items()) or "no targets")
+        return concat(frames)
 
 
 def function_catalogue(spark: SparkSession) -> DataFrame:

@@ -110,6 +110,7 @@ def _meta(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         from ..plans.engine import function_catalogue
         from ..sources import metadata as m
+        from ..sources import tables
 
         s = _events(spark, d)
         return {
@@ -120,6 +121,9 @@ def _meta(kind: str):
             "tag_names": lambda: m.tag_names(s, "", 2),
             "tag_values": lambda: m.tag_values(s, "type"),
             "info": lambda: m.info(s, "shop.view.*"),
+            "info_stored": lambda: m.info(tables.fetched(spark, d), "*.web.*.*.*").drop("xff").fillna("none", ["cons_func"]),
+            "find_tree": lambda: m.find_tree(s, "shop.*"),
+            "complete": lambda: m.complete(s, "shop.*"),
             "functions": lambda: function_catalogue(spark).select("name", "group", "signature"),
         }[kind]()
 
@@ -135,7 +139,23 @@ def stream_buckets(spark: SparkSession, d: str) -> DataFrame:
     return summarize_stream(df, "1 hour", "sum", "event_type", "ts", "value").select("name", "ts", digits())
 
 
-_METAS = ("find", "find_leaf", "expand", "expand_grouped", "tag_names", "tag_values", "info", "functions")
+def _plain(target, **options):
+    """A request over the events, with the place of each series."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _engine(spark, _events(spark, d)).render(target, T0, T1, now=T1, **options).select("name", "ts", "ord", digits())
+
+    return query
+
+
+_LANG = {
+    "lang_matches": _plain("shop.{view,click}.{g2,g0,g1}"),
+    "lang_tolerant": _plain(["sum(shop.view.*)", "nosuch(shop.view.*)", "scale(shop.view.*", "max(shop.view.*)"], tolerant=True),
+    "lang_fallback": _plain("fallbackSeries(nosuch(shop.click.*),shop.view.*)"),
+    "fn_reduceSeries_from_end": lambda spark, d: _plain("aliasByNode(reduceSeries(shop.*.*,'asPercent',-2,'click','view'),3)")(spark, d).drop("ord"),
+    "fn_reduceSeries_any": lambda spark, d: _plain("reduceSeries(shop.*.*,'absolute',1,'view')")(spark, d).drop("ord"),
+}
+_METAS = ("info_stored", "find_tree", "complete", "find", "find_leaf", "expand", "expand_grouped", "tag_names", "tag_values", "info", "functions")
 
 
 def queries() -> dict:
@@ -144,6 +164,7 @@ def queries() -> dict:
         | {name: _stored(target) for name, target in STORED.items()}
         | {f"sink_{k}": _sink(k) for k in ("json", "csv", "raw")}
         | {f"meta_{k}": _meta(k) for k in _METAS}
+        | _LANG
     )
 
 
@@ -232,5 +253,13 @@ def oracle_sql() -> dict[str, str]:
         "meta_expand_grouped": f"{_CAT} select distinct 'shop.view.*' as query, 'shop.view.' || gr as path from c where et = 'view' union select distinct 'shop.*.g1', 'shop.' || et || '.g1' from c where gr = 'g1'",
         "meta_tag_names": f"{_CAT}, t as (select distinct string_split(unnest(string_split(name, ';')[2:]), '=')[1] as tag from c union select 'name') select tag from t order by tag limit 2",
         "meta_tag_values": "select distinct event_type as value from events",
-        "meta_info": f"{_CAT} select distinct name, 'average' as cons_func, 0.0::double as xff, 3600::bigint as step from c where et = 'view'",
+        "meta_info": f"{_CAT} select distinct name, 'average' as cons_func, 0.0::double as xff, 3600::bigint as step, null::bigint as max_retention, null::bigint as number_of_points from c where et = 'view'",
+        "meta_info_stored": "select name, coalesce(cons_func, 'none') as cons_func, step, stop - start as max_retention, (stop - start) // step as number_of_points from series where regexp_matches(split_part(name, ';', 1), '^[^.]*[.]web[.][^.]*[.][^.]*[.][^.]*$')",
+        "meta_find_tree": f"{_CAT} select distinct 'shop.' || et as id, et as text, 0::int as leaf, 1::int as expandable, 1::int as allow_children from c",
+        "meta_complete": f"{_CAT} select distinct 'shop.' || et || '.' as path, et as name, 0::int as is_leaf from c",
+        "lang_matches": f"with {_PTS}, o as (select name, row_number() over (order by case et when 'view' then 0 else 1 end, case gr when 'g2' then 0 when 'g0' then 1 else 2 end)::int as ord from names where et in ('view', 'click')) select name, ts, o.ord, round(v, 6) + 0.0 as value from pts join o using (name)",
+        "lang_tolerant": _MANY,
+        "lang_fallback": f"with {_PTS} select name, ts, ord - min(ord) over () + 1 as ord, round(v, 6) + 0.0 as value from pts where et = 'view'",
+        "fn_reduceSeries_from_end": f"with {_PTS} select a.gr as name, a.ts, round(case when b.v <> 0 then 100 * a.v / b.v end, 6) + 0.0 as value from pts a join pts b on a.gr = b.gr and a.ts = b.ts where a.et = 'click' and b.et = 'view'",
+        "fn_reduceSeries_any": f"with {_PTS} select 'shop.reduce.scaleToSeconds1.' || gr as name, ts, round(abs(v), 6) + 0.0 as value from pts where et = 'view'".replace("scaleToSeconds1", "absolute"),
     }

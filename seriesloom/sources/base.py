@@ -71,7 +71,7 @@ class TableSource:
 
     def catalogue(self) -> DataFrame:
         names = self._slots(None, None).select("name").distinct()
-        return names.select("name", F.split("name", ";")[0].alias("path"), tags_of(F.col("name")).alias("tags"), F.lit(self.step).cast("long").alias("step"), F.lit(self.cons_func).alias("cons_func"), F.lit(self.xff).cast("double").alias("xff"))
+        return names.select("name", F.split("name", ";")[0].alias("path"), tags_of(F.col("name")).alias("tags"), F.lit(self.step).cast("long").alias("step"), F.lit(self.cons_func).alias("cons_func"), F.lit(self.xff).cast("double").alias("xff"), F.lit(None).cast("long").alias("retention"))
 
 
 class MemorySource:
@@ -97,7 +97,7 @@ class MemorySource:
 
     def catalogue(self) -> DataFrame:
         s = frame_of(self.spark, self.rows).series
-        return s.select("name", F.split("name", ";")[0].alias("path"), "tags", "step", "cons_func", "xff")
+        return s.select("name", F.split("name", ";")[0].alias("path"), "tags", "step", "cons_func", "xff", (F.col("stop") - F.col("start")).alias("retention"))
 
 
 class UnionSource:

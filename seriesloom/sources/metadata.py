@@ -73,5 +73,10 @@ def tag_values(source: SeriesSource, tag: str, prefix: str = "", limit: int | No
 
 
 def info(source: SeriesSource, pattern: str) -> DataFrame:
-    """`name, cons_func, xff, step` of the series whose path a pattern selects."""
-    return source.catalogue().where(F.col("path").rlike(f"^{glob_regex(pattern)}$")).select("name", "cons_func", "xff", "step").distinct()
+    """`name, cons_func, xff, step, max_retention, number_of_points` of the series whose path a pattern selects.
+
+    A series is kept at one step, so it has one retention: so many seconds, as so
+    many points; null where a source keeps what it has.
+    """
+    rows = source.catalogue().where(F.col("path").rlike(f"^{glob_regex(pattern)}$"))
+    return rows.select("name", "cons_func", "xff", "step", F.col("retention").alias("max_retention"), F.expr("retention div step").alias("number_of_points")).distinct()

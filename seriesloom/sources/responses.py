@@ -71,4 +71,4 @@ class ResponsesSource:
         return SeriesFrame(series, dense(series, merged), None)
 
     def catalogue(self) -> DataFrame:
-        return self.dims.where(F.col("name").isNotNull()).select("name", F.split("name", ";")[0].alias("path"), tags_of(F.col("name")).alias("tags"), "step", "cons_func", "xff")
+        return self.dims.where(F.col("name").isNotNull()).select("name", F.split("name", ";")[0].alias("path"), tags_of(F.col("name")).alias("tags"), "step", "cons_func", "xff", (F.col("stop") - F.col("start")).alias("retention"))

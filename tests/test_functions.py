@@ -189,6 +189,16 @@ def test_reduce_by_any_function_and_from_the_end(spark):
         run(spark, "reduceSeries(a.*.*,'asPercent',-4,'v','t')", rows)
 
 
+def test_one_failing_target_leaves_the_others(spark):
+    engine = Engine(spark, MemorySource(spark, [S("m", [1, 2])]))
+    got = engine.render(["nosuch(m)", "scale(m,2)", "f("], 0, 2, now=2, tolerant=True).orderBy("ts").collect()
+    assert [(r["name"], r["value"]) for r in got] == [("scale(m,2)", 2.0), ("scale(m,2)", 4.0)] and set(engine.failed) == {"nosuch(m)", "f("}
+    for targets, tolerant in ((["nosuch(m)", "m"], False), (["nosuch(m)"], True)):
+        with pytest.raises(EvalError):
+            engine.render(targets, 0, 2, now=2, tolerant=tolerant)
+    check(run(spark, "fallbackSeries(nosuch(m),m)", [S("m", [1, 2])]), {"m": [1, 2]})
+
+
 def test_steps_are_brought_together(spark):
     rows = [S("m1", [1, 2, 3, 4], 1), S("m2", [10, 20], 2)]
     check(run(spark, "sum(m*)", rows), {"sumSeries(m*)": [11.5, 23.5]})

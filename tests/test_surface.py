@@ -96,7 +96,11 @@ def test_find_and_tags(spark):
     assert [r[0] for r in metadata.tag_names(src).collect()] == ["k", "name", "z"]
     assert [r[0] for r in metadata.tag_values(src, "k", "", 1).collect()] == ["1"]
     assert {r["path"] for r in metadata.expand(src, ["a.*", "a.*.*"], leaves_only=True).collect()} == {"a.b", "a.b.c", "a.d.e"}
-    assert metadata.info(src, "a.b").first()["step"] == 1
+    info = metadata.info(src, "a.b").first()
+    assert (info["step"], info["max_retention"], info["number_of_points"]) == (1, 1, 1)
+    assert [(r["id"], r["leaf"]) for r in metadata.find(src, "a.*").collect()] == [("a.b", 0), ("a.d", 0), ("a.b", 1)]
+    assert [(r["id"], r["leaf"]) for r in metadata.find_tree(src, "a.*").collect()] == [("a.b", 0), ("a.d", 0)]
+    assert [(r["path"], r["is_leaf"]) for r in metadata.complete(src, "a.*").collect()] == [("a.b.", 0), ("a.d.", 0), ("a.b", 1)]
 
 
 def test_output(spark):
