@@ -9,7 +9,7 @@ values; they differ in avg_zero, diff, multiply and in the names they know.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,10 +129,17 @@ def known_summary(name: str) -> str:
     return name
 
 
-def consolidate(v: Column, order: Column, how: Column) -> Column:
-    """Each series by its own consolidation function, named in a column; names it does not know mean the average."""
+CONSOLIDATIONS = ("sum", "total", "max", "maximum", "min", "minimum", "first", "last", "current", "median", "count", "multiply", "range", "diff", "stddev", "avg_zero")
+
+
+def consolidate(v: Column, order: Column, how: Column, used: Collection[str] = CONSOLIDATIONS) -> Column:
+    """Each series by its own consolidation function, named in a column; names it does not know mean the average.
+
+    Every function costs each group, so `used` says which of them occur.
+    """
     out = F.when(F.lit(False), F.lit(None).cast("double"))
     by = F.max(how)
-    for f in ("sum", "total", "max", "maximum", "min", "minimum", "first", "last", "current", "median", "count", "multiply", "range", "diff", "stddev", "avg_zero"):
-        out = out.when(by == f, fold(f, v, order))
+    for f in CONSOLIDATIONS:
+        if f in used:
+            out = out.when(by == f, fold(f, v, order))
     return out.otherwise(F.avg(v))

@@ -18,7 +18,13 @@ def lcm_step(frame: SeriesFrame) -> int:
     return math.lcm(*steps) if steps else 1
 
 
-def to_step(frame: SeriesFrame, step: int) -> SeriesFrame:
+def _facts(frame: SeriesFrame) -> tuple[set[int], set[str]]:
+    """The steps and the consolidation functions of a list: few, from the small series table, in one question."""
+    rows = frame.series.select("step", "cons_func").distinct().collect()
+    return {int(r[0]) for r in rows if r[0]}, {r[1] for r in rows if r[1]}
+
+
+def to_step(frame: SeriesFrame, step: int, used: set[str] | None = None) -> SeriesFrame:
     """Values merged into slots of `step` seconds by each series' own consolidation function and xFilesFactor.
 
     Slots lie on multiples of the step. A slot is absent where its share of
@@ -28,7 +34,7 @@ def to_step(frame: SeriesFrame, step: int) -> SeriesFrame:
     slot = (F.col("ts") - F.pmod(F.col("ts"), F.lit(step))).alias("ts")
     got = frame.points.join(meta, "sid").select("sid", slot, F.col("ts").alias("at"), "v", "cons_func", "xff", "__own")
     per = F.lit(step) / F.max("__own")
-    value = consolidate(F.col("v"), F.col("at"), F.col("cons_func"))
+    value = consolidate(F.col("v"), F.col("at"), F.col("cons_func"), _facts(frame)[1] if used is None else used)
     points = got.groupBy("sid", "ts").agg(F.when((F.max("xff") == 0) | (F.count("v") / per >= F.max("xff")), value).alias("v"))
     start = F.col("start") - F.pmod(F.col("start"), F.lit(step))
     stop = F.ceil(F.col("stop") / F.lit(step)).cast("long") * F.lit(step)
@@ -40,7 +46,8 @@ def common(frame: SeriesFrame) -> SeriesFrame:
     """The list with one step; nothing is read or moved where it has one already."""
     if frame.step is not None:
         return frame
-    return to_step(frame, lcm_step(frame))
+    steps, used = _facts(frame)
+    return to_step(frame, math.lcm(*steps) if steps else 1, used)
 
 
 #: The steps a source is asked for, in seconds (fixed values).
@@ -80,7 +87,8 @@ def max_points(frame: SeriesFrame, most: int, nudge: bool = False, stamp_last: b
     dims = dims.withColumn("begin", F.col("start") + skip).drop("start", "stop")
     got = frame.points.join(dims, "sid").where(F.col("ts") >= F.col("begin"))
     slot = (F.col("begin") + F.floor((F.col("ts") - F.col("begin")) / F.col("size")).cast("long") * F.col("size")).alias("slot")
-    merged = got.select("sid", slot, "ts", "v", "cons_func").groupBy("sid", "slot").agg(consolidate(F.col("v"), F.col("ts"), F.col("cons_func")).alias("v"), F.max("ts").alias("last"))
+    value = consolidate(F.col("v"), F.col("ts"), F.col("cons_func"), _facts(frame)[1])
+    merged = got.select("sid", slot, "ts", "v", "cons_func").groupBy("sid", "slot").agg(value.alias("v"), F.max("ts").alias("last"))
     points = merged.select("sid", (F.col("last") if stamp_last else F.col("slot")).alias("ts"), "v")
     series = frame.series.join(dims.select("sid", "begin", "size"), "sid").withColumns({"start": F.col("begin"), "step": F.col("size")}).drop("begin", "size")
     return SeriesFrame(series, points, None)

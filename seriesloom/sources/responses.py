@@ -24,22 +24,25 @@ def answers(responses: DataFrame) -> DataFrame:
     return cut.where(F.exists("vals", present)).select("name", hour("start").alias("h0"), hour("stop").alias("h1"), "start", "stop", "step", F.size("vals").alias("n"), "vals")
 
 
-def merge_replicas(rows: DataFrame) -> DataFrame:
-    """`name, ts, step, v` of all answers() for the same series.
+def merge_replicas(rows: DataFrame, key: str = "name") -> DataFrame:
+    """`key, ts, step, v` of all answers() for the same series, told apart by `key`.
 
     Of the answers to one requested range those with the finest step are kept
     whole. Where ranges overlap, each slot has the value of the finest step there,
     and of equal steps that of the longest answer, so gaps of one are filled from
     others. Steps are compared row by row, before any value is unpacked.
     """
-    finest = rows.groupBy("name", "h0", "h1").agg(F.min("step").alias("finest"))
-    kept = rows.join(finest, ["name", "h0", "h1"]).where(F.col("step") == F.col("finest"))
+    finest = rows.groupBy(key, "h0", "h1").agg(F.min("step").alias("finest"))
+    kept = rows.join(finest, [key, "h0", "h1"]).where(F.col("step") == F.col("finest"))
     # ranges delivered again as they were drop out before they are unpacked
-    once = kept.select("name", "start", "step", "n", "vals").distinct()
-    each = once.select("name", "start", "step", "n", F.posexplode("vals").alias("i", "v")).where(present(F.col("v")))
+    once = kept.select(key, "start", "step", "n", "vals").distinct()
+    each = once.select(key, "start", "step", "n", F.posexplode("vals").alias("i", "v")).where(present(F.col("v")))
     ts = F.col("start") + F.col("i") * F.col("step")
-    slots = each.select("name", "step", (ts - F.pmod(ts, F.col("step"))).alias("ts"), "v", "n")
-    return slots.groupBy("name", "ts").agg(F.max_by("v", F.struct(-F.col("step"), F.col("n"), F.col("v"))).alias("v"), F.min("step").alias("step"))
+    # the finer step first, then the longer answer, then the larger value: hashed aggregates of plain numbers
+    place = F.col("n") - F.col("step") * F.lit(2**31)
+    slots = each.select(key, "step", (ts - F.pmod(ts, F.col("step"))).alias("ts"), "v", place.alias("place")).repartition(key, "ts")
+    best = slots.groupBy(key, "ts", "step", "place").agg(F.max("v").alias("v"))
+    return best.groupBy(key, "ts").agg(F.max_by("v", "place").alias("v"), F.min("step").alias("step"))
 
 
 class ResponsesSource:
@@ -66,8 +69,8 @@ class ResponsesSource:
             *match_order(pattern, F.col("name")),
         ).select(*SERIES)
         rows = answers(self.responses.where((F.col("start") < stop) & (F.col("stop") > start)))
-        rows = rows.join(series.select("name"), "name", "left_semi")
-        merged = merge_replicas(rows).where((F.col("ts") >= start) & (F.col("ts") < stop)).withColumn("sid", F.xxhash64("name"))
+        rows = rows.withColumn("sid", F.xxhash64("name")).join(series.select("sid"), "sid", "left_semi")
+        merged = merge_replicas(rows, "sid").where((F.col("ts") >= start) & (F.col("ts") < stop))
         return SeriesFrame(series, dense(series, merged), None)
 
     def catalogue(self) -> DataFrame:
