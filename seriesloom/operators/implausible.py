@@ -84,10 +84,11 @@ def unit_of(name: Column) -> Column:
 
 def bounds_of(name: Column, units: Mapping[str, tuple[float, float]]) -> tuple[Column, Column]:
     """The lowest and the highest possible value of a series; where the unit is not known any finite one is."""
-    unit, low, high = unit_of(name), F.lit(ANY[0]), F.lit(ANY[1])
-    for u, (a, b) in units.items():
-        low, high = F.when(unit == u, F.lit(float(a))).otherwise(low), F.when(unit == u, F.lit(float(b))).otherwise(high)
-    return low, high
+    out = []
+    for i in (0, 1):
+        table = F.create_map(*(F.lit(x) for u, ab in units.items() for x in (u.lower(), float(ab[i])))) if units else None
+        out.append(F.lit(ANY[i]) if table is None else F.coalesce(F.try_element_at(table, unit_of(name)), F.lit(ANY[i])))
+    return out[0], out[1]
 
 
 # -- wavelets ---------------------------------------------------------------------
