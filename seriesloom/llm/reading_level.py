@@ -246,20 +246,52 @@ def features(lang: list[str | None], cols: dict[str, tuple[np.ndarray, np.ndarra
     return x, total, mean, doc, at
 
 
-def featured(slim: DataFrame, common: DataFrame, head: Head, least_words: int, exact: bool) -> DataFrame:
-    """The slim rows with `n_words, words_per_sentence, x` (the features) and, where `exact` and the head does not cover a share, `hs, ns` (its words)."""
+def quadratics(params: dict[str, list]) -> dict[str, list[tuple[str, float, np.ndarray, np.ndarray]]]:
+    """Each Gaussian's score as a name, a constant, weights of the features, and a matrix of weights of their products."""
+    out = {}
+    for lang, gs in params.items():
+        rows = []
+        for name, mu, u, c in gs:
+            m, q = np.array(mu), np.array(u).T @ np.array(u)
+            rows.append((name, float(c - 0.5 * m @ q @ m), q @ m, -0.5 * q))
+        out[lang] = rows
+    return out
+
+
+def first_levels(lang: list[str | None], x: np.ndarray, ok: np.ndarray, params: dict[str, list]) -> list[str | None]:
+    """scored() for a batch at hand."""
+    out: list[str | None] = [None] * len(lang)
+    for name, gs in quadratics(params).items():
+        at = np.flatnonzero(ok & np.array([v == name for v in lang], bool))
+        if len(at):
+            y = x[at]
+            best = np.argmax([c + y @ w + np.einsum("ij,jk,ik->i", y, q, y) for _, c, w, q in gs], axis=0)
+            for i, k in zip(at, best):
+                out[i] = gs[k][0]
+    return out
+
+
+def told_common(common: DataFrame):
+    """The common sentences as a broadcast array, None where they are too many for that."""
+    if common.limit(BROADCAST + 1).count() > BROADCAST:
+        return None
+    return common.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in common.toLocalIterator()], np.int64)))
+
+
+def featured(slim: DataFrame, common: DataFrame, told, head: Head, least_words: int, exact: bool, params: dict[str, list] | None = None) -> DataFrame:
+    """The slim rows with `n_words, words_per_sentence, x` (the features) and, where `exact` and the head does not cover a share, `hs, ns` (its words).
+
+    With `params` their `level` is set by these Gaussians.
+    """
     spark = slim.sparkSession
-    keep = [c for c in slim.columns if c not in ("sh", "sw", "sc", "sk", "wh", "wl")]
-    few = common.limit(BROADCAST + 1).count() <= BROADCAST
-    if few:
-        told = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in common.toLocalIterator()], np.int64)))
-    else:
-        told = None
+    keep = [c for c in slim.columns if c not in ("sh", "sw", "sc", "sk", "wh", "wl", *(["level"] if params else []))]
+    if told is None:
         found = slim.select("row", F.explode(F.array_distinct("sh")).alias("h")).join(common, "h").groupBy("row").agg(F.collect_list("h").alias("hits"))
         slim = slim.join(found, "row", "left")
     shared = spark.sparkContext.broadcast(head)
     kinds = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
-    names = [*keep, "n_words", "words_per_sentence", "x", "hs", "ns"]
+    more = ["n_words long", "words_per_sentence double", "x array<double>", "hs array<long>", "ns array<long>", *(["level string"] if params else [])]
+    names = [*keep, *(m.split()[0] for m in more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
@@ -283,10 +315,13 @@ def featured(slim: DataFrame, common: DataFrame, head: Head, least_words: int, e
                 h, n = np.unique(cols["wh"][0][at[doc == d]], return_counts=True)
                 hs[d], ns[d] = h.tolist(), n.tolist()
             made = [pa.array(total, pa.int64()), pa.array(np.where(ok, mean, np.nan), pa.float64(), from_pandas=True), pa.array([row if k else None for row, k in zip(x.tolist(), ok)], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made, pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64()))], names=names)
+            made += [pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64()))]
+            if params:
+                made.append(pa.array(first_levels(lang, x, ok, params), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
 
     ship(spark)
-    return slim.mapInArrow(run, f"{kinds}, n_words long, words_per_sentence double, x array<double>, hs array<long>, ns array<long>")
+    return slim.mapInArrow(run, f"{kinds}, {', '.join(more)}")
 
 
 def _beyond_head(prof: DataFrame, ranks: DataFrame, sizes: dict[str, int]) -> DataFrame:
@@ -351,14 +386,7 @@ def scored(df: DataFrame, params: dict[str, list]) -> DataFrame:
     """
     spark = df.sparkSession
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
-    table = []
-    for lang, gs in params.items():
-        rows = []
-        for name, mu, u, c in gs:
-            m, q = np.array(mu), np.array(u).T @ np.array(u)
-            linear, square = q @ m, [-0.5 * q[i, j] * (1 if i == j else 2) for i, j in pairs]
-            rows.append((name, float(c - 0.5 * m @ q @ m), [*linear.tolist(), *map(float, square)]))
-        table.append((lang, rows))
+    table = [(lang, [(name, c, [*w.tolist(), *(float(q[i, j] * (1 if i == j else 2)) for i, j in pairs)]) for name, c, w, q in gs]) for lang, gs in quadratics(params).items()]
     few = F.broadcast(spark.createDataFrame(table, "lang string, g array<struct<name:string,c:double,w:array<double>>>"))  # one row per language
     products = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", F.lit(1), i + 1), lambda other: v * other)))
     terms = F.concat("x", products)
@@ -418,12 +446,17 @@ def reading_levels(
     exact = any(n > head for n in sizes.values())
     # at most `head` rows per language, as ties count with their highest rank
     top = Head(ranks.where(F.col("rank") <= head).toPandas(), sizes)
-    prof = featured(slim, common, top, least_words, exact)
-    prof = written(_beyond_head(written(prof), ranks, sizes) if exact else prof)
-    first = moments(prof.where("site is null"))
-    mine = prof.where("site is not null")
+    told = told_common(common)
+
+    def profiles(rows: DataFrame, params: dict[str, list] | None = None) -> DataFrame:
+        prof = featured(rows, common, told, top, least_words, exact, None if exact else params)
+        return written(_beyond_head(written(prof), ranks, sizes) if exact else prof)
+
+    first = moments(profiles(slim.where("site is null")))
     params = gaussians(first)
-    params = gaussians(first, moments(scored(mine, params))) if params else params
+    mine = profiles(own, params)
+    if params:
+        params = gaussians(first, moments(scored(mine, params) if exact else mine))
     named = scored(mine, params)
     short = F.col("n_words") < least_words
     reason = F.when(F.col("level").isNull(), F.when(short, "short").when(F.col("lang").isNull(), "language").otherwise("passages"))
