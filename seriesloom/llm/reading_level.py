@@ -117,6 +117,13 @@ def mask(sentence: str) -> int:
     return hash64(_DIGITS.sub("0", sentence.strip()))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 _SLIM = "lang string, sh array<long>, sw array<int>, sc array<int>, sk array<int>, wh array<long>, wl array<int>"
 
 
@@ -129,7 +136,7 @@ def slim_rows(rows: DataFrame, languages: Languages, least_known: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(languages)
         bits = range(len(languages.names))
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column("text").to_pylist():
                 sh, sw, sc, sk, wh, wl = [], [], [], [], [], []
@@ -295,7 +302,7 @@ def featured(slim: DataFrame, common: DataFrame, told, head: Head, least_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             cols = {}
             for c in ("sh", "sw", "sc", "sk", "wh", "wl"):
                 a = batch.column(c)
