@@ -271,7 +271,7 @@ class Chunk:
             return flag
         runs, repeats = int(runs[0]), int(repeats[0])
         key, often, total = c.get(VALUES)
-        known = dict(zip(key.tolist(), zip(often.tolist(), total.tolist())))
+        known = dict(zip(key.tolist(), zip(often.tolist(), total.tolist()))) if len(key) else {}
         for r in np.flatnonzero((self.length >= LEAST_RUN) & (self.length <= HABIT * (runs + repeats))):
             own = int(self.length[r]) - 1
             # the chance that a value repeats, without this run; and that a repeated value like this one goes on
