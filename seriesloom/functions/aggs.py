@@ -137,9 +137,11 @@ def consolidate(v: Column, order: Column, how: Column, used: Collection[str] = C
 
     Every function costs each group, so `used` says which of them occur.
     """
-    out = F.when(F.lit(False), F.lit(None).cast("double"))
-    by = F.max(how)
-    for f in CONSOLIDATIONS:
-        if f in used:
-            out = out.when(by == f, fold(f, v, order))
+    names = [f for f in CONSOLIDATIONS if f in used]
+    out, place = F.when(F.lit(False), F.lit(None).cast("double")), F.lit(-1)
+    for i, f in enumerate(names):
+        place = F.when(how == f, i).otherwise(place)
+    by = F.max(place)  # of numbers, as text would make the aggregate sort
+    for i, f in enumerate(names):
+        out = out.when(by == i, fold(f, v, order))
     return out.otherwise(F.avg(v))
