@@ -108,6 +108,14 @@ class Engine:
         frame = self.many(targets, start, until, now, tolerant)
         return (align.max_points(frame, max_data_points, **display) if max_data_points else frame).result()
 
+    def query_range(self, target: str, start: int | str, until: int | str, now: int | None = None, most: int = 11_000, keep_least_within: int = 0) -> DataFrame:
+        """render() at a step that gives `most` points at most, from the usual ones; for sources that can be read at any step."""
+        now = int(time.time()) if now is None else now
+        a, b = at_time(start, now), at_time(until, now)
+        step = align.choose_step(a, b, most, self.source.step, keep_least_within)
+        other = Engine(self.spark, self.source.at_step(step), self.macros, self.lookups, self.scale_to_common_step, self.reset_end, self.format_alias)
+        return other.render(target, a, b, now)
+
     def many(self, targets: str | list[str], start: int | str, until: int | str, now: int | None = None, tolerant: bool = False) -> SeriesFrame:
         """The lists of all targets as one.
 

@@ -62,16 +62,18 @@ def significant(c: str = "value"):
     return (F.when(F.abs(x) < 1e6, F.round(x, 6)).otherwise(F.format_string("%.11e", x).try_cast("double")) + F.lit(0.0)).alias(c)
 
 
-def _stored(target: str):
-    """A call over the whole time of the stored responses; the range is one small question to the driver."""
+def _stored(target: str, alone: bool = False):
+    """A call over the whole time of the stored responses, under the catalogue or `alone`; the range is one small question to the driver."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         from ..session import read
         from ..sources import tables
+        from ..sources.auto import open_source
 
         lo, hi = read(spark, d, "fetch_responses").where("step > 0 and stop > start").agg(F.min("start"), F.max("stop")).first()
         lo, hi = (lo // 3600 * 3600, hi) if lo is not None else (0, 3600)
-        return _engine(spark, tables.fetched(spark, d)).render(target, lo, hi, now=hi).select("name", "ts", significant())
+        source = open_source(read(spark, d, "fetch_responses")) if alone else tables.fetched(spark, d)
+        return _engine(spark, source).render(target, lo, hi, now=hi).select("name", "ts", significant())
 
     return query
 
@@ -148,7 +150,14 @@ def _plain(target, **options):
     return query
 
 
+def query_range(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty days in two hundred points at most: six hours a point."""
+    return _engine(spark, _events(spark, d)).query_range("shop.*.*", T0, T1, now=T1, most=200).select("name", "ts", digits())
+
+
 _LANG = {
+    "source_query_range": query_range,
+    "source_auto": lambda spark, d: _stored("groupByNodes(*.*.*.*.*,'max',3,4)", alone=True)(spark, d),
     "lang_matches": _plain("shop.{view,click}.{g2,g0,g1}"),
     "lang_tolerant": _plain(["sum(shop.view.*)", "nosuch(shop.view.*)", "scale(shop.view.*", "max(shop.view.*)"], tolerant=True),
     "lang_fallback": _plain("fallbackSeries(nosuch(shop.click.*),shop.view.*)"),
@@ -190,11 +199,13 @@ def _merged(table: str) -> str:
     """`flat` and `merged`: the answers of a table and their values, each range at its finest step."""
     from .preparation import CANON
 
-    return f"""flat as (select {CANON.format(n="name")} as name, start // 3600 as h0, stop // 3600 as h1, step, least(len(vals), ceil((stop - start) / step))::bigint as l, start + (u.i - 1) * step as t, u.v
+    return f"""flat as (select {CANON.format(n="name")} as name, start // 3600 as h0, stop // 3600 as h1, start, stop, step, least(len(vals), ceil((stop - start) / step))::bigint as l, start + (u.i - 1) * step as t, u.v
   from {table} r, lateral (select unnest(range(1, len(r.vals) + 1)) as i, unnest(r.vals) as v) u
   where name is not null and step > 0 and start + (u.i - 1) * step < stop and u.v is not null and not isnan(u.v)),
-fine as (select name, h0, h1, min(step) as step from flat group by all),
-merged as (select name, t - t % step as ts, min(step) as step, max_by(v, (-step, l, v)) as v from flat join fine using (name, h0, h1, step) group by 1, 2)"""
+fine as (select name, h0, h1, min(step) as finest from flat group by all),
+span as (select name, h0, h1, finest, min(start) as lo, max(stop) as hi from flat join fine using (name, h0, h1) where step = finest group by all),
+merged as (select name, t - t % step as ts, min(step) as step, max_by(v, (-step, l, v)) as v from flat join span using (name, h0, h1)
+  where step = finest or t - t % step + step <= lo or t - t % step >= hi group by 1, 2)"""
 
 
 _CONS = "case cf when 'sum' then sum(v) when 'max' then max(v) when 'last' then arg_max(v, t) when 'min' then min(v) else avg(v) end"
@@ -213,14 +224,20 @@ def _series(name: str, nodes: str) -> str:
 
 
 def _stored_sql() -> dict[str, str]:
+    from .preparation import CANON
+
     head = f"with rng as (select min(start) // 3600 * 3600 as lo, max(stop) as hi from fetch_responses where step > 0 and stop > start), {_merged('fetch_responses')}, "
     shown = lambda e: f"(case when abs({e} * {1 + 3.1e-13!r}) < 1e6 then round({e} * {1 + 3.1e-13!r}, 6) else printf('%.11e', {e} * {1 + 3.1e-13!r})::double end + 0.0) as value"
     every, cpu, disk = _series("a", "*.*.*.*.*"), _series("a", "*.*.*.cpu.user_pct"), _series("b", "*.*.*.disk.used_pct")
     node = "string_split(path, '.')[{}]".format
     key = " || '.' || ".join(node(i) for i in (2, 4, 5))
     counts = _series("a", "*.*.*.requests.count")
+    alone = every.replace("from series, rng", "from found, rng")
+    found = f"""found as (select {CANON.format(n="name")} as name, min(step) as step, min(cons_func) as cons_func, max(case when not isnan(xff) then xff end) as xff, min(start) as start, max(stop) as stop from fetch_responses where step > 0 and stop > start and name is not null group by 1)"""
     return {
         "source_responses": f"{head}{every}, g as (select {key} as name, ts, max(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
+        "source_auto": f"{head}{found}, {alone}, g as (select {node(4)} || '.' || {node(5)} as name, ts, max(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
+        "source_query_range": f"with {_PTS} select name, ts - ts % 21600 as ts, round(sum(v), 6) + 0.0 as value from pts group by 1, 2",
         "mixed_sum": f"{head}{cpu}, g as (select 'sumSeries(*.*.*.cpu.user_pct)' as name, ts, sum(v) as v from a group by ts) select name, ts, {shown('v')} from g",
         "mixed_groupByNode": f"{head}{every}, g as (select {node(5)} as name, ts, sum(v) as v from a group by 1, 2) select name, ts, {shown('v')} from g",
         "mixed_divideSeries": f"""{head}{cpu}, {_series('b', '*.*.*.queue.depth')}, q as (select ts, max(v) as d, any_value(step) as step from b group by ts), l as (select lcm((select any_value(step) from a), (select any_value(step) from q)) as l),

@@ -39,6 +39,10 @@ class TableSource:
         self.df, self.name, self.ts, self.v, self.step = df, name, ts, v, step
         self.how, self.time_column, self.cons_func, self.xff = how, time_column, cons_func, xff
 
+    def at_step(self, step: int) -> "TableSource":
+        """The same rows on another grid."""
+        return TableSource(self.df, self.name, self.ts, self.v, step, self.how, self.time_column, self.cons_func, self.xff)
+
     def _slots(self, start: int | None, stop: int | None) -> DataFrame:
         rows = self.df
         if self.time_column and start is not None:

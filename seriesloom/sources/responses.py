@@ -28,19 +28,25 @@ def merge_replicas(rows: DataFrame, key: str = "name") -> DataFrame:
     """`key, ts, step, v` of all answers() for the same series, told apart by `key`.
 
     Of the answers to one requested range those with the finest step are kept
-    whole. Where ranges overlap, each slot has the value of the finest step there,
-    and of equal steps that of the longest answer, so gaps of one are filled from
-    others. Steps are compared row by row, before any value is unpacked.
+    whole, and of the others what lies before or after all of them. Where ranges
+    overlap, each slot has the value of the finest step there, and of equal steps
+    that of the longest answer, so gaps of one are filled from others. Steps are
+    compared row by row, before any value is unpacked.
     """
-    finest = rows.groupBy(key, "h0", "h1").agg(F.min("step").alias("finest"))
-    kept = rows.join(finest, [key, "h0", "h1"]).where(F.col("step") == F.col("finest"))
+    spans = rows.groupBy(key, "h0", "h1", "step").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
+    finest = spans.groupBy(key, "h0", "h1").agg(F.min("step").alias("finest"), F.min_by("lo", "step").alias("lo"), F.min_by("hi", "step").alias("hi"))
+    inside = F.col("step") > F.col("finest")
+    kept = rows.join(finest, [key, "h0", "h1"]).where(~inside | (F.col("start") < F.col("lo")) | (F.col("stop") > F.col("hi")))
     # ranges delivered again as they were drop out before they are unpacked
-    once = kept.select(key, "start", "step", "n", "vals").distinct()
-    each = once.select(key, "start", "step", "n", F.posexplode("vals").alias("i", "v")).where(present(F.col("v")))
+    beyond = [F.when(inside, F.col(c)).alias(c) for c in ("lo", "hi")]
+    once = kept.select(key, "start", "step", "n", "vals", *beyond).distinct()
+    each = once.select(key, "start", "step", "n", "lo", "hi", F.posexplode("vals").alias("i", "v")).where(present(F.col("v")))
     ts = F.col("start") + F.col("i") * F.col("step")
+    slot = ts - F.pmod(ts, F.col("step"))
+    each = each.where(F.col("lo").isNull() | (slot + F.col("step") <= F.col("lo")) | (slot >= F.col("hi")))
     # the finer step first, then the longer answer, then the larger value: hashed aggregates of plain numbers
     place = F.col("n") - F.col("step") * F.lit(2**31)
-    slots = each.select(key, "step", (ts - F.pmod(ts, F.col("step"))).alias("ts"), "v", place.alias("place")).repartition(key, "ts")
+    slots = each.select(key, "step", slot.alias("ts"), "v", place.alias("place")).repartition(key, "ts")
     best = slots.groupBy(key, "ts", "step", "place").agg(F.max("v").alias("v"))
     return best.groupBy(key, "ts").agg(F.max_by("v", "place").alias("v"), F.min("step").alias("step"))
 

@@ -88,6 +88,21 @@ def test_stored_responses_as_series(spark):
     assert [(r["ts"], r["value"]) for r in got] == [(0, 11.0), (120, 24.0)]
 
 
+def test_a_source_by_the_columns_of_a_table(spark):
+    from seriesloom.sources.auto import open_source
+
+    resp = spark.createDataFrame([(" a..b", 0, 240, 60, [1.0, None, 3.0]), ("a.b", 120, 360, 120, [9.0, 8.0]), (None, 0, 60, 60, [1.0]), ("a.c", 0, 60, 0, [1.0])], "name string, start long, stop long, step long, vals array<double>")
+    got = Engine(spark, open_source(resp)).frame("a.*", 0, 360, now=360).result().orderBy("ts").collect()
+    assert [(r["name"], r["ts"], r["value"]) for r in got] == [("a.b", 0, 1.0), ("a.b", 60, None), ("a.b", 120, 3.0), ("a.b", 180, None), ("a.b", 240, 8.0), ("a.b", 300, None)]
+    rows = spark.createDataFrame([("m", 0, 1.0), ("m", 30, 3.0), ("m", 60, 5.0)], "name string, ts long, value double")
+    got = Engine(spark, open_source(rows)).frame("m", 0, 120, now=120).result().orderBy("ts").collect()
+    assert [(r["ts"], r["value"]) for r in got] == [(0, 2.0), (60, 5.0)]
+    timed = rows.withColumn("ts", F.timestamp_seconds("ts"))
+    assert Engine(spark, open_source(timed)).frame("m", 0, 60, now=60).result().first()["value"] == 2.0
+    with pytest.raises(ValueError):
+        open_source(rows.drop("value"))
+
+
 def test_find_and_tags(spark):
     src = MemorySource(spark, [S("a.b.c;k=1;z=2", [1]), S("a.b", [1]), S("a.d.e;k=3", [1]), S("_tagged.x", [1])])
     found = {(r["id"], r["leaf"], r["expandable"]) for r in metadata.find(src, "a.*").collect()}
